@@ -10,6 +10,7 @@ from engram.llm.op01_ngram_jaccard import ngram_jaccard_classes
 from engram.llm.op02_winnowing import contamination
 from engram.llm.op04_chat_prefixes import chat_digests
 from engram.llm.op08_pii_bootstrap import personal_data_digest
+from engram.llm.op09_suffix_dedup import suffix_dedup
 from engram.llm.op10_vector_shards import vector_shards
 
 
@@ -37,12 +38,16 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_jaccard, op2_winnowing, op4_chat_prefixes, op8_pii_bootstrap, op10_vector_shards)
+    every = (op1_ngram_jaccard, op2_winnowing, op4_chat_prefixes, op8_pii_bootstrap, op9_suffix_dedup, op10_vector_shards)
     return {f.__name__: f for f in every}
 
 
