@@ -6,10 +6,10 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Two texts li
 1. Texts with the same set become one class, stood for by its smallest id.
 2. A class is listed under the `SKETCH` smallest hashes of its set. In a linked pair at least three quarters of the
    smallest hashes of the union lie in both sets, so a pair shares a quarter of the sketch unless fewer than 12 of 48
-   draws at 3/4 succeed (probability below 1e-13 for sets over 48 shingles; for smaller ones the sketch is the set and
-   the statement is exact).
-3. Lists longer than `HOT` are kept only for classes with a quarter of their sketch in such lists: any other linked
-   pair meets in a shorter list. So a passage in millions of otherwise different texts makes no long list.
+   draws at 3/4 succeed (probability below 1e-13). For sets up to 48 the sketch is the set and the least overlap exact.
+3. Where a pair must share `need` of its listed hashes, it shares one outside each side's need - 1 most common ones.
+   So those are left out, and with them classes with fewer listed hashes: a passage in millions of otherwise different
+   texts makes no list.
 4. Within a list, members are ordered by size and cut into tiles. First each member is paired with its tile's and its
    list's first member (a number of pairs linear in the list); these are intersected exactly and grouped.
 5. Lists that still hold several groups are compared tile against tile, where sizes allow a link: the bitmaps hold the
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from engram.llm.bytehash import SPACES, Words, pieces
 from engram.llm.shared import components, park, sweep
 
-SKETCH, QUARTER, HOT, TILE = 48, 12, 512, 256
+SKETCH, QUARTER, TILE = 48, 12, 256
 NARROW, WIDE = 128, 4096
 
 SKETCHES = T.StructType(
@@ -149,56 +149,61 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return park(dealt.mapInArrow(verifier(k, percent), "a long, b long"))
 
 
-def bound(rows: dict[str, list], i: list[int], j: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the members i and j of a tile pair, the pairs (as indices) that sizes and bitmaps admit."""
-    n = np.array(rows["n_shingles"])
-    ni, nj = n[i][:, None], n[j][None, :]
-    ok = 100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)
-    g = np.array(rows["component"])
-    ok &= g[i][:, None] != g[j][None, :]
-    if not ok.any():
-        return np.zeros(0, int), np.zeros(0, int)
-    b = min(len(rows["bitmap"][x]) for x in (*i, *j))
-
-    def folded(at: list[int]) -> np.ndarray:
-        out = np.zeros((len(at), b), np.uint8)
-        for r, x in enumerate(at):
-            # A wider bitmap narrows by XOR of its parts, as the lower bits of the hash choose the bit within a part.
-            out[r] = np.bitwise_xor.reduce(np.frombuffer(rows["bitmap"][x], np.uint8).reshape(-1, b), axis=0)
-        return out.view(np.uint64)
-
-    x, y = folded(i), folded(j)
-    differ = np.zeros(ok.shape, np.int64)
-    for c in range(x.shape[1]):
-        differ += np.bitwise_count(x[:, c][:, None] ^ y[:, c][None, :])
-    # |A ^ B| = |A| + |B| - 2o and 100 o >= percent (|A| + |B| - o) together.
-    ok &= differ * (100 + percent) <= (ni + nj) * (100 - percent)
-    return np.nonzero(ok)
+def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps as rows of `size` bytes: a wider one narrows by XOR of its parts, as the lower bits of a hash choose the bit within a part."""
+    out = np.zeros((len(bitmaps), size), np.uint8)
+    for r, x in enumerate(bitmaps):
+        out[r] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
+    return out.view(np.uint64)
+
+
+def admitted_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs of the tile pairs in a table (whole keys, sorted by side) that groups, sizes and bitmaps admit."""
+    one, two, side, ids, n, g = (table.column(c).to_numpy() for c in ("one", "two", "side", "id", "n_shingles", "component"))
+    token = table.column("token").to_numpy()
+    m = len(ids)
+    new = np.ones(m, bool)
+    new[1:] = (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, m))
+    end = np.repeat(start + size, size)
+    other = np.repeat(start + np.add.reduceat(1 - side, start), size)  # where side 1 begins
+    within = one == two
+    begin = np.where(within, np.arange(m) + 1, other)
+    count = np.where(within | (side == 0), end - begin, 0)
+    i = np.repeat(np.arange(m), count)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+    ok = (g[i] != g[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    i, j = i[ok], j[ok]
+    lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    order = np.lexsort((hi, lo))
+    once = np.ones(len(order), bool)
+    once[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
+    i, j = i[order][once], j[order][once]
+    bitmaps = table.column("bitmap").to_pylist()
+    wide = np.array([len(x) for x in bitmaps], np.int64)
+    # |A ^ B| = |A| + |B| - 2o and 100 o >= percent (|A| + |B| - o) together; first by narrow bitmaps, then by full ones.
+    most = (n[i] + n[j]) * (100 - percent)
+    for narrow in (True, False):
+        keep = np.zeros(len(i), bool)
+        width = np.full(len(i), NARROW // 8) if narrow else np.minimum(wide[i], wide[j])
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            used, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            x = folded([bitmaps[u] for u in used], int(w))
+            differ = np.bitwise_count(x[back[: len(at)]] ^ x[back[len(at) :]]).sum(axis=1, dtype=np.int64)
+            keep[at] = differ * (100 + percent) <= most[at]
+        i, j, most = i[keep], j[keep], most[keep]
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
 def admits(percent: int):
-    """From rows sorted by token and tile (side 0: the tile's own members, 1: those of the other tile): admitted pairs."""
+    """From rows sorted by token, tile pair and side (0: members of the first tile, 1: of the second): admitted id pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rows_by(batches, ["token", "one", "two"]):
-            rows = table.to_pydict()
-            keys = list(zip(rows["token"], rows["one"], rows["two"], strict=True))
-            left, right, at = [], [], 0
-            while at < len(keys):
-                end = at
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                ids = rows["id"]
-                i = [x for x in range(at, end) if rows["side"][x] == 0]
-                j = [x for x in range(at, end) if rows["side"][x] == 1] if keys[at][1] != keys[at][2] else i
-                if i and j:
-                    p, q = bound(rows, i, j, percent)
-                    for a, b in zip(p, q, strict=True):
-                        if ids[i[a]] != ids[j[b]]:
-                            left.append(min(ids[i[a]], ids[j[b]]))
-                            right.append(max(ids[i[a]], ids[j[b]]))
-                at = end
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            a, b = admitted_pairs(table.combine_chunks(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -221,14 +226,14 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
     )
     lists = classes.select("id", F.explode("sketch").alias("token"))
     counts = park(lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    listed = park(lists.join(counts, "token").withColumn("hot", (F.col("members") > HOT).cast("int")))
-    heat = listed.groupBy("id").agg(F.sum("hot").alias("heat")).filter("heat > 0")
-    sizes = classes.select("id", "n_shingles")
+    per = lists.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("members", "token")).alias("listed"))
+    need = F.when(F.col("n_shingles") >= SKETCH, QUARTER).otherwise(F.expr(f"cast((n_shingles * {percent} + 99) div 100 as int)"))
     open_ = park(
-        listed.join(sizes, "id")
-        .join(heat, "id", "left")
-        .filter(f"hot = 0 or heat >= least({QUARTER}, ceil(n_shingles / 4))")
-        .select("token", "id", "n_shingles", "members")
+        per.join(classes.select("id", "n_shingles"), "id")
+        .withColumn("need", need)
+        .filter("size(listed) >= need")
+        .select("id", "n_shingles", F.explode(F.slice(F.array_sort("listed"), F.lit(1), F.size("listed") - F.col("need") + 1)).alias("t"))
+        .select("t.token", "id", "n_shingles")
     )
     # Each list in tiles by size: long lists get a size rank from counts by size, never a sort of the whole list.
     by_size = open_.groupBy("token", "n_shingles").agg(F.count(F.lit(1)).alias("here"), F.min("id").alias("low"))
@@ -238,8 +243,7 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
         "token", "n_shingles", "here", "low", F.coalesce(F.sum("here").over(upto), F.lit(0)).alias("before"), F.min("low").over(whole).alias("first"), F.sum("here").over(whole).alias("now")
     ).filter("now > 1")
     tiled = park(
-        open_.drop("members")
-        .join(ranks, ["token", "n_shingles"])
+        open_.join(ranks, ["token", "n_shingles"])
         .withColumn("tile", F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("here"))) / TILE).cast("int"))
         .select("token", "id", "n_shingles", "tile", "first", "low")
     )
@@ -253,7 +257,7 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
     )
     needed = tiled.select("id").distinct()
     texts = park(docs.withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi").dropDuplicates(["id"]))
-    del lists, counts, heat, by_size, ranks, open_, listed
+    del lists, counts, per, by_size, ranks, open_
     sweep(spark)
     found = verified(star, texts, k, percent)
     grouped = components(found)
