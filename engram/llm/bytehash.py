@@ -17,16 +17,18 @@ _lower[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
-def separators(ranges: list[tuple[int, int]]) -> np.ndarray:
-    out = np.zeros(256, bool)
-    for a, b in ranges:
-        out[a : b + 1] = True
+def classes(between: list[tuple[int, int]], marks: list[tuple[int, int]] = ()) -> np.ndarray:
+    """The class of each byte: 0 between words, 1 in a word, 2 in a run of marks."""
+    out = np.ones(256, np.uint8)
+    for ranges, c in ((marks, 2), (between, 0)):
+        for a, b in ranges:
+            out[a : b + 1] = c
     return out
 
 
-#: Between words of `[^\x20\x09-\x0D]+`, and of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`.
-SPACES = separators([(0x20, 0x20), (0x09, 0x0D)])
-NON_LETTERS = separators([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+_BLANKS, _OTHERS = [(0x20, 0x20), (0x09, 0x0D)], [(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)]
+#: Words of `[^\x20\x09-\x0D]+`; of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`; the latter and the runs of marks between them.
+SPACES, NON_LETTERS, MARKS = classes(_BLANKS), classes(_OTHERS), classes(_BLANKS, _OTHERS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,15 +82,16 @@ class Words:
         raw, self.offsets = buffers(texts)
         self.n = len(self.offsets) - 1
         self.data = data = _lower[raw] if lower else raw
-        inside = ~between[data]
+        kind = between[data]
+        inside = kind > 0
         if len(data):
             first = np.zeros(len(data) + 1, bool)
             first[self.offsets[:-1]] = True
             first = first[:-1]
             start = inside.copy()
-            start[1:] &= ~inside[:-1] | first[1:]
+            start[1:] &= (kind[1:] != kind[:-1]) | first[1:]
             end = inside.copy()
-            end[:-1] &= ~inside[1:] | first[1:]
+            end[:-1] &= (kind[1:] != kind[:-1]) | first[1:]
             self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         else:
             self.start = self.end = np.zeros(0, np.int64)
