@@ -173,3 +173,20 @@ def quality_scores(docs: DataFrame, model: Quality | None, folds: int = 4, held:
         return docs.select("doc_id", "held_out", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     return docs.mapInArrow(scorer(sent), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keeper(sent, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(sent.value)
+        for whole in batches:
+            for batch in pieces(whole):
+                yield batch.filter(pa.array(model.score(batch.column("text").to_pylist()) >= threshold))
+
+    return run
+
+
+def of_quality(docs: DataFrame, model: Quality | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text reaches the threshold; all of them without a model."""
+    if model is None:
+        return docs
+    return docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), threshold), docs.schema)
