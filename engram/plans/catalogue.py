@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from engram.plans import retrieval
+from engram.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+FAMILIES = [retrieval.P]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: f for p in FAMILIES for k, f in p.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in FAMILIES for k, s in p.sql.items()}
