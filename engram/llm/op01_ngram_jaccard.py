@@ -34,7 +34,7 @@ from engram.llm.bytehash import SPACES, Words, pieces
 from engram.llm.shared import components, park, sweep
 
 SKETCH, QUARTER, TILE = 48, 12, 256
-NARROW, WIDE = 128, 4096
+NARROW, WIDE = 128, 16384
 
 SKETCHES = T.StructType(
     [
@@ -57,8 +57,8 @@ def sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n, by its size band."""
-    return min(WIDE, max(NARROW, 1 << (max(n, 1) - 1).bit_length()))
+    """Bits of the bitmap of a set of n, by its size band: two to four for each hash, so that the bound is close."""
+    return min(WIDE, max(NARROW, 2 << (max(n, 1) - 1).bit_length()))
 
 
 def parity(s: np.ndarray) -> bytes:
