@@ -51,7 +51,7 @@ def highlighted(text: Column, query: str) -> Column:
 
 def files_changed(text: Column, n: int = 20) -> Column:
     """Distinct file paths in the order of their first mention."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(FILE_PATTERN), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(text, F.lit(FILE_PATTERN), F.lit(1)), lambda x: F.trim(x))
     real = F.filter(found, lambda f: ~F.array_contains(F.array(*map(F.lit, NOT_FILES)), F.lower(f)))
     return F.slice(F.array_distinct(real), 1, n)
 
