@@ -228,11 +228,14 @@ def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     later = sizes.filter("doc_id > first").select("doc_id", "h").distinct()
     unique = docs.filter(f"doc_id is not null and octet_length(text) >= {LEAST}").join(later, ["doc_id", "h"], "left_anti").dropDuplicates(["doc_id", "h"])
     found = unique.mapInArrow(keys_of, "key long, doc_id long, h long").repartition("key").sortWithinPartitions("key")
-    wanted = park(found.mapInArrow(repeated, "key long, doc_id long, h long").select("doc_id", "h", "key"))
+    wanted = found.mapInArrow(repeated, "key long, doc_id long, h long")
+    lists = park(wanted.groupBy("doc_id", "h").agg(F.collect_list("key").alias("keys")))
+    # Each pass over the texts shuffles them; what the pass before it wrote can go.
+    del found, wanted
     sweep(docs.sparkSession)
-    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list("key").alias("keys"))
     rows = unique.join(lists, ["doc_id", "h"]).mapInArrow(sent, "key long, doc_id long, h long, start int, bytes binary")
     ranges = park(rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(factors, "doc_id long, h long, start int, end int"))
+    del rows
     sweep(docs.sparkSession)
     per = ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     cuts = unique.join(per, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +28,15 @@ def park(df: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer referenced."""
-    import gc
+    """Let Spark drop the shuffle files of frames that are no longer referenced, before more are written.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Spark removes them once the driver has collected its garbage; some references go only with a second collection, and
+    the removal runs beside it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def ascii_lower(text: Column) -> Column:
