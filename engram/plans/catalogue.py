@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from engram.plans import insights, retrieval
+from engram.plans import analytics, insights, relational, retrieval
 from engram.plans.registry import Query
 
-FAMILIES = [retrieval.P, insights.P]
+FAMILIES = [retrieval.P, insights.P, analytics.P, relational.P]
 
 
 def queries() -> dict[str, Query]:

@@ -70,3 +70,14 @@ def upserted(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def capped(rows: DataFrame, columns: list[str], order: list, n: int) -> DataFrame:
     """A projected scan of at most n rows, in a stated order so that the cut is always the same."""
     return rows.orderBy(*order).limit(n).select(*columns)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, in the session's folder for those; a local one where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='engram-')}")
+    return df.checkpoint()
