@@ -49,8 +49,8 @@ INTENT_PATTERNS = {
     ],
 }
 HALF_LIFE_DAYS = 14
-#: Weights of exact name, vector, full text, popularity, freshness, simplicity and context.
-SIGNALS = {"exact": 0.35, "vector": 0.20, "text": 0.15, "popularity": 0.15, "freshness": 0.05, "simplicity": 0.05, "context": 0.05}
+#: Weights of vector, full text, exact name, popularity, freshness, simplicity and context.
+SIGNALS = {"vector": 0.35, "text": 0.20, "exact": 0.15, "popularity": 0.15, "freshness": 0.05, "simplicity": 0.05, "context": 0.05}
 
 
 def query_intent(query: Column) -> Column:

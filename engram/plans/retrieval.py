@@ -260,8 +260,8 @@ def freshness_steps(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), scoring.freshness(scoring.age_days(stamp, "2024-02-05 00:00:00")).alias("fresh"))
 
 
-SIGNAL_SQL = """SELECT p_partkey AS id, round(0.35 * CASE WHEN lower(p_type) = 'eco' THEN 1.0 WHEN starts_with(lower(p_type), 'eco') THEN 0.8 WHEN contains(lower(p_type), 'eco') THEN 0.5
-  WHEN lower(regexp_replace(p_type, '[a-z]', '', 'g')) = 'eco' THEN 0.6 ELSE 0.0 END + 0.2 * 0.7 * s + 0.15 * 0.3 * s + 0.15 * s + 0.05 * 0.5
+SIGNAL_SQL = """SELECT p_partkey AS id, round(0.15 * CASE WHEN lower(p_type) = 'eco' THEN 1.0 WHEN starts_with(lower(p_type), 'eco') THEN 0.8 WHEN contains(lower(p_type), 'eco') THEN 0.5
+  WHEN lower(regexp_replace(p_type, '[a-z]', '', 'g')) = 'eco' THEN 0.6 ELSE 0.0 END + 0.35 * 0.7 * s + 0.2 * 0.3 * s + 0.15 * s + 0.05 * 0.5
   + 0.05 * CASE WHEN p_size <= 5 THEN 1.0 WHEN p_size <= 10 THEN 0.8 WHEN p_size <= 15 THEN 0.5 WHEN p_size <= 20 THEN 0.3 ELSE 0.1 END + 0.05 * 0.5, 6)::DOUBLE AS score
   FROM (SELECT *, (p_partkey % 100) / 100.0::DOUBLE AS s FROM part)"""
 
