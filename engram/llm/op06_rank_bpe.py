@@ -103,7 +103,7 @@ class RankBpe:
         ids = self.inner[raw].tolist()
         ids[-1] = int(self.last[raw[-1]])
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        ranks = self.rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        ranks = self.rank(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist()
         heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r != NEVER]
         heapq.heapify(heap)
         while heap:

@@ -154,8 +154,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns; texts with spans have them masked. Null texts stay null."""
-    found = personal_data(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_h"])
-    same = F.col("_key").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h"))
-    joined = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text")).join(found, same, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.coalesce("_spans", F.expr(NONE)))).alias("text")
+    found = personal_data(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("__engram_d"), F.col("h").alias("__engram_h"), F.col("spans").alias("__engram_spans")).dropDuplicates(["__engram_d", "__engram_h"])
+    same = F.col("__engram_key").eqNullSafe(F.col("__engram_d")) & (F.col("__engram_hash") == F.col("__engram_h"))
+    joined = docs.withColumn("__engram_key", F.col("doc_id").cast("long")).withColumn("__engram_hash", F.xxhash64("text")).join(found, same, "left")
+    text = F.when(F.col("__engram_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.coalesce("__engram_spans", F.expr(NONE)))).alias("text")
     return joined.select(*(text if c == "text" else F.col(c) for c in docs.columns))
