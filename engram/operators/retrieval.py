@@ -196,3 +196,19 @@ def unified(transcripts: DataFrame, code: DataFrame, k: int, both: bool = True)
     parts = [(transcripts, "transcript", 1.0), (code, "code", 0.85 if both else 1.0)]
     rows = reduce(DataFrame.unionByName, (d.select(F.lit(n).alias("source"), F.col("id").cast("string").alias("id"), F.round(F.col("score") * w, DIGITS + 3).alias("score"), "summary") for d, n, w in parts))
     return rows.orderBy(F.desc("score"), "source", "id").limit(k)
+
+
+def search_trace(chunks: DataFrame, query: str, vector: Sequence[float], k: int, vectors: DataFrame | None = None) -> DataFrame:
+    """(step, n, best): how many rows each step of a hybrid search gives, and its best score."""
+    fetch = over_fetch(k)
+    near = knn(chunks if vectors is None else vectors, vector, fetch)
+    words = bm25(chunks, list(dict.fromkeys(_python_tokens(query))), fetch)
+    both = fused([near, words], fetch)
+    step = lambda name, d: d.agg(F.lit(name).alias("step"), F.count(F.lit(1)).alias("n"), F.round(F.max("score"), DIGITS).alias("best"))
+    return step("vector", near).union(step("text", words)).union(step("fused", both))
+
+
+def related_sessions(chunks: DataFrame, files: Sequence[str], vector: Sequence[float], as_of: str, k: int = 3, min_score: float = 0.0, vectors: DataFrame | None = None) -> DataFrame:
+    """Sessions about changed files: a search for them by name, within them."""
+    query = "changes to " + ", ".join(files[:5])
+    return hybrid_search(chunks, query, vector, k, as_of, files=files, min_score=min_score, vectors=vectors)

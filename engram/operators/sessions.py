@@ -58,3 +58,13 @@ def new_or_changed(now: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
     old = indexed.select(key, F.col("contentHash").alias("_old"), F.lit(True).alias("_known"))
     state = F.when(F.col("_known").isNull(), "new").when(~F.col("contentHash").eqNullSafe(F.col("_old")), "changed")
     return now.join(old, key, "left").select(key, state.alias("state")).filter("state is not null")
+
+
+def diff_summaries(turns: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(session, diffSummary): tool output that looks like a change, and declarations that replies add or remove, in order."""
+    tool = (F.col("role") == "tool") & X.looks_like_change(F.col("text"))
+    lines = X.changed_lines(F.col("text"))
+    piece = F.when(tool, F.left("text", F.lit(1500))).when((F.col("role") == "assistant") & (lines != ""), F.left(lines, F.lit(1500)))
+    rows = turns.select(session, order, piece.alias("piece"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct(order, "piece")))), lambda x: x["piece"])
+    return rows.groupBy(session).agg(F.left(F.array_join(pieces, "\n"), F.lit(3000)).alias("diffSummary"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from engram.plans import analytics, insights, relational, retrieval, sources
+from engram.plans import analytics, insights, relational, retrieval, sources, upkeep
 from engram.plans.registry import Query
 
-FAMILIES = [retrieval.P, insights.P, analytics.P, relational.P, sources.P]
+FAMILIES = [retrieval.P, insights.P, analytics.P, relational.P, sources.P, upkeep.P]
 
 
 def queries() -> dict[str, Query]:
