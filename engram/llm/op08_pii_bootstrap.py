@@ -20,8 +20,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: An identifier-like token: a run of these characters with a digit in it.
-TOKEN = r"(?<![A-Za-z0-9._%+@/:-])[A-Za-z._%+@/:-]*+[0-9][A-Za-z0-9._%+@/:-]*+"
+#: An identifier-like token: a run of these characters with a digit or an @ in it.
+TOKEN = r"(?<![A-Za-z0-9._%+@/:-])[A-Za-z._%+/:-]*+[0-9@][A-Za-z0-9._%+@/:-]*+"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SECRET = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 LEAST_TOKEN, ROUNDS, SUPPORT, CONFIDENT = 6, 3, 5, 0.6
@@ -100,7 +100,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), text.alias("text"))
-    tokens = found(F.col("text"), TOKEN, 4, "id", lambda v: F.length(v) >= LEAST_TOKEN, F.col("text").rlike("[0-9]"))
+    tokens = found(F.col("text"), TOKEN, 4, "id", lambda v: F.length(v) >= LEAST_TOKEN, F.col("text").rlike("[0-9@]"))
     before = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - 48, F.lit(0)) + 1, F.least(s["start"], F.lit(48)))
     pattern = lambda s: F.lower(F.regexp_replace(F.regexp_extract(before(s), r"(\S{1,24}\s+\S{1,24})\s*$", 1), "[0-9]", "0"))
     rows = park(
