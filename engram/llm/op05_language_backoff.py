@@ -114,11 +114,12 @@ def fit(docs: DataFrame) -> Backoff:
     tables = {}
     for kind in (0, *ORDERS):
         top = counts.filter(f"kind = {kind}").groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).filter("all > 1")
-        most = top.orderBy(F.desc("all"), "gram").limit(KEPT).select("gram", *(F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0)).alias(f"l{i}") for i, name in enumerate(langs))).toPandas()
-        most = most.sort_values("gram", key=lambda s: s.to_numpy(np.int64).view(np.uint64)) if len(most) else most
-        n = most[[f"l{i}" for i in range(len(langs))]].to_numpy(float)
-        total = np.array([totals.get((name, kind), 0) for name in langs]) + SMOOTH * max(len(most), 1)
-        tables[kind] = (most["gram"].to_numpy(np.int64).view(np.uint64), np.log((n + SMOOTH) / total).astype(np.float32))
+        most = top.orderBy(F.desc("all"), "gram").limit(KEPT).select("gram", *(F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0)).alias(f"l{i}") for i, name in enumerate(langs))).toArrow()
+        gram = most.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(gram, kind="stable")
+        n = np.stack([most.column(f"l{i}").to_numpy().astype(float) for i in range(len(langs))], axis=1)[order] if langs else np.zeros((len(gram), 0))
+        total = np.array([totals.get((name, kind), 0) for name in langs]) + SMOOTH * max(len(gram), 1)
+        tables[kind] = (gram[order], np.log((n + SMOOTH) / total).astype(np.float32))
     return Backoff(langs, tables)
 
 
