@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.bytehash import MARKS, Words, mix, pieces
+from engram.llm.bytehash import CHUNK, MARKS, Words, mix, pieces
 
 FIT_ROWS, SIZE, NONZERO, WINDOW, VOCABULARY = 6000, 32, 4, 2, 20_000
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
@@ -39,6 +39,19 @@ def index_vectors(h: np.ndarray) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
+def blocks(texts: list[str], size: int = CHUNK // 4) -> Iterator[list[str]]:
+    """Runs of texts with about so many characters each; a longer text comes alone."""
+    held, n = [], 0
+    for t in texts:
+        if held and n + len(t) > size:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held
+
+
 class Quality:
     """The fitted model; `score` gives the probability of label 1."""
 
@@ -56,19 +69,21 @@ class Quality:
         return out[back]
 
     def learn_words(self, texts: list[str]) -> None:
-        words = Words(pa.array(texts, pa.large_string()), MARKS)
-        token, n = np.unique(words.hash, return_counts=True)
+        """Vectors of the most frequent tokens; the sample is read in blocks, so memory doesn't grow with it."""
+        counts = [np.unique(Words(pa.array(some, pa.large_string()), MARKS).hash, return_counts=True) for some in blocks(texts)]
+        token, back = np.unique(np.concatenate([np.zeros(0, U), *(t for t, _ in counts)]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.zeros(0), *(c for _, c in counts)]), minlength=len(token))
         keep = np.sort(token[np.argsort(-n, kind="stable")[:VOCABULARY]])
-        at = np.searchsorted(keep, words.hash)
-        row = np.where(keep[np.minimum(at, len(keep) - 1)] == words.hash, at, -1) if len(keep) else np.zeros(0, int)
         total = np.zeros((len(keep), SIZE), np.float32)
-        for begin in range(0, len(row), 1 << 18):  # in blocks, so that memory stays small
-            end = min(begin + (1 << 18), len(row))
-            index = index_vectors(words.hash[begin:end])
-            r, d = row[begin:end], words.doc[begin:end]
+        for some in blocks(texts) if len(keep) else []:
+            words = Words(pa.array(some, pa.large_string()), MARKS)
+            at = np.minimum(np.searchsorted(keep, words.hash), len(keep) - 1)
+            row = np.where(keep[at] == words.hash, at, -1)
+            once, back = np.unique(words.hash, return_inverse=True)
+            index, d = index_vectors(once)[back], words.doc
             for shift in range(1, WINDOW + 1):
                 same = d[shift:] == d[:-shift]
-                for of, by in ((r[:-shift], index[shift:]), (r[shift:], index[:-shift])):
+                for of, by in ((row[:-shift], index[shift:]), (row[shift:], index[:-shift])):
                     ok = same & (of >= 0)
                     order = np.argsort(of[ok], kind="stable")
                     rows, first = np.unique(of[ok][order], return_index=True)
@@ -107,7 +122,7 @@ class Quality:
     def learn(self, texts: list[str], labels: np.ndarray) -> None:
         rng = np.random.default_rng(7)
         self.learn_words(texts)
-        x, y = self.features(texts).astype(np.float64), labels.astype(float)
+        x, y = np.concatenate([self.features(some) for some in blocks(texts)]).astype(np.float64), labels.astype(float)
         aside = rng.random(len(y)) < 0.2
         if aside.all() or not aside.any():
             aside = np.arange(len(y)) % 5 == 4
