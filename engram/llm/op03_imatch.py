@@ -200,7 +200,8 @@ def imatch(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = park(
-        docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(chained(lexicon), f"{ROW}, part int, edge string, text string")
+        # Dealt by doc_id alone: the sample of keys that the driver takes would hold whole texts otherwise.
+        docs.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(chained(lexicon), f"{ROW}, part int, edge string, text string")
     )
     ends = rows.filter("edge is not null")
     # One first and one last text for each part: which part follows which is a list of small numbers.
