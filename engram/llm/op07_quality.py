@@ -156,13 +156,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Qu
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(F.col("quality").isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # FIT_ROWS ids at most, so this side is small by construction.
     chosen = rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    made = sample.select("doc_id", "text", "quality").coalesce(1).mapInArrow(learned, "model binary").collect()
+    return pickle.loads(bytes(made[0][0])) if made else None
+
+
+def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model, or none; the sample is of bounded size and is learnt in one task, away from the driver."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    sample = pa.Table.from_batches(held).sort_by("doc_id")
     y = sample.column("quality").to_numpy()
     if len(y) < 10 or len(np.unique(y)) < 2:
-        return None
+        return
     model = Quality()
     model.learn([t or "" for t in sample.column("text").to_pylist()], (y > 0).astype(int))
-    return model
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def scorer(sent):
