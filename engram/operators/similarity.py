@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.sources.tables import checkpointed
+
+#: Pairs that are folded one after the other at a time, in order of id.
+FOLDED = 100_000
 PAIRS = "id1 long, id2 long, similarity double"
 
 
@@ -77,21 +82,37 @@ def lsh_pairs(rows: DataFrame, width: int, at_least: float, planes: int = 16, ta
 def star_clusters(pairs: DataFrame) -> DataFrame:
     """(cluster, id, similarity): greedy stars. In order of id, a free row takes all free later rows it is similar to.
 
-    The outcome depends on the order, so the pairs of a candidate list (hundreds of rows) are worked in one group.
+    An id is taken if and only if one of its smaller neighbours isn't, and belongs to the smallest of those. So ids are
+    decided in rounds of joins: those without an open smaller neighbour are free, and their later neighbours taken. No
+    component is gathered in a task, whatever its size. Where a round gets on slowly (chains in order of id), or few pairs
+    are left, the next `FOLDED` pairs are folded on the driver; that only saves rounds.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["id1", "id2"])
-        taken: set[int] = set()
-        out = []
-        for seed, group in part.groupby("id1", sort=True):
-            if seed in taken:
-                continue
-            free = group[~group["id2"].isin(taken)]
-            if len(free):
-                best = float(np.floor(free["similarity"].max() * 100 + 0.5) / 100)
-                taken.update([seed, *free["id2"]])
-                out += [(seed, x, best) for x in (seed, *free["id2"])]
-        return pd.DataFrame(out, columns=["cluster", "id", "similarity"]).astype({"cluster": "int64", "id": "int64", "similarity": "float64"})
-
-    return pairs.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda p: fold(p), "cluster long, id long, similarity double")
+    pairs = checkpointed(pairs)
+    left, n, before, gone = pairs.select("id1", "id2"), pairs.count(), None, []
+    while n:
+        if n <= FOLDED or before and n > 0.8 * before:
+            first = left.orderBy("id2").limit(FOLDED).toPandas()
+            if n > FOLDED:  # the pairs of the last id may not all be here
+                first = first[first["id2"] < first["id2"].max()]
+            taken: set[int] = set()
+            for one, two in zip(first["id1"].tolist(), first["id2"].tolist(), strict=True):
+                if one not in taken:
+                    taken.add(two)
+            now = pairs.sparkSession.createDataFrame(pd.DataFrame({"id": np.array(sorted(taken), np.int64)}), "id long")
+            gone.append(now)
+            if n <= FOLDED:
+                break
+            left = _without(left, now)
+        now = checkpointed(left.join(left.select(F.col("id2").alias("id1")), "id1", "left_anti").select(F.col("id2").alias("id")).distinct())
+        gone.append(now)
+        left = checkpointed(_without(left, now))
+        before, n = n, left.count()
+    taken_ids = reduce(DataFrame.union, gone) if gone else pairs.select(F.col("id1").alias("id")).limit(0)
+    found = pairs.join(taken_ids.withColumnRenamed("id", "id1"), "id1", "left_anti").groupBy("id2").agg(F.min(F.struct("id1", "similarity")).alias("by"))
+    members = checkpointed(found.select(F.col("by.id1").alias("cluster"), F.col("id2").alias("id"), "by.similarity"))
+    best = members.groupBy("cluster").agg((F.floor(F.max("similarity") * 100 + 0.5) / 100).alias("similarity"))
+    return members.drop("similarity").union(best.select("cluster", F.col("cluster").alias("id"))).join(best, "cluster")
+
+
+def _without(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    return pairs.join(ids.withColumnRenamed("id", "id1"), "id1", "left_anti").join(ids.withColumnRenamed("id", "id2"), "id2", "left_anti")

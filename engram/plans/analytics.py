@@ -429,7 +429,7 @@ def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @P.add()
 def dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return S.star_clusters(S.similar_pairs(vectors(spark, sf).filter("id < 200"), 0.35))
+    return S.star_clusters(S.similar_pairs(vectors(spark, sf), 0.35))
 
 
 @P.add(f"SELECT id, score, CAST(row_number() OVER (ORDER BY rank) AS BIGINT) AS rank FROM ({knn_sql('list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)', 50)}) k")
@@ -477,7 +477,7 @@ def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     n = gods.agg(F.count(F.lit(1)).alias("n"))
     totals = rows.agg(F.count(F.lit(1)).alias("symbols"), (F.count(F.lit(1)) / F.count_distinct("path")).alias("average"), (F.count_if("documented") * 100.0 / F.count(F.lit(1))).cast("long").alias("documented"))
     totals = totals.join(F.broadcast(I.dead_code(rows).agg(F.count(F.lit(1)).alias("dead"))))
-    clusters = S.star_clusters(S.similar_pairs(vectors(spark, sf).filter("id < 200"), 0.35)).agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("members"))
+    clusters = dup_clusters(spark, sf).agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("members"))
     largest = I.largest(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("symbol"), F.col("text").alias("body")))
     return N.recommendations(
         gods.join(F.broadcast(I.median_connections(links))).join(F.broadcast(n)), I.high_fan_in(rows.withColumn("path", F.col("language"))), I.cross_directory_imports(rows), rows.select("symbol", "complexity"),
