@@ -1,10 +1,15 @@
 """Document fingerprints by I-Match over several randomised lexicons.
 
-The lexicon is the terms within a band of inverse document frequency, counted over all documents. A fingerprint hashes
+The lexicon is the terms within a band of inverse document frequency, counted over all distinct texts, so that copies
+don't push a text's own words out of the band. A fingerprint hashes
 the sorted distinct lexicon terms of a text that fall in each of `SUBSETS` random subsets of the lexicon. So that a
 subset holds about one term of a text of any length, subsets exist at rates 1, 1/2, 1/4, ...: a text with m lexicon terms
 keeps the codes of the rates about 1/m, and two fingerprints are compared at a rate that both hold, over the subsets in
-which either has a term. Equal texts have equal fingerprints; a text without lexicon terms is known by a hash of itself.
+which either has a term. Equal texts have equal fingerprints.
+
+A text with less than `THIN` of its terms in the lexicon (near copies in a group so large that its words are above the
+band, texts of rare words) is known by all its terms, and compared by all terms of both sides. A text without words is
+known by a hash of itself.
 """
 
 from __future__ import annotations
@@ -22,8 +27,11 @@ from engram.llm.bytehash import NON_LETTERS, Words, mix, pieces
 from engram.llm.shared import park
 
 SUBSETS, LEVELS = 48, 3
-#: The band: terms in at most this share of the documents, and in at least this share (and two documents).
+#: The band: terms in at most this share of the distinct texts, and in at least this share (and two texts).
 MOST, LEAST = 0.05, 0.0002
+THIN = 0.25
+#: So many texts with copies are broadcast by their hashes at most, else shuffled.
+COPIES = 1_000_000
 #: The band's lower end rises until the lexicon has so many terms at most (8 bytes each): only so is it broadcast.
 LEXICON = 1_000_000
 U = np.uint64
@@ -31,7 +39,7 @@ ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 
 def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n): how many texts of this part hold a term; counts are merged before they are sent."""
+    """(term, n): the sum of the weights of this part's texts that hold a term, merged before it is sent."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged() -> pa.RecordBatch:
@@ -42,7 +50,9 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole):
             doc, term = distinct_terms(Words(batch.column("text"), NON_LETTERS))
-            held.append(np.unique(term, return_counts=True))
+            weight = batch.column("weight").to_numpy(zero_copy_only=False)
+            once, back = np.unique(term, return_inverse=True)
+            held.append((once, np.bincount(back, weight[doc], minlength=len(once))))
             if sum(len(t) for t, _ in held) > 1 << 21:
                 yield merged()
                 held.clear()
@@ -59,17 +69,26 @@ def distinct_terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prints:
-    """Fingerprints of a list of texts: `level` (-1: no lexicon term), `codes` (text, rate, subset) and `own` (hash of the text)."""
+    """Fingerprints of a list of texts by the terms in a lexicon, or by all terms where it is None.
+
+    `level` (-1: no such term), `codes` (text, rate, subset), `own` (hash of a text of no level), `thin` (too few of its
+    terms are in the lexicon) and `whole` (by all terms).
+    """
 
-    def __init__(self, texts: list[str], lexicon: np.ndarray):
+    def __init__(self, texts: list[str], lexicon: np.ndarray | None):
         doc, term = distinct_terms(Words(pa.array(texts, pa.large_string()), NON_LETTERS))
-        if len(lexicon):
+        total = np.bincount(doc, minlength=len(texts))
+        if lexicon is None:
+            pass
+        elif len(lexicon):
             at = np.minimum(np.searchsorted(lexicon, term), len(lexicon) - 1)
             known = lexicon[at] == term
             doc, term = doc[known], term[known]
         else:
             doc, term = doc[:0], term[:0]
         m = np.bincount(doc, minlength=len(texts))
+        self.thin = m < THIN * total
+        self.whole = np.full(len(texts), lexicon is None)
         self.level = np.where(m > 0, np.ceil(np.log2(np.maximum(m, 1))).astype(np.int64), -1)
         self.codes = np.zeros((len(texts), LEVELS, SUBSETS), np.uint16)
         with np.errstate(over="ignore"):
@@ -89,11 +108,22 @@ class Prints:
         self.own = [hashlib.sha256(t.encode()).hexdigest()[:32] if x < 0 else "" for t, x in zip(texts, self.level, strict=True)]
 
     def strings(self) -> list[str]:
-        return [f"t:{o}" if x < 0 else f"{x:x}:{c.astype('>u2').tobytes().hex()}" for x, c, o in zip(self.level, self.codes, self.own, strict=True)]
+        parts = zip(self.level, self.codes, self.own, self.whole, strict=True)
+        return [f"t:{o}" if x < 0 else f"{'w' if w else ''}{x:x}:{c.astype('>u2').tobytes().hex()}" for x, c, o, w in parts]
 
     def part(self, at) -> Prints:
         out = object.__new__(Prints)
         out.level, out.codes, out.own = self.level[at], self.codes[at], np.array(self.own, object)[at].tolist()
+        out.thin, out.whole = self.thin[at], self.whole[at]
+        return out
+
+    def replaced(self, at: np.ndarray, new: Prints) -> Prints:
+        """These, with those at some places replaced."""
+        out = object.__new__(Prints)
+        for name in ("level", "codes", "own", "thin", "whole"):
+            column = np.array(getattr(self, name), object if name == "own" else None)
+            column[at] = getattr(new, name)
+            setattr(out, name, column.tolist() if name == "own" else column)
         return out
 
 
@@ -118,17 +148,25 @@ def compared(ids: list[int | None], texts: list[str], following: list[str], lexi
     """The result rows of texts and of the texts that follow them."""
     edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=True)]
     n = len(texts)
-    prints = Prints([*texts, *edited, *following], lexicon)
-    a, b, c = (prints.part(slice(k * n, (k + 1) * n)) for k in range(3))
+    every = [*texts, *edited, *following]
+    prints = Prints(every, lexicon)
+    thin = prints.thin.reshape(3, n)
+    near = []
+    at = np.flatnonzero(np.concatenate([thin.any(axis=0), thin[0] | thin[1], thin[0] | thin[2]]))
+    wide = prints.replaced(at, Prints([every[i] for i in at], None))
+    for k in (1, 2):
+        one, two = ((p.part(slice(0, n)), p.part(slice(k * n, (k + 1) * n))) for p in (prints, wide))
+        near.append(np.where(thin[0] | thin[k], likeness(*two), likeness(*one)))
+    own = np.flatnonzero(prints.thin)
+    shown = prints.replaced(own, wide.part(own)).strings()
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            pa.array(a.strings(), pa.string()),
-            pa.array(b.strings(), pa.string()),
-            pa.array(likeness(a, b)),
-            pa.array(likeness(a, c)),
+            pa.array(shown[:n], pa.string()),
+            pa.array(shown[n : 2 * n], pa.string()),
+            *map(pa.array, near),
         ],
         names=[f.split()[0] for f in ROW.split(", ")],
     )
@@ -178,9 +216,22 @@ def joints(lexicon):
     return run
 
 
-def lexicon_of(docs: DataFrame, documents: int) -> np.ndarray:
-    """The sorted hashes of the terms in the band."""
-    counts = park(docs.select("text").mapInArrow(term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(f"n >= 2 and n >= {LEAST * documents} and n <= {max(2.0, MOST * documents)}"))
+def lexicon_of(docs: DataFrame) -> np.ndarray:
+    """The sorted hashes of the terms in the band.
+
+    Every row counts, and of each text with k rows one row more with the weight 1 - k: only those are shuffled, not all
+    texts.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    groups = park(docs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("low")))
+    n = groups.agg(F.count(F.lit(1)), F.count_if(F.col("k") > 1)).first()
+    copies = groups.filter("k > 1").withColumnRenamed("h", "of")
+    if n[1] <= COPIES:
+        copies = F.broadcast(copies)
+    more = docs.join(copies, (F.col("h") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("h").agg(F.first("text").alias("text"), F.first("k").alias("k"))
+    weighted = docs.select("text", F.lit(1).cast("long").alias("weight")).union(more.select("text", 1 - F.col("k")))
+    counted = weighted.mapInArrow(term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = park(counted.filter(f"n >= 2 and n >= {LEAST * n[0]} and n <= {max(2.0, MOST * n[0])}"))
     low = 2
     while counts.filter(f"n >= {low}").count() > LEXICON:
         low *= 2
@@ -196,7 +247,7 @@ def imatch(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lexicon = spark.sparkContext.broadcast(lexicon_of(docs, docs.count()).tobytes())
+    lexicon = spark.sparkContext.broadcast(lexicon_of(docs).tobytes())
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = park(

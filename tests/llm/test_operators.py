@@ -90,6 +90,27 @@ def test_op3(spark):
     assert op3.imatch(brute.frame(spark, rows[:1])).first().near_next == 1
 
 
+def test_op3_of_a_hot_group(spark):
+    rnd = np.random.default_rng(7)
+    word = lambda k: f"w{'abcdefghij'[k % 10]}{k}"
+    rows = [(i, " ".join(word(k) for k in rnd.integers(0, 900, 80))) for i in range(60)]
+    hot = " ".join(word(k) for k in range(80))
+    copied = [*rows, *((100 + i, hot) for i in range(30)), *((None, hot) for _ in range(3)), (100, hot)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    assert op3.lexicon_of(frame(copied)).tolist() == op3.lexicon_of(frame([*rows, (100, hot)])).tolist()
+    near = []
+    for i in range(30):  # distinct texts, a third of all, so that their words are above the band
+        w = hot.split()
+        w[2 * i] = f"own{i}"
+        near.append((100 + i, " ".join(w)))
+    got = {r.doc_id: r for r in op3.imatch(frame([*rows, *near])).collect()}
+    assert all(not got[i].fingerprint.startswith("t:") for i in range(100, 130))
+    assert all(got[i].near_next > 0.8 for i in range(101, 130))
+    # The edited text is a first half followed by the next text's first half.
+    assert all(0.3 < got[i].near_edited < 0.7 for i in range(101, 130)) and 0.1 < got[100].near_edited < 0.6 and got[100].near_next < 0.2
+    assert all(r.near_next < 0.3 for i, r in got.items() if i < 60)
+
+
 def test_op4(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "\\", "\\<|", "<\\|", "a\nb", "", None, "<<||>>\\n", "x" * 3000]
     rows = [(c, t, r, odd[(c * 3 + t) % len(odd)], "clash") for c in range(6) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "to\\ol\n<|x"][: c + 1])]
