@@ -32,8 +32,6 @@ MOST, LEAST = 0.05, 0.0002
 THIN = 0.25
 #: So many texts with copies are broadcast by their hashes at most, else shuffled.
 COPIES = 1_000_000
-#: The band's lower end rises until the lexicon has so many terms at most (8 bytes each): only so is it broadcast.
-LEXICON = 1_000_000
 U = np.uint64
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -217,7 +215,7 @@ def joints(lexicon):
 
 
 def lexicon_of(docs: DataFrame) -> np.ndarray:
-    """The sorted hashes of the terms in the band.
+    """The sorted hashes of the terms in the band: 1 / LEAST times the mean number of a text's terms at most.
 
     Every row counts, and of each text with k rows one row more with the weight 1 - k: only those are shuffled, not all
     texts.
@@ -232,10 +230,7 @@ def lexicon_of(docs: DataFrame) -> np.ndarray:
     weighted = docs.select("text", F.lit(1).cast("long").alias("weight")).union(more.select("text", 1 - F.col("k")))
     counted = weighted.mapInArrow(term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = park(counted.filter(f"n >= 2 and n >= {LEAST * n[0]} and n <= {max(2.0, MOST * n[0])}"))
-    low = 2
-    while counts.filter(f"n >= {low}").count() > LEXICON:
-        low *= 2
-    terms = counts.filter(f"n >= {low}").select("term").toPandas()["term"].to_numpy(np.int64)
+    terms = counts.select("term").toPandas()["term"].to_numpy(np.int64)
     return np.sort(terms.view(U))
 
 

@@ -111,6 +111,12 @@ def test_op3_of_a_hot_group(spark):
     assert all(r.near_next < 0.3 for i, r in got.items() if i < 60)
 
 
+def test_op3_keeps_its_band_at_any_size(spark):
+    words = " ".join(f"w{k:x}" for k in range(1_100_000))
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, None)], "doc_id long, text string")
+    assert len(op3.lexicon_of(docs)) == 1_100_000
+
+
 def test_op4(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "\\", "\\<|", "<\\|", "a\nb", "", None, "<<||>>\\n", "x" * 3000]
     rows = [(c, t, r, odd[(c * 3 + t) % len(odd)], "clash") for c in range(6) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "to\\ol\n<|x"][: c + 1])]
