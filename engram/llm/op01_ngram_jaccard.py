@@ -6,7 +6,8 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Two texts li
 1. Texts with the same set become one class, stood for by its smallest id.
 2. A class is listed under the `SKETCH` smallest hashes of its set. In a linked pair at least three quarters of the
    smallest hashes of the union lie in both sets, so a pair shares a quarter of the sketch unless fewer than 12 of 48
-   draws at 3/4 succeed (probability below 1e-13). For sets up to 48 the sketch is the set and the least overlap exact.
+   draws at 3/4 succeed (probability below 1e-13). For smaller sets the sketch is the set, and the least number of listed
+   hashes shared with any partner is exact (`least_shared`).
 3. Where a pair must share `need` of its listed hashes, it shares one outside each side's need - 1 most common ones.
    So those are left out, and with them classes with fewer listed hashes: a passage in millions of otherwise different
    texts makes no list.
@@ -56,6 +57,12 @@ def sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def least_shared(n: int, percent: int) -> int:
+    """How many listed hashes a set of n < SKETCH shares with a linked one at least, which lists not all of its m if m > SKETCH."""
+    larger = (-(-percent * (n + m) // (100 + percent)) - (m - SKETCH) for m in range(SKETCH + 1, 100 * n // percent + 1))
+    return max(1, min(-(-percent * n // 100), *larger, SKETCH))
+
+
 def width(n: int) -> int:
     """Bits of the bitmap of a set of n, by its size band: two to four for each hash, so that the bound is close."""
     return min(WIDE, max(NARROW, 2 << (max(n, 1) - 1).bit_length()))
@@ -227,7 +234,8 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
     lists = classes.select("id", F.explode("sketch").alias("token"))
     counts = park(lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     per = lists.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("members", "token")).alias("listed"))
-    need = F.when(F.col("n_shingles") >= SKETCH, QUARTER).otherwise(F.expr(f"cast((n_shingles * {percent} + 99) div 100 as int)"))
+    small = F.array(*(F.lit(least_shared(n, percent)) for n in range(1, SKETCH)))
+    need = F.when(F.col("n_shingles") >= SKETCH, QUARTER).otherwise(F.get(small, (F.col("n_shingles") - 1).cast("int")))
     open_ = park(
         per.join(classes.select("id", "n_shingles"), "id")
         .withColumn("need", need)

@@ -44,6 +44,22 @@ def test_op1(spark):
     assert op1.ngram_jaccard_classes(brute.frame(spark, rows).limit(0)).count() == 0
 
 
+def test_op1_links_sets_either_side_of_the_sketch(spark):
+    rows, at = [], 0
+    for n in range(40, 48):  # words of their own, so that nothing else bridges a pair
+        for m in range(op1.SKETCH + 1, 4 * n // 3 + 1):
+            for _ in range(3):
+                w = [f"{at}x{k}" for k in range(m + 4)]
+                rows += [(at, " ".join(w[: n + 4])), (at + 1, " ".join(w))]
+                at += 2
+    got = {r.doc_id: r.component_id for r in op1.ngram_jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(at)}
+    for n in range(1, 48):
+        for m in range(n, 4 * n // 3 + 1):
+            both = next(o for o in range(n + 1) if 100 * o >= 75 * (n + m - o))
+            assert op1.least_shared(n, 75) <= both - max(0, m - op1.SKETCH)
+
+
 def test_op1_bitmaps_bound_the_overlap_from_above():
     rng = np.random.default_rng(1)
     for n in (3, 40, 700, 9000):
