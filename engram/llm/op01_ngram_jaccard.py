@@ -3,7 +3,7 @@
 A text's set holds the 64-bit hashes of its distinct word shingles. Two texts link when
 ``100 * |A & B| >= percent * |A | B|``.
 
-1. Texts with the same set become one class, stood for by its smallest id.
+1. Texts with the same set become one class, known by a hash of the set and stood for by a row of its smallest doc_id.
 2. A class is listed under the `SKETCH` smallest hashes of its set. In a linked pair at least three quarters of the
    smallest hashes of the union lie in both sets, so a pair shares a quarter of the sketch unless fewer than 12 of 48
    draws at 3/4 succeed (probability below 1e-13). For smaller sets the sketch is the set, and the least number of listed
@@ -40,6 +40,7 @@ NARROW, WIDE = 128, 16384
 SKETCHES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("h", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_id", T.BinaryType()),
         T.StructField("bitmap", T.BinaryType()),
@@ -86,7 +87,7 @@ def sketcher(k: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sketch])]).astype(np.int32)
                 values = pa.array(np.concatenate(sketch) if sketch else np.zeros(0, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                    [batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)],
                     names=SKETCHES.names,
                 )
 
@@ -215,21 +216,21 @@ def admits(percent: int):
     return run
 
 
-def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
+def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75, hashes: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs, and with `hashes` h, the xxhash64 of its text.
 
     A null or wordless text has an empty set and links with nothing. Rows with a null doc_id stay alone, with a null
     component. Repeated rows are one class. Rows that share a doc_id but not a text are judged by their own texts.
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     made = park(docs.mapInArrow(sketcher(k), SKETCHES))
     classes = park(
         made.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"))
-        .dropDuplicates(["id"])
+        .agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"))
+        .select(F.xxhash64("set_id").alias("id"), "set_id", "row.doc_id", "row.h", "n_shingles", "bitmap", "sketch")
     )
     lists = classes.select("id", F.explode("sketch").alias("token"))
     counts = park(lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
@@ -237,14 +238,16 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
     small = F.array(*(F.lit(least_shared(n, percent)) for n in range(1, SKETCH)))
     need = F.when(F.col("n_shingles") >= SKETCH, QUARTER).otherwise(F.get(small, (F.col("n_shingles") - 1).cast("int")))
     open_ = park(
-        per.join(classes.select("id", "n_shingles"), "id")
+        per.join(classes.select("id", "doc_id", "n_shingles"), "id")
         .withColumn("need", need)
         .filter("size(listed) >= need")
-        .select("id", "n_shingles", F.explode(F.slice(F.array_sort("listed"), F.lit(1), F.size("listed") - F.col("need") + 1)).alias("t"))
-        .select("t.token", "id", "n_shingles")
+        .select("id", "doc_id", "n_shingles", F.explode(F.slice(F.array_sort("listed"), F.lit(1), F.size("listed") - F.col("need") + 1)).alias("t"))
+        .select("t.token", "id", "doc_id", "n_shingles")
     )
     # Each list in tiles by size: long lists get a size rank from counts by size, never a sort of the whole list.
-    by_size = open_.groupBy("token", "n_shingles").agg(F.count(F.lit(1)).alias("here"), F.min("id").alias("low"))
+    # Members are paired with those of the smallest doc_id: an original comes before its copies, and links with more of them.
+    eldest = F.min(F.struct("doc_id", "id"))
+    by_size = open_.groupBy("token", "n_shingles").agg(F.count(F.lit(1)).alias("here"), eldest.alias("low"))
     upto = Window.partitionBy("token").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("token")
     ranks = by_size.select(
@@ -253,9 +256,9 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
     tiled = park(
         open_.join(ranks, ["token", "n_shingles"])
         .withColumn("tile", F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("here"))) / TILE).cast("int"))
-        .select("token", "id", "n_shingles", "tile", "first", "low")
+        .select("token", "id", "doc_id", "n_shingles", "tile", F.col("first.id").alias("first"), F.col("low.id").alias("low"))
     )
-    starts = tiled.groupBy("token", "tile").agg(F.min("id").alias("head"))
+    starts = tiled.groupBy("token", "tile").agg(eldest.alias("head")).select("token", "tile", F.col("head.id").alias("head"))
     star = (
         tiled.join(starts, ["token", "tile"])
         .select(F.explode(F.array("first", "low", "head")).alias("o"), "id")
@@ -263,8 +266,8 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
         .select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b"))
         .distinct()
     )
-    needed = tiled.select("id").distinct()
-    texts = park(docs.withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    needed = classes.select("id", "doc_id", "h").join(tiled.select("id").distinct(), "id", "left_semi")
+    texts = park(docs.join(needed, ["doc_id", "h"]).select("id", "text").dropDuplicates(["id"]))
     del lists, counts, per, by_size, ranks, open_
     sweep(spark)
     found = verified(star, texts, k, percent)
@@ -288,11 +291,12 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
     dealt = sides.join(signed, ["token", "tile"]).select("token", "one", "two", "side", "id", "n_shingles", "component", "bitmap").repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "side")
     admitted = park(dealt.mapInArrow(admits(percent), "a long, b long").distinct().join(found, ["a", "b"], "left_anti"))
     more = verified(admitted, texts, k, percent)
-    final = components(found.union(more))
-    low = made.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    of_set = low.join(final.withColumnRenamed("node", "id"), "id", "left").select("set_id", label)
+    final = park(components(found.union(more)).withColumnRenamed("node", "id"))
+    own = classes.select("id", "set_id", "doc_id")
+    least = final.join(own, "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_set = own.join(final.join(least, "component").select("id", "least"), "id", "left").select("set_id", F.coalesce("least", "doc_id").alias("component"))
     return (
-        made.select("doc_id", "n_shingles", "set_id")
+        made.select("doc_id", "h", "n_shingles", "set_id")
         .join(of_set, "set_id", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *["h"] * hashes)
     )

@@ -60,6 +60,19 @@ def test_op1_links_sets_either_side_of_the_sketch(spark):
             assert op1.least_shared(n, 75) <= both - max(0, m - op1.SKETCH)
 
 
+def test_op1_judges_rows_of_one_id_by_their_own_texts(spark):
+    text = lambda t: " ".join(f"{t}{k}" for k in range(30))
+    rows = [(5, text("a")), (5, text("b")), (7, text("a") + " end"), (8, text("b") + " end"), (3, text("c")), (5, text("c") + " end"), (9, text("d"))]
+    rows += [(i, text(f"t{i}") + tail) for i in range(20, 40) for tail in ("", " end")] + [(i, text(f"u{i - 20}")) for i in range(40, 60)]
+    rows += [(i - 20, text(f"u{i - 20}") + " end") for i in range(40, 60)]
+    got = op1.ngram_jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), hashes=True)
+    h = {r.h: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    got = {(r.doc_id, h[r.h]): r.component_id for r in got.collect()}
+    want = {(5, text("a")): 5, (5, text("b")): 5, (7, text("a") + " end"): 5, (8, text("b") + " end"): 5, (3, text("c")): 3, (5, text("c") + " end"): 3, (9, text("d")): 9}
+    want |= {(i, t): i if i < 40 else i - 20 for i, t in rows if i >= 20}
+    assert got == want
+
+
 def test_op1_bitmaps_bound_the_overlap_from_above():
     rng = np.random.default_rng(1)
     for n in (3, 40, 700, 9000):
