@@ -52,10 +52,11 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
+    """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) else pa.large_string())
+    texts = texts.fill_null(b"" if pa.types.is_large_binary(texts.type) else "")
     _, offsets, data = texts.buffers()
     o = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     d = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

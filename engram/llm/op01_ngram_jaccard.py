@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engram.llm.bytehash import SPACES, Words, pieces
-from engram.llm.shared import components, park, sweep
+from engram.llm.shared import components, hot_join, park, scratch
 
 SKETCH, QUARTER, TILE = 48, 12, 256
+#: So many tiles of a list are matched with the others in one task; a longer list is cut into several such keys.
+STRIP = 64
 NARROW, WIDE = 128, 16384
 
 SKETCHES = T.StructType(
@@ -219,11 +221,19 @@ def admits(percent: int):
 def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75, hashes: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs, and with `hashes` h, the xxhash64 of its text.
 
-    A null or wordless text has an empty set and links with nothing. Rows with a null doc_id stay alone, with a null
-    component. Repeated rows are one class. Rows that share a doc_id but not a text are judged by their own texts.
-    Other columns are ignored.
+    A null or wordless text has an empty set and links with nothing. Rows with a null doc_id link with nothing and have
+    a null component. Repeated rows are one class. Rows that share a doc_id but not a text are judged by their own
+    texts. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    with scratch(docs.sparkSession) as kept:
+        made, of_set = _classes(docs, k, percent)
+        kept += [made, of_set]
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
+    return hot_join(made.select("doc_id", "h", "n_shingles", "set_id"), of_set, "set_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), *["h"] * hashes)
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(made, of_set): every row's set, and the component of every set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     made = park(docs.mapInArrow(sketcher(k), SKETCHES))
     classes = park(
@@ -268,8 +278,6 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75, hashes
     )
     needed = classes.select("id", "doc_id", "h").join(tiled.select("id").distinct(), "id", "left_semi")
     texts = park(docs.join(needed, ["doc_id", "h"]).select("id", "text").dropDuplicates(["id"]))
-    del lists, counts, per, by_size, ranks, open_
-    sweep(spark)
     found = verified(star, texts, k, percent)
     grouped = components(found)
     label = F.coalesce("component", "id").alias("component")
@@ -278,9 +286,12 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75, hashes
     mixed = park(labelled.join(several, "token", "left_semi"))
     tiles = mixed.groupBy("token", "tile").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     one, two = (tiles.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("tile", "least", "most", "lo", "hi"))) for s in ("1", "2"))
-    # Tile pairs of one list whose sizes allow a link and that don't hold one and the same group.
+    # Tile pairs of one list whose sizes allow a link and that don't hold one and the same group. A tile meets those
+    # before it strip by strip, so a long list is many keys.
+    one = one.withColumn("strip", F.floor(F.col("tile1") / STRIP))
+    two = two.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("tile2") / STRIP))))
     met = (
-        one.join(two, "token")
+        one.join(two, ["token", "strip"])
         .filter(f"tile1 <= tile2 and {percent} * least2 <= 100 * most1 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
         .select("token", F.col("tile1").alias("one"), F.col("tile2").alias("two"))
     )
@@ -291,12 +302,9 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 75, hashes
     dealt = sides.join(signed, ["token", "tile"]).select("token", "one", "two", "side", "id", "n_shingles", "component", "bitmap").repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "side")
     admitted = park(dealt.mapInArrow(admits(percent), "a long, b long").distinct().join(found, ["a", "b"], "left_anti"))
     more = verified(admitted, texts, k, percent)
-    final = park(components(found.union(more)).withColumnRenamed("node", "id"))
+    final = components(found.union(more)).withColumnRenamed("node", "id")
     own = classes.select("id", "set_id", "doc_id")
-    least = final.join(own, "id").groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_set = own.join(final.join(least, "component").select("id", "least"), "id", "left").select("set_id", F.coalesce("least", "doc_id").alias("component"))
-    return (
-        made.select("doc_id", "h", "n_shingles", "set_id")
-        .join(of_set, "set_id", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *["h"] * hashes)
-    )
+    placed = park(final.join(own, "id"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = hot_join(placed, least, "component").select("set_id", F.col("least").alias("component"))
+    return made, park(named.union(own.join(final, "id", "left_anti").select("set_id", F.col("doc_id").alias("component"))))

@@ -4,10 +4,17 @@ A byte goes when a string of `LEAST` bytes that covers it also starts in a docum
 
 One suffix array over the corpus would be one task's work, so suffixes are dealt out by content: a suffix belongs to the
 smallest hash among the 24-byte grams of its first 50 bytes. Equal 50-byte strings therefore meet in one place, and
-consecutive suffixes share it for a stretch, which is sent as one row. Only stretches whose key stands in two documents
-are sent with their bytes. Where they meet, the suffixes are put in order (by their first 50 bytes, then doc_id); with
-the common prefixes capped at 50, the previous smaller position of a suffix is the head of its run of equal prefixes,
-and the next smaller position can't lie in the run. A longest previous factor of 50 marks the bytes.
+consecutive suffixes share it for a stretch (of `PIECE` suffixes at most), which is sent as one row. Only stretches whose
+key stands twice are sent with their bytes.
+
+Where they meet, equal stretches are one class, known by its first document; the suffixes of the classes are sorted
+whole, their common prefixes counted, and for each suffix the previous and the next position with a smaller doc_id are
+found. The longer of the two common prefixes is its longest previous factor; from 50 bytes on, it marks the suffix's
+first 50 bytes. Every start of a factor of 50 is a suffix of some stretch, so a factor that runs on past its stretch is
+marked by the next ones.
+
+A key with over `MANY` stretches is not sorted in one task. Its stretches are first collapsed to classes, before any
+shuffle; if over `MANY` classes are left, their suffixes are dealt out again by all of their first 50 bytes.
 
 A text that is equal to one with a smaller doc_id goes as a whole, before any of this.
 """
@@ -23,16 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.bytehash import BASE, BASE_INVERSE, buffers, mix, pieces, powers
-from engram.llm.shared import park, sweep
+from engram.llm.shared import discard, hot_join, park, scratch
 
-LEAST, GRAM = 50, 24
-#: Stretches that are put in order at a time; a key with more is worked through in parts, in order of doc_id.
-PART = 1 << 15
+LEAST, GRAM, PIECE = 50, 24, 32
+#: Stretches of one key that are sorted together at most, and rows that are held at a time.
+MANY, PART = 1 << 12, 1 << 14
+#: The 64-bit words of a stretch's longest suffix.
+WORDS = (PIECE + LEAST + 6) // 8
 U = np.uint64
+STRETCH = "key long, doc_id long, h long, start int, bytes binary"
+RANGE = "doc_id long, h long, start int, end int"
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, length, key): for every document, its runs of 50-byte windows with the same smallest gram hash."""
+    """(doc, start, length, key): for every document, its runs of 50-byte windows with the same smallest gram hash, cut to PIECE."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < LEAST:
@@ -56,11 +67,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return doc[a], a, b - a, low[a]
+    cuts = -(-(b - a) // PIECE)
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    a, b = np.repeat(a, cuts) + nth * PIECE, np.repeat(b, cuts)
+    return doc[a], a, np.minimum(b - a, PIECE), low[a]
 
 
 def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, h): the distinct keys of each text."""
+    """(key, doc_id, h, n): the distinct keys of each text, with the number of its stretches."""
     for whole in batches:
         for batch in pieces(whole):
             doc, _, _, key = stretches(*buffers(batch.column("text")))
@@ -68,28 +82,40 @@ def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, key = doc[order], key[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            n = np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.int32)
             at = pa.array(doc[new])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at)], names=["key", "doc_id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(n)], names=["key", "doc_id", "h", "n"])
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those that share it with a neighbour."""
-    held = None
+    """(key, doc_id, h, hot) of rows sorted by key: those whose key stands in two rows. hot: it has over MANY stretches.
+
+    A key's rows are held until it ends or is known to be hot, so at most MANY of them and a batch.
+    """
+    held, hot = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([*([held] if held is not None else []), batch]).combine_chunks()
-        key = table.column("key").to_numpy()
-        same = key[1:] == key[:-1]
-        known = held is not None and held.schema.metadata == {b"same": b"1"}
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= known
-        yield from table.filter(pa.array(np.concatenate([keep[:-1], [False]]))).to_batches()
-        held = table.slice(len(key) - 1).to_batches()[0].replace_schema_metadata({"same": "1"} if keep[-1] else None)
-    if held is not None and held.schema.metadata == {b"same": b"1"}:
-        yield held.replace_schema_metadata(None)
+        table = pa.Table.from_batches([*(held or []), batch]).combine_chunks()
+        held, hot, out = judged(table, hot, False)
+        yield from out
+    if held:
+        yield from judged(pa.Table.from_batches(held).combine_chunks(), hot, True)[2]
+
+
+def judged(table: pa.Table, hot: int | None, ended: bool) -> tuple[list[pa.RecordBatch] | None, int | None, list[pa.RecordBatch]]:
+    """(rows to hold, the last key if it is hot, rows decided)."""
+    key = table.column("key").to_numpy()
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(begin, len(key)))
+    many = (np.add.reduceat(table.column("n").to_numpy().astype(np.int64), begin) > MANY) | (key[begin] == hot if hot is not None else False)
+    keep = (size > 1) | many
+    hold = not ended and not many[-1]
+    if hold:
+        keep[-1] = False
+    rows = pa.array(np.repeat(keep, size))
+    out = table.select(["key", "doc_id", "h"]).append_column("hot", pa.array(np.repeat(many, size))).filter(rows)
+    return table.slice(begin[-1]).to_batches() if hold else None, int(key[-1]) if many[-1] else None, out.to_batches()
 
 
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -100,87 +126,164 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[index].tobytes())]).cast(pa.binary())
 
 
-def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, h, start, bytes): the stretches of each text whose key is in its list."""
-    for whole in batches:
-        for batch in pieces(whole):
-            data, offsets = buffers(batch.column("text"))
-            doc, start, length, key = stretches(data, offsets)
-            lists = batch.column("keys")
-            wanted = lists.flatten().to_numpy().view(U)
-            owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            # (doc, key) of a stretch is looked up among those wanted.
-            order = np.lexsort((wanted, owner))
-            wanted, owner = wanted[order], owner[order]
-            keep = np.zeros(len(key), bool)
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            mine = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            for d in range(batch.num_rows):
-                w, k = wanted[cut[d] : cut[d + 1]], key[mine[d] : mine[d + 1]]
-                if len(w) and len(k):
-                    p = np.minimum(np.searchsorted(w, k), len(w) - 1)
-                    keep[mine[d] : mine[d + 1]] = w[p] == k
-            doc, start, length, key = doc[keep], start[keep], length[keep], key[keep]
-            at = pa.array(doc)
+def sender(hot: bool):
+    """(key, doc_id, h, start, bytes): the stretches of each text whose key is on its list, hot or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                data, offsets = buffers(batch.column("text"))
+                doc, start, length, key = stretches(data, offsets)
+                lists = batch.column("keys")
+                flat = lists.flatten()
+                mine = flat.field("hot").to_numpy(zero_copy_only=False) == hot
+                wanted = flat.field("key").to_numpy().view(U)[mine]
+                owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[mine]
+                # (doc, key) of a stretch is looked up among those wanted.
+                order = np.lexsort((wanted, owner))
+                wanted, owner = wanted[order], owner[order]
+                keep = np.zeros(len(key), bool)
+                cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                own = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                for d in range(batch.num_rows):
+                    w, k = wanted[cut[d] : cut[d + 1]], key[own[d] : own[d + 1]]
+                    if len(w) and len(k):
+                        p = np.minimum(np.searchsorted(w, k), len(w) - 1)
+                        keep[own[d] : own[d + 1]] = w[p] == k
+                doc, start, length, key = doc[keep], start[keep], length[keep], key[keep]
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array((start - offsets[doc]).astype(np.int32)), gathered(data, start, length + LEAST - 1)],
+                    names=["key", "doc_id", "h", "start", "bytes"],
+                )
+
+    return run
+
+
+def dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of stretches one by one, cut to 50 bytes, which are their key."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, MANY):
+            part = batch.slice(at, MANY)
+            data, o = buffers(part.column("bytes"))
+            length = np.diff(o) - (LEAST - 1)
+            row = np.repeat(np.arange(len(length)), length)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            begin = o[row] + nth
+            key = range_hashes(data, begin, begin + LEAST)
+            take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array((start - offsets[doc]).astype(np.int32)), gathered(data, start, length + LEAST - 1)],
+                [pa.array(key.view(np.int64)), part.column("doc_id").take(take), part.column("h").take(take), pa.array((part.column("start").to_numpy()[row] + nth).astype(np.int32)), gathered(data, begin, np.full(len(begin), LEAST))],
                 names=["key", "doc_id", "h", "start", "bytes"],
             )
 
 
-def suffixes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, row, at): the first 50 bytes of each suffix as seven big-endian words, its row and its place there."""
-    column = table.column("bytes").combine_chunks().cast(pa.large_binary())
-    _, offsets, raw = column.buffers()
-    o = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.concatenate([np.frombuffer(raw, np.uint8)[o[0] : o[-1]], np.zeros(8, np.uint8)])
-    o = o - o[0]
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        s = np.zeros(len(data) + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)), out=s[1:])
+        return mix((s[end] - s[start]) * powers(BASE_INVERSE, len(data) + 1)[start] + (end - start).astype(U))
+
+
+def suffix_order(data: np.ndarray, o: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, at, order, common) of stretches: their suffixes of 50 bytes and more, sorted whole within each key, and each one's common prefix with the one before it."""
     length = np.diff(o) - (LEAST - 1)
     row = np.repeat(np.arange(len(length)), length)
     at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-    word = np.zeros(len(data) - 7, U)
+    begin, rest = o[row] + at, o[row + 1] - o[row] - at
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.zeros(len(data) + 1, U)
     for j in range(8):
-        word |= data[j : len(data) - 7 + j].astype(U) << U(56 - 8 * j)
-    begin = o[row] + at
-    words = np.stack([word[begin + 8 * j] for j in range(7)])
-    words[6] &= U(0xFFFF << 48)  # two bytes of the last word
-    return words, row, at
+        word |= padded[j : len(data) + 1 + j].astype(U) << U(56 - 8 * j)
+    words = np.empty((WORDS, len(row)), U)
+    for j in range(WORDS):
+        outside = U(8) * (8 - np.clip(rest - 8 * j, 1, 8)).astype(U)  # bits of this word that lie past the stretch
+        words[j] = np.where(rest > 8 * j, word[np.minimum(begin + 8 * j, len(data))] >> outside << outside, U(0))
+    order = np.lexsort((doc[row], rest, *words[::-1], key[row]))
+    words, rest, key = words[:, order], rest[order], key[row][order]
+    common = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        differ = words[:, 1:] ^ words[:, :-1]
+        some = differ != 0
+        first = np.where(some.any(axis=0), some.argmax(axis=0), WORDS)
+        x = differ[np.minimum(first, WORDS - 1), np.arange(len(first))]
+        bits = np.zeros(len(x), np.int64)  # leading zero bytes of the first word that differs
+        for j in range(1, 8):
+            bits += x < (U(1) << U(64 - 8 * j))
+        both = np.where(first < WORDS, 8 * first + bits, 8 * WORDS)
+        common[1:] = np.where(key[1:] == key[:-1], np.minimum(both, np.minimum(rest[1:], rest[:-1])), 0)
+    return row, at, order, common
+
+
+def smaller_before(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each position, the common prefix with the nearest position before it of a smaller value; 0 without one.
+
+    Pointers jump over positions that are no smaller, so it takes about the logarithm of the longest distance.
+    """
+    p, m = np.arange(len(value)) - 1, common.copy()
+    m[p < 0] = 0
+    at = np.flatnonzero((m > 0) & (value[p] >= value))
+    while len(at):
+        q = p[at]
+        p[at], m[at] = p[q], np.minimum(m[at], m[q])
+        at = at[(m[at] > 0) & (value[p[at]] >= value[at])]
+    return m
+
+
+def previous_factors(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factors of positions in suffix order: the longer of the common prefixes with the previous and the next smaller one."""
+    after = np.append(common[1:], 0)[::-1] if len(common) else common
+    return np.maximum(smaller_before(value, common), smaller_before(value[::-1], after)[::-1])
 
 
 def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From stretches sorted by key and doc_id: the byte ranges (doc_id, h, start, end) with a longest previous factor of 50."""
-    carry_words, carry_doc, carry_key = np.zeros((7, 0), U), np.zeros(0, np.int64), None
+    """From stretches sorted by key and doc_id: the byte ranges (doc_id, h, start, end) with a longest previous factor of 50.
+
+    Keys come whole; one that has more rows than fit a part goes on with the classes it has had.
+    """
+    carry: pa.Table | None = None
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        nonlocal carry_words, carry_doc, carry_key
-        key, docs = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
-        words, row, at = suffixes(table)
-        if carry_key is not None and carry_key != key[0]:
-            carry_words, carry_doc = np.zeros((7, 0), U), np.zeros(0, np.int64)
-        old = len(carry_doc)
-        words = np.concatenate([carry_words, words], axis=1)
-        doc = np.concatenate([carry_doc, docs[row]])
-        order = np.lexsort((doc, *words[::-1]))
-        ordered = words[:, order]
-        head = np.ones(len(order), bool)
-        head[1:] = (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)  # a common prefix under 50 with the one before
-        previous = np.flatnonzero(head)[np.cumsum(head) - 1]  # the smallest position of each run of equal prefixes
-        gone = np.zeros(len(order), bool)
-        gone[order] = doc[order[previous]] < doc[order]
-        # What later parts of the last key need: its distinct prefixes, each with its smallest doc_id.
-        owner = np.concatenate([np.full(old, key[0]), key[row]])
-        stay = order[head]
-        stay = stay[owner[stay] == key[-1]]
-        carry_words, carry_doc, carry_key = words[:, stay], doc[stay], key[-1]
-        gone = gone[old:]
-        first, last = gone.copy(), gone.copy()
-        first[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
-        last[:-1] &= ~gone[1:] | (row[1:] != row[:-1])
-        a, b = np.flatnonzero(first), np.flatnonzero(last)
-        begin = table.column("start").to_numpy()[row[a]] + at[a]
-        end = table.column("start").to_numpy()[row[b]] + at[b] + LEAST
-        take = pa.array(row[a])
+        nonlocal carry
+        if carry is not None and carry.column("key")[0].as_py() != table.column("key")[0].as_py():
+            carry = None
+        old = carry.num_rows if carry is not None else 0
+        table = pa.concat_tables([carry, table]).combine_chunks() if old else table.combine_chunks()
+        key, doc, start = (table.column(c).to_numpy() for c in ("key", "doc_id", "start"))
+        data, o = buffers(table.column("bytes"))
+        length = np.diff(o) - (LEAST - 1)
+        # Equal stretches of a key are a class; rows come by doc_id, so its first row has its smallest.
+        sid = range_hashes(data, o[:-1], o[1:])
+        by = np.lexsort((np.arange(len(key)), sid, key))
+        new = np.append(True, (key[by][1:] != key[by][:-1]) | (sid[by][1:] != sid[by][:-1]))
+        of = np.empty(len(key), np.int64)  # the first row of each row's class
+        of[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+        firsts = np.flatnonzero(of == np.arange(len(key)))
+        _, back, count = np.unique(key[firsts], return_inverse=True, return_counts=True)
+        sorted_ = firsts[count[back] > 1]  # a class alone has no other's factors
+        gone = np.zeros(int(length.sum()), bool)  # by suffix
+        base = np.cumsum(length) - length
+        if len(sorted_):
+            cut = gathered(data, o[sorted_], o[sorted_ + 1] - o[sorted_])
+            some, so = buffers(cut)
+            row, at, order, common = suffix_order(some, so, key[sorted_], doc[sorted_])
+            long = np.empty(len(order), bool)
+            long[order] = previous_factors(doc[sorted_][row][order], common) >= LEAST
+            gone[base[sorted_][row] + at] = long
+        # A class's later documents lose the whole stretch; rows of its first document fare as its first row.
+        nth = np.arange(len(gone)) - np.repeat(base, length)
+        member = np.repeat(np.arange(len(key)), length)
+        gone = np.where((doc > doc[of])[member], True, gone[base[of][member] + nth])
+        last = firsts[key[firsts] == key[-1]]
+        carry = table.take(pa.array(last))
+        gone &= member >= old
+        a, b = gone.copy(), gone.copy()
+        a[1:] &= ~gone[:-1] | (member[1:] != member[:-1])
+        b[:-1] &= ~gone[1:] | (member[1:] != member[:-1])
+        a, b = np.flatnonzero(a), np.flatnonzero(b)
+        take = pa.array(member[a])
         doc_id, h = (table.column(c).combine_chunks().take(take) for c in ("doc_id", "h"))
+        begin, end = start[member[a]] + nth[a], start[member[b]] + nth[b] + LEAST
         return pa.RecordBatch.from_arrays([doc_id, h, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "h", "start", "end"])
 
     held, n = [], 0
@@ -188,11 +291,34 @@ def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, PART):
             held.append(batch.slice(at, PART))
             n += held[-1].num_rows
-            if n >= PART:
-                yield work(pa.Table.from_batches(held).combine_chunks())
-                held, n = [], 0
+            if n < PART:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1]) or n  # to where the last key begins
+            yield work(table.slice(0, whole))
+            held, n = (table.slice(whole).to_batches(), n - whole) if whole < n else ([], 0)
     if n:
-        yield work(pa.Table.from_batches(held).combine_chunks())
+        yield work(pa.Table.from_batches(held))
+
+
+def ordered_factors(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(factors, RANGE)
+
+
+def hot_ranges(rows: DataFrame) -> DataFrame:
+    """The ranges of the stretches of keys with over MANY of them: factors of classes, given back to the classes' rows."""
+    rows = park(rows.withColumn("sid", F.xxhash64("key", "bytes")))
+    classes = park(rows.groupBy("key", "sid").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes")).select("key", "doc_id", F.col("sid").alias("h"), F.lit(0).alias("start"), "bytes"))
+    many = park(classes.groupBy("key").count().filter(F.col("count") > MANY).select("key", F.lit(True).alias("many")))
+    flagged = park(hot_join(classes, many, "key", "left"))
+    few, more = (flagged.filter(f"{c} many is not null").select(*classes.columns) for c in ("not", ""))
+    found = park(ordered_factors(few.union(more.mapInArrow(dealt_again, STRETCH))))
+    spans = found.groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    per = park(classes.select(F.col("h").alias("sid"), F.col("doc_id").alias("first")).join(spans.withColumnRenamed("h", "sid"), "sid", "left"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("bytes").alias("end")))
+    own = hot_join(rows, per, "sid").withColumn("span", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans"))))
+    return own.select("doc_id", "h", (F.col("start") + F.col("span.start")).alias("start"), (F.col("start") + F.col("span.end")).alias("end"))
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,35 +347,38 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sizes, cuts): every row's doc_id, h, n_bytes, digest and the first doc_id with its text; the outcome of each text that loses some bytes."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = park(docs.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")))
-    firsts = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    sizes = park(sizes.join(firsts, "digest"))
-    later = sizes.filter("doc_id > first").select("doc_id", "h").distinct()
-    unique = docs.filter(f"doc_id is not null and octet_length(text) >= {LEAST}").join(later, ["doc_id", "h"], "left_anti").dropDuplicates(["doc_id", "h"])
-    found = unique.mapInArrow(keys_of, "key long, doc_id long, h long").repartition("key").sortWithinPartitions("key")
-    wanted = found.mapInArrow(repeated, "key long, doc_id long, h long")
-    lists = park(wanted.groupBy("doc_id", "h").agg(F.collect_list("key").alias("keys")))
-    # Each pass over the texts shuffles them; what the pass before it wrote can go.
-    del found, wanted
-    sweep(docs.sparkSession)
-    rows = unique.join(lists, ["doc_id", "h"]).mapInArrow(sent, "key long, doc_id long, h long, start int, bytes binary")
-    ranges = park(rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(factors, "doc_id long, h long, start int, end int"))
-    del rows
-    sweep(docs.sparkSession)
-    per = ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    cuts = unique.join(per, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return sizes, cuts
+    with scratch(spark) as kept:
+        digests = park(docs.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")))
+        copied = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
+        sizes = park(hot_join(digests, copied, "digest"))
+        discard(digests)
+        later = sizes.filter("doc_id > first").select("doc_id", "h").distinct()
+        unique = docs.filter(f"doc_id is not null and octet_length(text) >= {LEAST}").join(later, ["doc_id", "h"], "left_anti").dropDuplicates(["doc_id", "h"])
+        found = unique.mapInArrow(keys_of, "key long, doc_id long, h long, n int").repartition("key").sortWithinPartitions("key")
+        wanted = found.mapInArrow(repeated, "key long, doc_id long, h long, hot boolean")
+        lists = park(wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "hot")).alias("keys")))
+        ranges = park(ordered_factors(unique.join(lists, ["doc_id", "h"]).mapInArrow(sender(False), STRETCH)))
+        hot = park(lists.filter(F.exists("keys", lambda k: k["hot"])))
+        if hot.limit(1).count():
+            ranges = ranges.union(hot_ranges(unique.join(hot, ["doc_id", "h"]).mapInArrow(sender(True), STRETCH)))
+        per = park(ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+        kept += [sizes, per]
+    return sizes, unique.join(per, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row.
 
     Null texts are empty. A null doc_id has no order: such rows lose nothing and take nothing from others. Rows that
-    share a doc_id don't affect each other; repeated rows get equal results. Other columns are ignored.
+    share a doc_id don't affect each other; repeated rows get equal results. Other columns are ignored. An empty table
+    gives an empty result.
     """
-    sizes, cuts = removed_ranges(docs)
-    cuts = park(cuts.drop("kept"))
+    with scratch(docs.sparkSession) as kept:
+        sizes, cuts = removed_ranges(docs)
+        cuts = park(cuts.drop("kept"))
+        kept += [sizes, cuts]
     gone = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LEAST)
     return sizes.join(cuts, ["doc_id", "h"], "left").select(
         "doc_id",

@@ -38,7 +38,7 @@ def test_op1(spark):
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
-            assert r.component_id is None or r.n_shingles > 0
+            assert r.component_id is None
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r
     assert op1.ngram_jaccard_classes(brute.frame(spark, rows).limit(0)).count() == 0
@@ -242,9 +242,10 @@ def test_op8(spark):
     assert op8.personal_data_digest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("part", [3, 1 << 15])
-def test_op9(spark, part, monkeypatch):
+@pytest.mark.parametrize("part,many", [(3, 1 << 12), (1 << 14, 1 << 12), (1 << 14, 2), (5, 0)])
+def test_op9(spark, part, many, monkeypatch):
     monkeypatch.setattr(op9, "PART", part)
+    monkeypatch.setattr(op9, "MANY", many)
     rows = brute.messy([(400, "ab" * 300), (401, "ab" * 200 + "xyz"), (402, "q" * 50), (403, "z" + "q" * 50 + "é" * 40), (404, "é" * 40), (405, "x" * 49), (406, "x" * 49)])
     want = brute.cuts(rows)
     got = op9.suffix_dedup(brute.frame(spark, rows)).collect()
@@ -255,6 +256,52 @@ def test_op9(spark, part, monkeypatch):
         assert op9.suffix_dedup(brute.frame(spark, rows).limit(0)).count() == 0
 
 
+def test_op9_of_a_key_with_many_stretches(spark, monkeypatch):
+    """One passage of 30 bytes in every text, with other words on both sides; some texts share more of them."""
+    monkeypatch.setattr(op9, "MANY", 50)
+    rnd = np.random.default_rng(4)
+    word = lambda: "".join(rnd.choice(list("abcdef"), 12))
+    rows = [(i, f"{word()} {word()} this is one very common passage {word()} {word()}") for i in range(300)]
+    rows += [(300 + i, rows[i][1][: 70 - i % 30] + word()) for i in range(100)] + [(i, rows[i - 400][1][9:] + word()) for i in range(400, 450)]
+    want = brute.cuts(rows)
+    got = {r.doc_id: r for r in op9.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(r.n_removed for r in got.values()) > 5000
+    for (i, _), w in want.items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9)), max_size=40))
+def test_op9_longest_previous_factors(pairs):
+    value, common = np.array([v for v, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int64)
+    common[:1] = 0
+    want = []
+    for i in range(len(value)):
+        best = 0
+        for step in (-1, 1):
+            j, m = i + step, 99
+            while 0 <= j < len(value):
+                m = min(m, common[max(j, j - step)])
+                if value[j] < value[i]:
+                    best = max(best, m)
+                    break
+                j += step
+        want.append(best)
+    assert op9.previous_factors(value, common).tolist() == want
+
+
+def test_op9_sorts_suffixes_whole():
+    rnd = np.random.default_rng(2)
+    some = [bytes(rnd.choice(list(b"ab\0"), n).astype(np.uint8)) for n in rnd.integers(50, 82, 40)] + [b"a" * 81, b"a" * 60, b"a" * 60 + b"\0" * 21]
+    o = np.concatenate([[0], np.cumsum([len(x) for x in some])])
+    key = np.arange(len(some)) % 3
+    row, at, order, common = op9.suffix_order(np.frombuffer(b"".join(some), np.uint8), o, key, np.arange(len(some)))
+    got = [(key[row[i]], some[row[i]][at[i] :]) for i in order]
+    assert got == sorted((key[r], x[i:]) for r, x in enumerate(some) for i in range(len(x) - 49))
+    for (k, x), (l, y), c in zip(got[:-1], got[1:], common[1:], strict=True):
+        assert c == (next((n for n, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))) if k == l else 0)
+
+
 def test_op10(spark):
     rows = brute.messy([(500 + i, "copy of a copy") for i in range(120)])
     got = op10.vector_shards(brute.frame(spark, rows), shards=4).collect()
