@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from engram.llm.shared import ascii_lower, park
 
 GRAM, SPAN = 5, 10
-#: A table of item fingerprints or of contaminated documents up to this many rows (16 bytes each) is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A table of item fingerprints or of contaminated documents up to this many bytes is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -51,9 +51,10 @@ def own_words(n: int):
     return lambda i: F.array(*(F.get("w", i + j) for j in range(n)))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A parked table, marked for broadcast only if its counted rows are few; joins shuffle otherwise."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, words: str | None = None) -> DataFrame:
+    """A parked table, marked for broadcast only if it is small by its counted rows, each of 64 bytes and the words of a column; joins shuffle otherwise."""
+    size = F.lit(64) if words is None else 64 + F.aggregate(words, F.lit(0), lambda n, w: n + F.coalesce(F.octet_length(w), F.lit(0)) + 16)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     places = again.select("doc_id", "h", wide.alias("p"))
     for n in short:
         places = places.union(again.select("doc_id", "h", F.explode(runs(F.col("w"), n, n, own_words(n))).alias("p")))
-    met = places.select("doc_id", "h", "p.*").join(small(target), ["fp", "n"])
+    met = places.select("doc_id", "h", "p.*").join(small(target, "theirs"), ["fp", "n"])
     same = lambda o: (
         F.get("ours", o).isNotNull() & F.get("ours", o + SPAN - 1).isNotNull() & F.get("theirs", o).isNotNull() & F.get("theirs", o + SPAN - 1).isNotNull() & (F.slice("ours", o + 1, SPAN) == F.slice("theirs", o + 1, SPAN))
     )

@@ -237,17 +237,18 @@ def lexicon_of(docs: DataFrame) -> np.ndarray:
 def imatch(docs: DataFrame) -> DataFrame:
     """The fingerprint of every row's text and of its edited text, and their likenesses; see ROW.
 
-    The next document is that of the next smaller doc_id (nulls last, ties by text); after the last comes the first. A
-    null text is empty. Other columns are ignored. A single row follows itself; an empty table gives an empty result.
+    The next document is that of the next smaller doc_id (nulls last, ties by the xxhash64 of the text); after the last
+    comes the first. A null text is empty. Other columns are ignored. A single row follows itself; an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     lexicon = spark.sparkContext.broadcast(lexicon_of(docs).tobytes())
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = park(
-        # Dealt by doc_id alone: the sample of keys that the driver takes would hold whole texts otherwise.
-        docs.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(chained(lexicon), f"{ROW}, part int, edge string, text string")
+        # Dealt by doc_id and hash, so rows without a doc_id spread as well; the driver's sample of keys holds no texts.
+        docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(chained(lexicon), f"{ROW}, part int, edge string, text string")
     )
     ends = rows.filter("edge is not null")
     # One first and one last text for each part: which part follows which is a list of small numbers.

@@ -5,7 +5,8 @@ character n-grams of the longest length (`ORDERS`) of which it has any. The lang
 wins; the score is its share in the softmax of the sums.
 
 The counts come from a sample of labelled rows of bounded size: `FIT_ROWS` for each language on average, chosen by a hash
-of doc_id; all rows of a language that has fewer. The model keeps the most frequent `KEPT` words and n-grams.
+of doc_id; all rows of a language that has fewer. The model is broadcast, so it is bounded by a parameter of `fit` too:
+`entries` words, and as many n-grams of each length, the most frequent of the sample, which it must have seen twice.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from engram.llm.bytehash import NON_LETTERS, Words, pieces
 from engram.llm.shared import park
 
-FIT_ROWS, KEPT, ORDERS, SMOOTH = 4000, 200_000, (4, 3, 2, 1), 0.1
+FIT_ROWS, ENTRIES, ORDERS, SMOOTH = 4000, 200_000, (4, 3, 2, 1), 0.1
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -102,11 +103,15 @@ class Backoff:
         return ["und" if b else self.langs[k] for b, k in zip(blank, best, strict=True)], np.where(blank, 0.0, score)
 
 
-def fit(docs: DataFrame) -> Backoff:
-    """The model from labelled rows (doc_id, text, lang); without any, every text is `und`."""
+def fit(docs: DataFrame, rows_per_language: int = FIT_ROWS, entries: int = ENTRIES) -> Backoff:
+    """The model from labelled rows (doc_id, text, lang); without any, every text is `und`.
+
+    rows_per_language bounds the labelled sample, entries each table of the model. Repeated rows count as often as they
+    stand there; a row without a doc_id has a place in the hash order like any other.
+    """
     rows = docs.filter("lang is not null and text is not null")
     per = rows.groupBy("lang").count()
-    sample = rows.join(F.broadcast(per.withColumn("rate", F.least(F.lit(1.0), FIT_ROWS / F.col("count")))), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    sample = rows.join(F.broadcast(per.withColumn("rate", F.least(F.lit(1.0), rows_per_language / F.col("count")))), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     counts = sample.select("lang", "text").mapInArrow(counted, "lang string, kind int, gram long, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     counts = park(counts)
     langs = sorted(r[0] for r in per.select("lang").collect())
@@ -114,7 +119,7 @@ def fit(docs: DataFrame) -> Backoff:
     tables = {}
     for kind in (0, *ORDERS):
         top = counts.filter(f"kind = {kind}").groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).filter("all > 1")
-        most = top.orderBy(F.desc("all"), "gram").limit(KEPT).select("gram", *(F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0)).alias(f"l{i}") for i, name in enumerate(langs))).toArrow()
+        most = top.orderBy(F.desc("all"), "gram").limit(entries).select("gram", *(F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0)).alias(f"l{i}") for i, name in enumerate(langs))).toArrow()
         gram = most.column("gram").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(gram, kind="stable")
         n = np.stack([most.column(f"l{i}").to_numpy().astype(float) for i in range(len(langs))], axis=1)[order] if langs else np.zeros((len(gram), 0))

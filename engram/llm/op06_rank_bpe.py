@@ -26,6 +26,32 @@ from engram.llm.bytehash import pieces
 SHORT, KEPT = 96, 400_000
 NEVER = np.int32(1 << 30)
 
+# The tokenizers library splits words by Unicode 16 and lowers by Unicode 17. These are the ranges that the
+# regex module counts as letters or numbers and the library doesn't yet, and the capitals that Python doesn't lower yet,
+# as first, last and the way to the small letter.
+LATER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
+    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+LOWER = {c: c + way for a, b, way in LATER_CAPITALS for c in range(a, b + 1)}
+
+
+def char_set(ranges: str) -> str:
+    """The inside of a character set."""
+    return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split())
+
+
+#: Texts with one of these are split by the words of the library's own Unicode version.
+RARE = regex.compile(f"[{char_set(LATER_LETTERS)}{char_set(LATER_NUMBERS)}]")
+CAPITAL = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
@@ -47,6 +73,8 @@ class RankBpe:
         self.end = model["end_of_word_suffix"] or ""
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        older = split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{char_set(LATER_LETTERS)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{char_set(LATER_NUMBERS)}]]")
+        self.older_words = regex.compile(older, regex.V1)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         letters = byte_letters()
         self.inner = np.array([ids[c] for c in letters], np.int64)
@@ -136,19 +164,23 @@ class RankBpe:
     def split(self, text: str) -> list[str | int]:
         """The words of a text in order; special tokens as ids."""
         if "<|" not in text:
-            return self.words.findall(self.normal(text))
+            return self.words_of(self.normal(text))
         out: list[str | int] = []
         for i, piece in enumerate(self.cut.split(text)):
-            out += [self.special[piece]] if i % 2 else self.words.findall(self.normal(piece))
+            out += [self.special[piece]] if i % 2 else self.words_of(self.normal(piece))
         return out
 
+    def words_of(self, text: str) -> list[str]:
+        return (self.words if text.isascii() or not RARE.search(text) else self.older_words).findall(text)
+
     @staticmethod
     def normal(text: str) -> str:
         if text.isascii():
             return text.lower()
         text = unicodedata.normalize("NFC", text)
         # Letters are lowered one by one, so a final sigma is an ordinary one.
-        return text.replace("Σ", "σ").lower()
+        text = text.replace("Σ", "σ").lower()
+        return text.translate(LOWER) if CAPITAL.search(text) else text
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
@@ -175,13 +207,13 @@ def loaded(vocabulary: str) -> RankBpe:
     return _loaded[key]
 
 
-def encoder(vocabulary, digests: bool):
+def encoder(vocabulary, digests: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary.value)
         for whole in batches:
             for batch in pieces(whole):
                 ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
-                decoded = [bpe.decode(i) for i in ids]
+                decoded = [bpe.decode(i) for i in ids] if digests or decode else []
                 columns = [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64())]
                 if digests:
                     columns += [
@@ -190,20 +222,22 @@ def encoder(vocabulary, digests: bool):
                     ]
                     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    names = ["doc_id", "n_tokens", "ids", "decoded"]
+                    columns += [pa.array(ids, pa.list_(pa.int32())), *([pa.array(decoded, pa.string())] if decode else [])]
+                    names = ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def bpe_encode(docs: DataFrame, vocabulary_path: str, digests: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary_path: str, digests: bool = False, decode: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded), or with digests (doc_id, n_tokens, ids_sha256, decoded_sha256), for every row.
 
+    Without `decode`, the texts are not made from the ids again and `decoded` is left out.
+
     Null and empty texts have no tokens. Every row is encoded by itself, so repeated rows and null ids need no care.
     Other columns are ignored. The vocabulary (a few MB at most) is read on the driver and broadcast.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select("doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(encoder(vocabulary, digests), f"doc_id long, n_tokens long, {rest}")
+    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * decode
+    return docs.select("doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(encoder(vocabulary, digests, decode), f"doc_id long, n_tokens long, {rest}")

@@ -1,12 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer numpy network.
 
 Every token (a word, or a run of marks) has a sparse ternary index vector drawn from its hash. The vector of a frequent
-token is the sum of the index vectors around it in the sample, normalised; other tokens keep their index vector. A
+token is the sum of the index vectors around it in all documents, normalised; other tokens keep their index vector. A
 document is described by the mean and the spread of its token vectors, by how alike neighbouring and next-but-one
 vectors are, and by its length. Two layers give a logit, and a temperature fitted on a part of the sample that the
 network hasn't seen makes its probabilities calibrated.
 
-The network is fitted on `FIT_ROWS` labelled rows at most, chosen by a hash of doc_id.
+Token counts and contexts are summed over all texts, merged in each task before they are sent. Two parameters of `fit`
+bound the model: `entries`, the tokens with a vector of their own, as they are broadcast, and `rows`, the labelled rows
+that the network is fitted on, chosen by a hash of doc_id. Those rows are sent as features, so their texts' length
+doesn't matter.
 """
 
 from __future__ import annotations
@@ -19,37 +22,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.bytehash import CHUNK, MARKS, Words, mix, pieces
+from engram.llm.bytehash import MARKS, Words, mix, pieces
 
-FIT_ROWS, SIZE, NONZERO, WINDOW, VOCABULARY = 6000, 32, 4, 2, 20_000
+FIT_ROWS, SIZE, NONZERO, WINDOW, ENTRIES = 6000, 32, 4, 2, 20_000
+#: Without so many labelled rows, of both kinds, there is no model.
+LEAST_ROWS = 10
+FEATURES = 2 * SIZE + 6
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
 THRESHOLD = 0.7
 U = np.uint64
 
 
+def index_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """NONZERO places and signs for each hash."""
+    with np.errstate(over="ignore"):
+        x = mix(h[:, None] + np.arange(1, NONZERO + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    return (x % U(SIZE)).astype(np.int64), np.where(x >> U(63), 1.0, -1.0)
+
+
 def index_vectors(h: np.ndarray) -> np.ndarray:
-    """NONZERO places of +1 or -1 for each hash, as unit vectors."""
+    """The index vectors of hashes, as unit vectors."""
+    place, sign = index_places(h)
     out = np.zeros((len(h), SIZE), np.float32)
-    row = np.arange(len(h))
-    with np.errstate(over="ignore"):
-        for k in range(NONZERO):
-            x = mix(h + U(k + 1) * U(0x9E3779B97F4A7C15))
-            np.add.at(out, (row, (x % U(SIZE)).astype(np.int64)), np.where(x >> U(63), 1.0, -1.0).astype(np.float32))
+    for k in range(NONZERO):
+        out[np.arange(len(h)), place[:, k]] += sign[:, k].astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
 
-def blocks(texts: list[str], size: int = CHUNK // 4) -> Iterator[list[str]]:
-    """Runs of texts with about so many characters each; a longer text comes alone."""
-    held, n = [], 0
-    for t in texts:
-        if held and n + len(t) > size:
-            yield held
-            held, n = [], 0
-        held.append(t)
-        n += len(t)
+def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of this part's texts, merged before they are sent."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> pa.RecordBatch:
+        token, back = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([c for _, c in held]), minlength=len(token)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    for whole in batches:
+        for batch in pieces(whole):
+            held.append(np.unique(Words(batch.column("text"), MARKS).hash, return_counts=True))
+            if sum(len(t) for t, _ in held) > 1 << 21:
+                yield merged()
+                held.clear()
     if held:
-        yield held
+        yield merged()
+
+
+def context_sums(vocabulary):
+    """(at, v0, v1, ...): for each token of the vocabulary in this part's texts, the sum of the index vectors around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.frombuffer(vocabulary.value, U)
+        total = np.zeros(len(keep) * SIZE)  # whole numbers
+        for whole in batches:
+            for batch in pieces(whole):
+                words = Words(batch.column("text"), MARKS)
+                once, back = np.unique(words.hash, return_inverse=True)
+                at = np.minimum(np.searchsorted(keep, once), len(keep) - 1)
+                row = np.where(keep[at] == once, at, -1)[back]
+                place, sign = index_places(once)
+                for shift in range(1, WINDOW + 1):
+                    same = words.doc[shift:] == words.doc[:-shift]
+                    for of, by in ((row[:-shift], back[shift:]), (row[shift:], back[:-shift])):
+                        ok = same & (of >= 0)
+                        of, by = of[ok], by[ok]
+                        total += np.bincount((of[:, None] * SIZE + place[by]).ravel(), sign[by].ravel(), minlength=len(total))
+        total = total.reshape(-1, SIZE).astype(np.int64)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(SIZE))], names=["at", *(f"v{k}" for k in range(SIZE))])
+
+    return run
 
 
 class Quality:
@@ -68,36 +111,12 @@ class Quality:
             out[known] = self.vectors[at[known]]
         return out[back]
 
-    def learn_words(self, texts: list[str]) -> None:
-        """Vectors of the most frequent tokens; the sample is read in blocks, so memory doesn't grow with it."""
-        counts = [np.unique(Words(pa.array(some, pa.large_string()), MARKS).hash, return_counts=True) for some in blocks(texts)]
-        token, back = np.unique(np.concatenate([np.zeros(0, U), *(t for t, _ in counts)]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([np.zeros(0), *(c for _, c in counts)]), minlength=len(token))
-        keep = np.sort(token[np.argsort(-n, kind="stable")[:VOCABULARY]])
-        total = np.zeros((len(keep), SIZE), np.float32)
-        for some in blocks(texts) if len(keep) else []:
-            words = Words(pa.array(some, pa.large_string()), MARKS)
-            at = np.minimum(np.searchsorted(keep, words.hash), len(keep) - 1)
-            row = np.where(keep[at] == words.hash, at, -1)
-            once, back = np.unique(words.hash, return_inverse=True)
-            index, d = index_vectors(once)[back], words.doc
-            for shift in range(1, WINDOW + 1):
-                same = d[shift:] == d[:-shift]
-                for of, by in ((row[:-shift], index[shift:]), (row[shift:], index[:-shift])):
-                    ok = same & (of >= 0)
-                    order = np.argsort(of[ok], kind="stable")
-                    rows, first = np.unique(of[ok][order], return_index=True)
-                    if len(rows):
-                        total[rows] += np.add.reduceat(by[ok][order], first, axis=0)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        self.vocabulary, self.vectors = keep, np.where(norm > 0, total / np.where(norm > 0, norm, 1), index_vectors(keep))
-
     def features(self, texts: list[str | None]) -> np.ndarray:
         words = Words(pa.array(texts, pa.large_string()), MARKS)
         v = self.embed(words.hash)
         n = words.counts
         here = np.flatnonzero(n)
-        out = np.zeros((len(texts), 2 * SIZE + 6), np.float32)
+        out = np.zeros((len(texts), FEATURES), np.float32)
         out[:, -1] = np.log1p(n)
         if not len(here):
             return out
@@ -119,10 +138,9 @@ class Quality:
         hidden = np.tanh(((x - self.centre) / self.scale) @ self.w1 + self.b1)
         return hidden @ self.w2 + self.b2
 
-    def learn(self, texts: list[str], labels: np.ndarray) -> None:
+    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Fit the network to features and labels of 0 and 1."""
         rng = np.random.default_rng(7)
-        self.learn_words(texts)
-        x, y = np.concatenate([self.features(some) for some in blocks(texts)]).astype(np.float64), labels.astype(float)
         aside = rng.random(len(y)) < 0.2
         if aside.all() or not aside.any():
             aside = np.arange(len(y)) % 5 == 4
@@ -150,28 +168,71 @@ class Quality:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Quality | None:
-    """The model from labelled rows outside the held-out fold; None where a label is missing altogether."""
+def word_vectors(docs: DataFrame, entries: int) -> Quality:
+    """A model without a network: the vectors of the most frequent tokens of all texts."""
+    model, context = Quality(), docs.sparkSession.sparkContext
+    texts = docs.select("text")
+    counts = texts.mapInArrow(token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(entries).select("token").toArrow()
+    keep = np.sort(top.column("token").to_numpy().astype(np.int64).view(U))
+    total = np.zeros((len(keep), SIZE))
+    if len(keep):
+        columns = [f"v{k}" for k in range(SIZE)]
+        sums = texts.mapInArrow(context_sums(context.broadcast(keep.tobytes())), ", ".join(f"{c} long" for c in ("at", *columns)))
+        found = sums.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # one row for each entry at most
+        total[found.column("at").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    model.vocabulary, model.vectors = keep, np.where(norm > 0, total / np.where(norm > 0, norm, 1), index_vectors(keep)).astype(np.float32)
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, rows: int = FIT_ROWS, entries: int = ENTRIES) -> Quality | None:
+    """The model: word vectors from all texts, a network from labelled rows outside the held-out fold.
+
+    None where there are fewer than LEAST_ROWS labelled rows or none of one kind. Repeated labels count as their largest;
+    of rows that share a doc_id, the one whose text has the smallest hash counts.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(F.col("quality").isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # FIT_ROWS ids at most, so this side is small by construction.
-    chosen = rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(FIT_ROWS)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    made = sample.select("doc_id", "text", "quality").coalesce(1).mapInArrow(learned, "model binary").collect()
-    return pickle.loads(bytes(made[0][0])) if made else None
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(F.col("quality").isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    # `rows` ids at most, so this side is small by construction.
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
+    model = word_vectors(docs, entries)
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "doc_id")
+    featured = sample.mapInArrow(featurer(sent), "doc_id long, h long, quality long, x array<float>")
+    one_each = featured.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("x", "h").alias("x"))
+    made = one_each.repartition(1).mapInArrow(learned, "model binary").collect()
+    if not made:
+        return None
+    net = pickle.loads(bytes(made[0][0]))
+    net.vocabulary, net.vectors = model.vocabulary, model.vectors
+    return net
+
+
+def featurer(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(sent.value)
+        for whole in batches:
+            for batch in pieces(whole):
+                x = model.features(batch.column("text").to_pylist())
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
+                columns = [batch.column("doc_id"), batch.column("h"), batch.column("quality").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "quality", "x"])
+
+    return run
 
 
 def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row with the model, or none; the sample is of bounded size and is learnt in one task, away from the driver."""
+    """One row with the network, or none. The sample's features are bounded: one task learns from them, away from the driver."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     sample = pa.Table.from_batches(held).sort_by("doc_id")
-    y = sample.column("quality").to_numpy()
-    if len(y) < 10 or len(np.unique(y)) < 2:
+    y = (sample.column("quality").to_numpy() > 0).astype(float)
+    if len(y) < LEAST_ROWS or len(np.unique(y)) < 2:
         return
     model = Quality()
-    model.learn([t or "" for t in sample.column("text").to_pylist()], (y > 0).astype(int))
+    model.learn(sample.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(y), FEATURES), y)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
@@ -189,8 +250,7 @@ def scorer(sent):
 def quality_scores(docs: DataFrame, model: Quality | None, folds: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
-    A null text counts as empty, and empty texts have scores too. Without a model (no labels of both kinds to learn
-    from), every score is 1. Repeated rows get equal results; other columns are ignored.
+    A null text counts as empty, and empty texts have scores too. Without a model (see `fit`), every score is 1. Repeated rows get equal results; other columns are ignored.
     """
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text")

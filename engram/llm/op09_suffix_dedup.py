@@ -87,28 +87,32 @@ def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(n)], names=["key", "doc_id", "h", "n"])
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, h, hot) of rows sorted by key: those whose key stands in two rows. hot: it has over MANY stretches.
+def repeated(most: int):
+    """(key, doc_id, h, hot) of rows sorted by key: those whose key stands in two rows. hot: it has over `most` stretches.
 
-    A key's rows are held until it ends or is known to be hot, so at most MANY of them and a batch.
+    A key's rows are held until it ends or is known to be hot, so at most `most` of them and a batch.
     """
-    held, hot = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([*(held or []), batch]).combine_chunks()
-        held, hot, out = judged(table, hot, False)
-        yield from out
-    if held:
-        yield from judged(pa.Table.from_batches(held).combine_chunks(), hot, True)[2]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*(held or []), batch]).combine_chunks()
+            held, hot, out = judged(table, hot, False, most)
+            yield from out
+        if held:
+            yield from judged(pa.Table.from_batches(held).combine_chunks(), hot, True, most)[2]
 
-def judged(table: pa.Table, hot: int | None, ended: bool) -> tuple[list[pa.RecordBatch] | None, int | None, list[pa.RecordBatch]]:
+    return run
+
+
+def judged(table: pa.Table, hot: int | None, ended: bool, most: int) -> tuple[list[pa.RecordBatch] | None, int | None, list[pa.RecordBatch]]:
     """(rows to hold, the last key if it is hot, rows decided)."""
     key = table.column("key").to_numpy()
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begin, len(key)))
-    many = (np.add.reduceat(table.column("n").to_numpy().astype(np.int64), begin) > MANY) | (key[begin] == hot if hot is not None else False)
+    many = (np.add.reduceat(table.column("n").to_numpy().astype(np.int64), begin) > most) | (key[begin] == hot if hot is not None else False)
     keep = (size > 1) | many
     hold = not ended and not many[-1]
     if hold:
@@ -236,74 +240,78 @@ def previous_factors(value: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.maximum(smaller_before(value, common), smaller_before(value[::-1], after)[::-1])
 
 
-def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def factors(part: int):
     """From stretches sorted by key and doc_id: the byte ranges (doc_id, h, start, end) with a longest previous factor of 50.
 
     Keys come whole; one that has more rows than fit a part goes on with the classes it has had.
     """
-    carry: pa.Table | None = None
-
-    def work(table: pa.Table) -> pa.RecordBatch:
-        nonlocal carry
-        if carry is not None and carry.column("key")[0].as_py() != table.column("key")[0].as_py():
-            carry = None
-        old = carry.num_rows if carry is not None else 0
-        table = pa.concat_tables([carry, table]).combine_chunks() if old else table.combine_chunks()
-        key, doc, start = (table.column(c).to_numpy() for c in ("key", "doc_id", "start"))
-        data, o = buffers(table.column("bytes"))
-        length = np.diff(o) - (LEAST - 1)
-        # Equal stretches of a key are a class; rows come by doc_id, so its first row has its smallest.
-        sid = range_hashes(data, o[:-1], o[1:])
-        by = np.lexsort((np.arange(len(key)), sid, key))
-        new = np.append(True, (key[by][1:] != key[by][:-1]) | (sid[by][1:] != sid[by][:-1]))
-        of = np.empty(len(key), np.int64)  # the first row of each row's class
-        of[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-        firsts = np.flatnonzero(of == np.arange(len(key)))
-        _, back, count = np.unique(key[firsts], return_inverse=True, return_counts=True)
-        sorted_ = firsts[count[back] > 1]  # a class alone has no other's factors
-        gone = np.zeros(int(length.sum()), bool)  # by suffix
-        base = np.cumsum(length) - length
-        if len(sorted_):
-            cut = gathered(data, o[sorted_], o[sorted_ + 1] - o[sorted_])
-            some, so = buffers(cut)
-            row, at, order, common = suffix_order(some, so, key[sorted_], doc[sorted_])
-            long = np.empty(len(order), bool)
-            long[order] = previous_factors(doc[sorted_][row][order], common) >= LEAST
-            gone[base[sorted_][row] + at] = long
-        # A class's later documents lose the whole stretch; rows of its first document fare as its first row.
-        nth = np.arange(len(gone)) - np.repeat(base, length)
-        member = np.repeat(np.arange(len(key)), length)
-        gone = np.where((doc > doc[of])[member], True, gone[base[of][member] + nth])
-        last = firsts[key[firsts] == key[-1]]
-        carry = table.take(pa.array(last))
-        gone &= member >= old
-        a, b = gone.copy(), gone.copy()
-        a[1:] &= ~gone[:-1] | (member[1:] != member[:-1])
-        b[:-1] &= ~gone[1:] | (member[1:] != member[:-1])
-        a, b = np.flatnonzero(a), np.flatnonzero(b)
-        take = pa.array(member[a])
-        doc_id, h = (table.column(c).combine_chunks().take(take) for c in ("doc_id", "h"))
-        begin, end = start[member[a]] + nth[a], start[member[b]] + nth[b] + LEAST
-        return pa.RecordBatch.from_arrays([doc_id, h, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "h", "start", "end"])
-
-    held, n = [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, PART):
-            held.append(batch.slice(at, PART))
-            n += held[-1].num_rows
-            if n < PART:
-                continue
-            table = pa.Table.from_batches(held)
-            key = table.column("key").to_numpy()
-            whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1]) or n  # to where the last key begins
-            yield work(table.slice(0, whole))
-            held, n = (table.slice(whole).to_batches(), n - whole) if whole < n else ([], 0)
-    if n:
-        yield work(pa.Table.from_batches(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+
+        def work(table: pa.Table) -> pa.RecordBatch:
+            nonlocal carry
+            if carry is not None and carry.column("key")[0].as_py() != table.column("key")[0].as_py():
+                carry = None
+            old = carry.num_rows if carry is not None else 0
+            table = pa.concat_tables([carry, table]).combine_chunks() if old else table.combine_chunks()
+            key, doc, start = (table.column(c).to_numpy() for c in ("key", "doc_id", "start"))
+            data, o = buffers(table.column("bytes"))
+            length = np.diff(o) - (LEAST - 1)
+            # Equal stretches of a key are a class; rows come by doc_id, so its first row has its smallest.
+            sid = range_hashes(data, o[:-1], o[1:])
+            by = np.lexsort((np.arange(len(key)), sid, key))
+            new = np.append(True, (key[by][1:] != key[by][:-1]) | (sid[by][1:] != sid[by][:-1]))
+            of = np.empty(len(key), np.int64)  # the first row of each row's class
+            of[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+            firsts = np.flatnonzero(of == np.arange(len(key)))
+            _, back, count = np.unique(key[firsts], return_inverse=True, return_counts=True)
+            sorted_ = firsts[count[back] > 1]  # a class alone has no other's factors
+            gone = np.zeros(int(length.sum()), bool)  # by suffix
+            base = np.cumsum(length) - length
+            if len(sorted_):
+                cut = gathered(data, o[sorted_], o[sorted_ + 1] - o[sorted_])
+                some, so = buffers(cut)
+                row, at, order, common = suffix_order(some, so, key[sorted_], doc[sorted_])
+                long = np.empty(len(order), bool)
+                long[order] = previous_factors(doc[sorted_][row][order], common) >= LEAST
+                gone[base[sorted_][row] + at] = long
+            # A class's later documents lose the whole stretch; rows of its first document fare as its first row.
+            nth = np.arange(len(gone)) - np.repeat(base, length)
+            member = np.repeat(np.arange(len(key)), length)
+            gone = np.where((doc > doc[of])[member], True, gone[base[of][member] + nth])
+            last = firsts[key[firsts] == key[-1]]
+            carry = table.take(pa.array(last))
+            gone &= member >= old
+            a, b = gone.copy(), gone.copy()
+            a[1:] &= ~gone[:-1] | (member[1:] != member[:-1])
+            b[:-1] &= ~gone[1:] | (member[1:] != member[:-1])
+            a, b = np.flatnonzero(a), np.flatnonzero(b)
+            take = pa.array(member[a])
+            doc_id, h = (table.column(c).combine_chunks().take(take) for c in ("doc_id", "h"))
+            begin, end = start[member[a]] + nth[a], start[member[b]] + nth[b] + LEAST
+            return pa.RecordBatch.from_arrays([doc_id, h, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "h", "start", "end"])
+
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, part):
+                held.append(batch.slice(at, part))
+                n += held[-1].num_rows
+                if n < part:
+                    continue
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1]) or n  # to where the last key begins
+                yield work(table.slice(0, whole))
+                held, n = (table.slice(whole).to_batches(), n - whole) if whole < n else ([], 0)
+        if n:
+            yield work(pa.Table.from_batches(held))
+
+    return run
 
 
 def ordered_factors(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(factors, RANGE)
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(factors(PART), RANGE)
 
 
 def hot_ranges(rows: DataFrame) -> DataFrame:
@@ -357,7 +365,7 @@ def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         later = sizes.filter("doc_id > first").select("doc_id", "h").distinct()
         unique = docs.filter(f"doc_id is not null and octet_length(text) >= {LEAST}").join(later, ["doc_id", "h"], "left_anti").dropDuplicates(["doc_id", "h"])
         found = unique.mapInArrow(keys_of, "key long, doc_id long, h long, n int").repartition("key").sortWithinPartitions("key")
-        wanted = found.mapInArrow(repeated, "key long, doc_id long, h long, hot boolean")
+        wanted = found.mapInArrow(repeated(MANY), "key long, doc_id long, h long, hot boolean")
         lists = park(wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "hot")).alias("keys")))
         ranges = park(ordered_factors(unique.join(lists, ["doc_id", "h"]).mapInArrow(sender(False), STRETCH)))
         hot = park(lists.filter(F.exists("keys", lambda k: k["hot"])))

@@ -1,11 +1,14 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Groups of equal texts go to one shard whole, unless a group alone would fill a large part of one. Packing single
-documents one after another does not scale, so groups are first folded into a fixed number of hash cells, and groups
-that weigh more than a fixed share of the total stand alone, split into parts where they weigh more than `SPLIT` of a
-shard. Cells, heavy groups and their parts number a few ten thousand at most, whatever the input: only they reach the
-driver, where each is placed, heaviest first, in the shard with the highest dot product of its vector and the shard's
-residual capacity.
+What is placed is a group of equal texts, or a cell of light groups: packing every group one after another is one task's
+work, so groups that weigh less than 1 / `HEAVY` of a shard are folded by hash into `CELLS` cells, at every size of the
+input. A heavy group stands alone. It stays whole up to `split` of a shard (a parameter of `vector_shards`); beyond that
+the law that sizes are near equal can't hold with it whole, and it is dealt out in parts of 1 / `HEAVY` of a shard.
+Cells, heavy groups and parts number a few ten thousand at most, whatever the input: only they reach the driver, where
+each is placed, heaviest first, in the shard with the highest dot product of its vector and the shard's residual
+capacity.
+
+Tokens are counted as words, single digits and runs of marks, the units that byte-pair encoding works on.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from engram.llm.shared import park
 
 CELLS, HEAVY, SPLIT = 8192, 64, 0.9
+TOKEN = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 def pack(loads: np.ndarray, shards: int) -> np.ndarray:
@@ -36,19 +40,20 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
+def vector_shards(docs: DataFrame, shards: int = 40, split: float = SPLIT) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
     size is the text's UTF-8 bytes plus 16; a null text has none and counts as a group of its own, with crc 0. The law is
-    `bytes`. slot numbers a shard's rows from 0 without gaps. Repeated rows are separate rows of one group; a null
-    doc_id is an ordinary value. An empty table gives an empty result. Other columns are ignored.
+    `bytes`. slot numbers a shard's rows from 0 without gaps. Rows of one text lie in one shard, unless they weigh more
+    than `split` of a shard (in bytes, tokens or rows). Repeated rows are separate rows of one group; a null doc_id is an
+    ordinary value. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = park(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-            F.coalesce(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1, F.lit(0)).cast("long").alias("tokens"),
+            F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("tokens"),
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64("text").alias("group"),
         )
@@ -63,7 +68,7 @@ def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
         .agg(*load)
         .withColumn("weight", weight)
         .filter(F.col("weight") >= 1 / HEAVY)
-        .select("group", F.when(F.col("weight") > SPLIT, F.ceil(F.col("weight") * HEAVY)).otherwise(1).cast("long").alias("parts"))
+        .select("group", F.when(F.col("weight") > split, F.ceil(F.col("weight") * HEAVY)).otherwise(1).cast("long").alias("parts"))
     )
     placed = park(
         rows.join(F.broadcast(heavy), "group", "left").select(

@@ -1,10 +1,16 @@
 """Plain versions of the operators, and a small table with every odd case."""
 
 import hashlib
+import math
 import random
 import re
 import string
-from collections import defaultdict
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import regex
+import xxhash
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, rank int, component string, id long"
@@ -114,3 +120,235 @@ def cuts(rows):
         kept = bytes(c for c, g in zip(b, mark, strict=True) if not g)
         out[(i, t)] = (len(b), sum(mark), sum(1 for k in range(len(b)) if mark[k] and (not k or not mark[k - 1])), sha(kept))
     return out
+
+
+# Hashes, in whole numbers: of bytes as the operators hash words, and Spark's xxhash64 of a string or a long.
+FULL = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & FULL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & FULL
+    return x ^ (x >> 31)
+
+
+def word_hash(b):
+    return mix((sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(b)) + len(b) * 0xD6E8FEB86659FD93) & FULL)
+
+
+def xx(v):
+    if v is None:
+        return 42
+    h = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def terms(text):
+    return {word_hash(w.encode()) for w in bench_words(text)}
+
+
+def lexicon(texts, most=0.05, least=0.0002):
+    texts = {t or "" for t in texts}
+    n = Counter(t for x in texts for t in terms(x))
+    return {t for t, c in n.items() if c >= 2 and least * len(texts) <= c <= max(2, most * len(texts))}
+
+
+def fingerprint(text, words):
+    """(thin, level, codes, own) by the terms in words, or by all where it is None."""
+    every = terms(text)
+    some = every if words is None else every & words
+    level = (len(some) - 1).bit_length() if some else -1
+    codes = []
+    for r in range(3) if some else []:
+        below = (1 << max(level + r - 1, 0)) - 1
+        for s in range(48):
+            inside = [x for x in (mix((t + 0x9E3779B97F4A7C15 * (s + 1)) & FULL) for t in some) if not x & below]
+            codes.append((mix(sum(map(mix, inside)) & FULL) >> 48 | 1) if inside else 0)
+    return len(some) < 0.25 * len(every), level, codes, sha(text)[:32]
+
+
+def fingerprint_text(text, words):
+    thin, level, codes, own = fingerprint(text, words)
+    if thin:
+        _, level, codes, own = fingerprint(text, None)
+    return f"t:{own}" if level < 0 else f"{'w' if thin else ''}{level:x}:" + "".join(f"{c:04x}" for c in codes)
+
+
+def fingerprint_likeness(a, b, words):
+    x, y = fingerprint(a, words), fingerprint(b, words)
+    if x[0] or y[0]:
+        x, y = fingerprint(a, None), fingerprint(b, None)
+    if x[1] < 0 or y[1] < 0:
+        return float(x[1] == y[1] and x[3] == y[3])
+    if x[1:3] == y[1:3]:
+        return 1.0
+    high, low = max(x[1], y[1]), min(x[1], y[1])
+    if high - low > 2:
+        return 0.0
+    for rate in (min(high, low + 1), min(high, low + 1) - 1):
+        p, q = ([z[2][48 * k : 48 * k + 48] for k in [min(max(rate - z[1] + 1, 0), 2)]][0] for z in (x, y))
+        some = [(c, d) for c, d in zip(p, q, strict=True) if c or d]
+        if some and (both := sum(c == d for c, d in some)):
+            return both / len(some)
+    return 0.0
+
+
+def language_model(rows, entries=200_000, orders=(4, 3, 2, 1), smooth=0.1):
+    """langs and kind -> gram -> log frequencies, from (text, lang)."""
+    counts = {k: defaultdict(Counter) for k in (0, *orders)}
+    for text, lang in rows:
+        for w in bench_words(text.lower()):
+            counts[0][w][lang] += 1
+            for n in orders:
+                for i in range(len(w) - n + 1):
+                    counts[n][w[i : i + n]][lang] += 1
+    langs = sorted({lang for _, lang in rows})
+    tables = {}
+    for kind, grams in counts.items():
+        total = {x: sum(c[x] for c in grams.values()) for x in langs}
+        kept = {g: c for g, c in grams.items() if sum(c.values()) > 1}
+        assert len(kept) <= entries
+        tables[kind] = {g: [math.log((c[x] + smooth) / (total[x] + smooth * max(len(kept), 1))) for x in langs] for g, c in kept.items()}
+    return langs, tables
+
+
+def language(text, langs, tables, orders=(4, 3, 2, 1)):
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    total = [0.0] * len(langs)
+    for w in bench_words(text.lower()):
+        found = [tables[0][w]] if w in tables[0] else []
+        for n in orders:
+            found = found or [tables[n][g] for g in (w[i : i + n] for i in range(len(w) - n + 1)) if g in tables[n]]
+        if found:
+            total = [t + sum(f[k] for f in found) / len(found) for k, t in enumerate(total)]
+    best = total.index(max(total))
+    return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+
+def mark_tokens(text):
+    return [word_hash(t.encode()) for t in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|(?:(?![\x20\x09-\x0D])[\x00-\x2F\x3A-\x60\x7B-\x7F])+", (text or "").translate(LOWER))]
+
+
+def index_vector(h, size=32):
+    v = [0] * size
+    for k in range(1, 5):
+        x = mix((h + k * 0x9E3779B97F4A7C15) & FULL)
+        v[x % size] += 1 if x >> 63 else -1
+    return v
+
+
+def unit(v):
+    n = math.sqrt(sum(x * x for x in v))
+    return [x / n for x in v] if n else list(v)
+
+
+def word_vectors(texts, entries):
+    """token -> unit vector of the sum of the index vectors up to two places away."""
+    count, sums = Counter(), defaultdict(lambda: [0] * 32)
+    for t in texts:
+        some = mark_tokens(t)
+        count.update(some)
+        vectors = [index_vector(h) for h in some]
+        for i, h in enumerate(some):
+            for j in range(max(i - 2, 0), min(i + 3, len(some))):
+                if j != i:
+                    sums[h] = [a + b for a, b in zip(sums[h], vectors[j], strict=True)]
+    # As Spark orders ties: by the signed hash.
+    top = sorted(count, key=lambda h: (-count[h], h - (1 << 64) if h >> 63 else h))[:entries]
+    return {h: unit(sums[h]) if any(sums[h]) else unit(index_vector(h)) for h in top}
+
+
+def quality(text, vectors, net):
+    """The probability by the network's weights, from features made one by one."""
+    some = mark_tokens(text)
+    v = [vectors.get(h) or unit(index_vector(h)) for h in some]
+    n, x = len(some), [0.0] * 70
+    x[-1] = math.log1p(n)
+    if n:
+        mean = [sum(c) / n for c in zip(*v, strict=True)]
+        x[:32], x[32:64] = mean, [math.sqrt(max(sum(a * a for a in c) / n - m * m, 0)) for c, m in zip(zip(*v, strict=True), mean, strict=True)]
+        x[-2] = math.sqrt(sum(m * m for m in mean))
+        for k in (1, 2):
+            x[-2 - k] = sum(sum(a * b for a, b in zip(v[i], v[i - k], strict=True)) for i in range(k, n)) / n
+            x[-4 - k] = sum(some[i] == some[i - k] for i in range(k, n)) / n
+    z = [(a - c) / s for a, c, s in zip(x, net.centre, net.scale, strict=True)]
+    hidden = [math.tanh(sum(a * w for a, w in zip(z, column, strict=True)) + b) for column, b in zip(net.w1.T, net.b1, strict=True)]
+    return 1 / (1 + math.exp(-(sum(a * w for a, w in zip(hidden, net.w2, strict=True)) + net.b2[0]) / net.temperature))
+
+
+BLANKS = " \t\n\x0b\f\r"
+
+
+def pii_tokens(text):
+    """(start, end, value, pattern) of every identifier-like token, by reading word after word."""
+    plain = lambda x: re.sub("[1-9]", "0", x).lower()
+    before, out = ["", ""], []
+    for w in re.finditer(r"[^ \t\n\x0b\f\r]+", text):
+        glued, past = "", 0
+        for m in re.finditer(r"(?<![A-Za-z0-9._%+@/:-])[A-Za-z._%+/:-]*[0-9@][A-Za-z0-9._%+@/:-]*", w.group()):
+            left = glued + w.group()[past : m.start()]
+            if len(m.group()) >= 6:
+                pattern = (before[1], plain(left)) if left else tuple(before)
+                out.append((w.start() + m.start(), w.start() + m.end(), m.group(), pattern))
+            glued, past = m.group(), m.end()
+        before = [before[1], plain(w.group())]
+    return out
+
+
+def pii(texts):
+    """The base and the discovered spans (start, rank, kind, end) of each text."""
+    base = [base_spans(t) for t in texts]
+    seen = []
+    for k, t in enumerate(texts):
+        for a, b, value, pattern in pii_tokens(t):
+            known = any(s < b and a < e for s, _, _, e in base[k])
+            seed = known or bool(re.search(r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$", value))
+            seen.append((k, a, b, value, pattern, known, float(seed)))
+    seeds = defaultdict(float)
+    for _, _, _, value, pattern, _, seed in seen:
+        seeds[pattern, value] = max(seeds[pattern, value], seed)
+    support, mass = Counter(p for p, _ in seeds), Counter()
+    for (p, _), seed in seeds.items():
+        mass[p] += seed
+    for _ in range(3):
+        belief = defaultdict(float)
+        for (p, v), seed in seeds.items():
+            belief[v] = max(belief[v], seed, mass[p] / (support[p] + 1))
+        mass = Counter()
+        for p, v in seeds:
+            mass[p] += belief[v]
+    sure = {p for p, n in support.items() if n >= 5 and mass[p] / (n + 1) >= 0.6}
+    return [(b, sorted([*b, *{(a, 4, "id", e) for i, a, e, _, p, known, _ in seen if i == k and p in sure and not known}])) for k, b in enumerate(base)]
+
+
+def shards(rows, n, cells=8192, heavy=64, split=0.9):
+    """Sorted (doc_id, size, crc, shard) of rows (doc_id, text), with the group that each row goes with."""
+    count = lambda t: len(regex.findall(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", t or ""))
+    made = [(i, len((t or "").encode()) + 16, count(t), zlib.crc32((t or "").encode()), t) for i, t in rows]
+    add = lambda some: [sum(r[1] for r in some), sum(r[2] for r in some), len(some)]
+    total = [max(1.0, x / n) for x in add(made)]
+    groups, items = defaultdict(list), defaultdict(list)
+    for r in made:
+        groups[xx(r[4])].append(r)
+    for g, some in groups.items():
+        weight = max(a / b for a, b in zip(add(some), total, strict=True))
+        for r in some:
+            if weight < 1 / heavy:
+                items[g % cells, -1].append(r)
+            else:
+                items[g, xx(r[0]) % (math.ceil(weight * heavy) if weight > split else 1)].append(r)
+    loads = {k: add(some) for k, some in items.items()}
+    all_ = [max(sum(x[c] for x in loads.values()), 1) for c in range(3)]
+    vector = {k: [x / a * n for x, a in zip(v, all_, strict=True)] for k, v in loads.items()}
+    residual, where = [[1.0] * 3 for _ in range(n)], {}
+    for k in sorted(vector, key=lambda k: (-max(vector[k]), k)):
+        v = vector[k]
+        fits = [s for s in range(n) if all(r >= x for r, x in zip(residual[s], v, strict=True))]
+        if fits:
+            s = max(fits, key=lambda s: (sum(r * x for r, x in zip(residual[s], v, strict=True)), -s))
+        else:
+            s = min(range(n), key=lambda s: (sum(max(x - r, 0) for r, x in zip(residual[s], v, strict=True)), s))
+        residual[s] = [r - x for r, x in zip(residual[s], v, strict=True)]
+        where[k] = s
+    return sorted(((r[0], r[1], r[3], where[k]) for k, some in items.items() for r in some), key=str)

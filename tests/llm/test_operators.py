@@ -19,7 +19,7 @@ from engram.llm import op07_quality as op7
 from engram.llm import op08_pii_bootstrap as op8
 from engram.llm import op09_suffix_dedup as op9
 from engram.llm import op10_vector_shards as op10
-from engram.llm.shared import components
+from engram.llm.shared import components, hot_join
 from tests.llm import brute
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,21 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 5: 5, 6: 5, 7: 5}
 
 
+def test_hot_join(spark):
+    left = spark.createDataFrame([(1, i) for i in range(2000)] + [(i, i) for i in range(2, 900)] + [(None, 5)], "k long, v long")
+    right = spark.createDataFrame([(i, -i) for i in range(0, 500)], "k long, w long")
+    for how in ("inner", "left"):
+        rows = lambda df: sorted((tuple(r) for r in df.select("k", "v", "w").collect()), key=str)
+        assert rows(hot_join(left, right, "k", how)) == rows(left.join(right, "k", how))
+
+
+def test_components_of_hot_nodes(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(9000, i) for i in range(2990, 3100)] + [(6000, 7000 + i) for i in range(800)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in [*range(3100), 9000]} | {5000 + i: 5000 for i in range(41)} | {i: 6000 for i in [6000, *range(7000, 7800)]}
+    assert got == want
+
+
 def test_op1(spark):
     rows = brute.messy()
     want = brute.classes(rows)
@@ -104,17 +119,15 @@ def test_op3(spark):
     rows = brute.messy()
     got = op3.imatch(brute.frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    want = {}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), brute.xx(r[1] or "")))
+    words, want = brute.lexicon([t for _, t in rows]), []
     for k, (i, t) in enumerate(order):
         t, f = t or "", order[(k + 1) % len(order)][1] or ""
-        want.setdefault(i, set()).add((len(t), brute.sha(t[: len(t) - len(t) // 2] + f[: len(t) // 2])))
-    prints = {}
-    for r in got:
-        assert (r.n_chars, r.edited_sha256) in want[r.doc_id]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        text = next((t for i, t in rows if i == r.doc_id and len(t or "") == r.n_chars), None) or ""
-        assert prints.setdefault(text, r.fingerprint) == r.fingerprint
+        edited = t[: len(t) - len(t) // 2] + f[: len(t) // 2]
+        near = (brute.fingerprint_likeness(t, x, words) for x in (edited, f))
+        want.append((i, len(t), brute.sha(edited), brute.fingerprint_text(t, words), brute.fingerprint_text(edited, words), *(round(x, 9) for x in near)))
+    assert sorted((*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got if r.doc_id is not None) == sorted(w for w in want if w[0] is not None)
+    assert sorted(r[1:5] for r in got if r.doc_id is None) == sorted(w[1:5] for w in want if w[0] is None)
     assert op3.imatch(brute.frame(spark, rows).limit(0)).count() == 0
     assert op3.imatch(brute.frame(spark, rows[:1])).first().near_next == 1
 
@@ -178,6 +191,26 @@ def test_op5(spark):
     assert np.mean([seen[i].lang_pred == lang[i] for i in held]) >= 0.95
     assert all(seen[10**6 + k].lang_pred == "und" for k in range(3)) and all(0 <= r.score <= 1 for r in got)
     assert op5.identify(docs.limit(0)).count() == 0
+    # Against plain counting, with columns whose names clash and repeated rows.
+    some = docs.filter("doc_id < 60").union(docs.filter("doc_id < 5")).withColumn("held_out", F.lit("x")).withColumn("score", F.lit(7))
+    rows = [(r.doc_id, r.text, r.lang) for r in some.collect()]
+    langs, tables = brute.language_model([(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 5 and x is not None and t is not None])
+    texts = {i: t for i, t, _ in rows}
+    got = op5.identify(some).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    for r in got:
+        lang, score = brute.language(texts[r.doc_id], langs, tables)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3
+
+
+def test_op6_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    mine, reference = op6.RankBpe(open(VOCABULARY).read()), Tokenizer.from_file(VOCABULARY)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 16):
+        texts = [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}" for c in points[at : at + (1 << 16)]]
+        assert mine.encode(texts) == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_op6(spark):
@@ -223,6 +256,24 @@ def test_op7(spark):
     assert op7.fit(docs, labels.limit(0)) is None and op7.quality_scores(docs.limit(0), None).count() == 0
 
 
+def test_op7_against_plain_features(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "a b"), (10**6 + 2, "...")], "doc_id long, text string")
+    some = docs.filter("doc_id < 100").select("doc_id", "text")
+    some = some.union(some.limit(3)).union(odd).withColumns({c: F.lit("clash") for c in ("quality", "score", "h", "held_out", "x")})
+    model = op7.fit(some, labels.withColumn("text", F.lit("clash")), entries=300)
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    vectors = brute.word_vectors([t for _, t in rows], 300)
+    assert len(model.vocabulary) == 300 and set(model.vocabulary.tolist()) == set(vectors)
+    got = op7.quality_scores(some, model).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    texts = dict(rows)
+    for r in got:
+        assert abs(r.score - brute.quality(texts[r.doc_id], vectors, model)) < 1e-3
+    assert op7.of_quality(some, model).columns == some.columns
+    assert op7.fit(some, labels.filter("doc_id < 0")) is None
+
+
 def test_op8(spark):
     odd = ["a@b.c_d@e.f.g", "1.2.3.4.5.6.7.8", "+12 345 678 9012 x", "4111 1111 1111 1111", "4111-1111-1111-1112 x 1 2", "x@y.z@w.v", "é😀 joe.x@mail.example.com, 300.1.1.1 255.255.255.255 0255.1.1.1", "+1+1 (555) 123-4567-", "9" * 400, "12" * 9, "a." * 2000 + "@x"]
     secret = ["key: id = %040x end" % (16**39 + i * 7919 * 16**20) for i in range(8)] + ["key: id = zz-99-abc-7 end"]
@@ -242,6 +293,26 @@ def test_op8(spark):
     assert op8.personal_data_digest(df.limit(0)).count() == 0
 
 
+def test_op8_bootstrap(spark):
+    rnd = np.random.default_rng(5)
+    word = lambda: str(rnd.choice(["account", "number", "call", "the", "Ref:", "(x", "id="]))
+    value = lambda: str(rnd.choice(["1.2.3.%d" % rnd.integers(300), "+1 555 %07d" % rnd.integers(10**7), "u%d@x.org" % rnd.integers(99), "AB-%d" % rnd.integers(10**6), "a,12-345,678-9xyz", "f%031x" % rnd.integers(10**9)]))
+    texts = [" ".join(word() if rnd.random() < 0.6 else value() for _ in range(rnd.integers(0, 40))) for _ in range(120)]
+    texts += ["", " 12-34-56 ", "id=" + "x" * 90 + "=AB-77777", "call \n\t number   AB-424242\n", "É" * 40 + " AB-424243 é@12345", *(f"who is AB-{i}Z1" for i in range(9)), *(f"who is u{i}@y.org" for i in range(20))]
+    got = {r.doc_id: r for r in op8.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute.pii(texts)
+    assert sum(len(all_) > len(base) for base, all_ in want) > 5
+    for k, (base, every) in enumerate(want):
+        assert [(s.start, s.rank, s.kind, s.end) for s in got[k].base] == base, texts[k]
+        assert [(s.start, s.rank, s.kind, s.end) for s in got[k].spans] == every, texts[k]
+
+
+def test_op8_cuts_long_texts(spark):
+    text = "é" * 1500 + " a@b.cd " + "x" * 3000 + " 10.1.2.3 " + "y" * 2048
+    got = op8.without_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert got == text.replace("a@b.cd", "<EMAIL>").replace("10.1.2.3", "<IP>")
+
+
 @pytest.mark.parametrize("part,many", [(3, 1 << 12), (1 << 14, 1 << 12), (1 << 14, 2), (5, 0)])
 def test_op9(spark, part, many, monkeypatch):
     monkeypatch.setattr(op9, "PART", part)
@@ -317,6 +388,38 @@ def test_op10(spark):
     assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
     assert len({r.shard for r in got if r.doc_id in (80, 81, 82)}) == 1
     assert op10.vector_shards(brute.frame(spark, rows).limit(0)).count() == 0
+    for n in (4, 40):
+        found = op10.vector_shards(brute.frame(spark, rows), shards=n).collect()
+        assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard) for r in found), key=str) == brute.shards(rows, n)
+
+
+def test_texts_beyond_a_chunk(spark):
+    """Texts of over a mebibyte take every operator's path for long ones."""
+    from tokenizers import Tokenizer
+
+    rnd = np.random.default_rng(6)
+    words = ["".join(rnd.choice(list("abcdefgh"), n)) for n in rnd.integers(3, 11, 3000)]
+    long = " ".join(words[k] for k in rnd.integers(0, 3000, 160_000))
+    assert len(long) > 1 << 20
+    rows = [(1, long), (2, long[: len(long) * 9 // 10]), (3, long[1000:9000] + " x@y.org"), (4, "small"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op1.ngram_jaccard_classes(df).collect()} == brute.classes(rows)
+    items = [(1, long[5000:5200]), (2, "small")]
+    got = op2.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got} == {(i, *brute.contaminated(t, items)[:3]) for i, t in rows}
+    lexicon = brute.lexicon([t for _, t in rows])
+    assert {r.doc_id: r.fingerprint for r in op3.imatch(df).collect()} == {i: brute.fingerprint_text(t or "", lexicon) for i, t in rows}
+    assert {r.doc_id for r in op5.identify(df.withColumn("lang", F.lit("zz"))).filter("lang_pred = 'zz'").collect()} == {1, 2, 3, 4}
+    reference = Tokenizer.from_file(VOCABULARY)
+    assert {r.doc_id: r.ids for r in op6.bpe_encode(df, VOCABULARY).collect()} == {i: reference.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    graded = df.union(spark.createDataFrame([(10 + i, "a b c d " * i if i % 2 else "! ? " * i) for i in range(40)], df.schema))
+    model = op7.fit(graded, spark.createDataFrame([(i, i % 2) for i in range(10, 50)], "doc_id long, quality int"))
+    scores = {r.doc_id: r.score for r in op7.quality_scores(graded, model).collect()}
+    assert len(scores) == 45 and scores[11] > 0.5 > scores[48] and abs(scores[1] - scores[2]) < 0.1
+    assert {r.doc_id: len(r.base) for r in op8.personal_data(df).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op9.suffix_dedup(df).collect()}
+    assert got == {1: (len(long), 0, 0), 2: (len(rows[1][1]),) * 2 + (1,), 3: (8008, 8000, 1), 4: (5, 0, 0), 5: (0, 0, 0)}
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard) for r in op10.vector_shards(df, 4).collect()), key=str) == brute.shards(rows, 4)
 
 
 def test_pack_prefers_the_residual():
