@@ -35,6 +35,8 @@ from engram.llm.shared import discard, hot_join, park, scratch
 LEAST, GRAM, PIECE = 50, 24, 32
 #: Stretches of one key that are sorted together at most, and rows that are held at a time.
 MANY, PART = 1 << 12, 1 << 14
+#: One text in SAMPLE is read beforehand, to find common keys.
+SAMPLE = 64
 #: The 64-bit words of a stretch's longest suffix.
 WORDS = (PIECE + LEAST + 6) // 8
 U = np.uint64
@@ -73,22 +75,34 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return doc[a], a, np.minimum(b - a, PIECE), low[a]
 
 
-def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, h, n): the distinct keys of each text, with the number of its stretches."""
-    for whole in batches:
-        for batch in pieces(whole):
-            doc, _, _, key = stretches(*buffers(batch.column("text")))
-            order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            n = np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.int32)
-            at = pa.array(doc[new])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(n)], names=["key", "doc_id", "h", "n"])
+def keys_of(common=None):
+    """(key, doc_id, h, n): the distinct keys of each text, with the number of its stretches.
+
+    Keys that are known to be common are dealt out by document as well, to 64 places: n is -1 to -64 for them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = np.frombuffer(common.value, U) if common is not None else np.zeros(0, U)
+        for whole in batches:
+            for batch in pieces(whole):
+                doc, _, _, key = stretches(*buffers(batch.column("text")))
+                order = np.lexsort((key, doc))
+                doc, key = doc[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                n = np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.int32)
+                doc, key = doc[new], key[new]
+                if len(spread):
+                    known = spread[np.minimum(np.searchsorted(spread, key), len(spread) - 1)] == key
+                    n[known] = -1 - (batch.column("h").to_numpy()[doc[known]] % 64)
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(n)], names=["key", "doc_id", "h", "n"])
+
+    return run
 
 
 def repeated(most: int):
-    """(key, doc_id, h, hot) of rows sorted by key: those whose key stands in two rows. hot: it has over `most` stretches.
+    """(key, doc_id, h, hot) of rows sorted by key: those whose key stands in two rows. hot: it is common, or has over `most` stretches.
 
     A key's rows are held until it ends or is known to be hot, so at most `most` of them and a batch.
     """
@@ -109,10 +123,10 @@ def repeated(most: int):
 
 def judged(table: pa.Table, hot: int | None, ended: bool, most: int) -> tuple[list[pa.RecordBatch] | None, int | None, list[pa.RecordBatch]]:
     """(rows to hold, the last key if it is hot, rows decided)."""
-    key = table.column("key").to_numpy()
+    key, n = table.column("key").to_numpy(), table.column("n").to_numpy().astype(np.int64)
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begin, len(key)))
-    many = (np.add.reduceat(table.column("n").to_numpy().astype(np.int64), begin) > most) | (key[begin] == hot if hot is not None else False)
+    many = (np.add.reduceat(n, begin) > most) | (n[begin] < 0) | (key[begin] == hot if hot is not None else False)
     keep = (size > 1) | many
     hold = not ended and not many[-1]
     if hold:
@@ -130,38 +144,32 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[index].tobytes())]).cast(pa.binary())
 
 
-def sender(hot: bool):
-    """(key, doc_id, h, start, bytes): the stretches of each text whose key is on its list, hot or not."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                data, offsets = buffers(batch.column("text"))
-                doc, start, length, key = stretches(data, offsets)
-                lists = batch.column("keys")
-                flat = lists.flatten()
-                mine = flat.field("hot").to_numpy(zero_copy_only=False) == hot
-                wanted = flat.field("key").to_numpy().view(U)[mine]
-                owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[mine]
-                # (doc, key) of a stretch is looked up among those wanted.
-                order = np.lexsort((wanted, owner))
-                wanted, owner = wanted[order], owner[order]
-                keep = np.zeros(len(key), bool)
-                cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-                own = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                for d in range(batch.num_rows):
-                    w, k = wanted[cut[d] : cut[d + 1]], key[own[d] : own[d + 1]]
-                    if len(w) and len(k):
-                        p = np.minimum(np.searchsorted(w, k), len(w) - 1)
-                        keep[own[d] : own[d + 1]] = w[p] == k
-                doc, start, length, key = doc[keep], start[keep], length[keep], key[keep]
-                at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array((start - offsets[doc]).astype(np.int32)), gathered(data, start, length + LEAST - 1)],
-                    names=["key", "doc_id", "h", "start", "bytes"],
-                )
-
-    return run
+def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, h, start, bytes): the stretches of each text whose key is on its list."""
+    for whole in batches:
+        for batch in pieces(whole):
+            data, offsets = buffers(batch.column("text"))
+            doc, start, length, key = stretches(data, offsets)
+            lists = batch.column("keys")
+            wanted = lists.flatten().to_numpy().view(U)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            # (doc, key) of a stretch is looked up among those wanted.
+            order = np.lexsort((wanted, owner))
+            wanted, owner = wanted[order], owner[order]
+            keep = np.zeros(len(key), bool)
+            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            own = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            for d in range(batch.num_rows):
+                w, k = wanted[cut[d] : cut[d + 1]], key[own[d] : own[d + 1]]
+                if len(w) and len(k):
+                    p = np.minimum(np.searchsorted(w, k), len(w) - 1)
+                    keep[own[d] : own[d + 1]] = w[p] == k
+            doc, start, length, key = doc[keep], start[keep], length[keep], key[keep]
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array((start - offsets[doc]).astype(np.int32)), gathered(data, start, length + LEAST - 1)],
+                names=["key", "doc_id", "h", "start", "bytes"],
+            )
 
 
 def dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +323,7 @@ def ordered_factors(rows: DataFrame) -> DataFrame:
 
 
 def hot_ranges(rows: DataFrame) -> DataFrame:
-    """The ranges of the stretches of keys with over MANY of them: factors of classes, given back to the classes' rows."""
+    """(doc_id, h, ranges) of the stretches of keys with over MANY of them: factors of classes, given back to the classes' rows."""
     rows = park(rows.withColumn("sid", F.xxhash64("key", "bytes")))
     classes = park(rows.groupBy("key", "sid").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes")).select("key", "doc_id", F.col("sid").alias("h"), F.lit(0).alias("start"), "bytes"))
     many = park(classes.groupBy("key").count().filter(F.col("count") > MANY).select("key", F.lit(True).alias("many")))
@@ -325,8 +333,16 @@ def hot_ranges(rows: DataFrame) -> DataFrame:
     spans = found.groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     per = park(classes.select(F.col("h").alias("sid"), F.col("doc_id").alias("first")).join(spans.withColumnRenamed("h", "sid"), "sid", "left"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("bytes").alias("end")))
-    own = hot_join(rows, per, "sid").withColumn("span", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans"))))
-    return own.select("doc_id", "h", (F.col("start") + F.col("span.start")).alias("start"), (F.col("start") + F.col("span.end")).alias("end"))
+    own = hot_join(rows, per, "sid").withColumn("spans", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans"))).filter("spans is not null")
+    return own.select("doc_id", "h", F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["end"]).alias("end"))).alias("ranges"))
+
+
+def common_keys(docs: DataFrame) -> np.ndarray:
+    """Keys that stand in over 1/256 of the sampled texts (and in nine), at most 4096 of them: they are spread over more tasks, which changes no result."""
+    counts = park(docs.mapInArrow(keys_of(), "key long, doc_id long, h long, n int").groupBy("key").count())
+    share = docs.select("doc_id", "h").count() / 256
+    rows = counts.filter(F.col("count") > max(8.0, share)).orderBy(F.desc("count"), "key").limit(1 << 12).select("key").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(U))
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,15 +379,18 @@ def removed_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = park(hot_join(digests, copied, "digest"))
         discard(digests)
         later = sizes.filter("doc_id > first").select("doc_id", "h").distinct()
-        unique = docs.filter(f"doc_id is not null and octet_length(text) >= {LEAST}").join(later, ["doc_id", "h"], "left_anti").dropDuplicates(["doc_id", "h"])
-        found = unique.mapInArrow(keys_of, "key long, doc_id long, h long, n int").repartition("key").sortWithinPartitions("key")
+        unique_of = lambda docs: docs.filter(f"doc_id is not null and octet_length(text) >= {LEAST}").join(later, ["doc_id", "h"], "left_anti").dropDuplicates(["doc_id", "h"])
+        unique = unique_of(docs)
+        common = spark.sparkContext.broadcast(common_keys(park(unique_of(docs.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(SAMPLE)) == 0)))).tobytes())
+        found = unique.mapInArrow(keys_of(common), "key long, doc_id long, h long, n int").repartition("key", F.least("n", F.lit(0))).sortWithinPartitions("key")
         wanted = found.mapInArrow(repeated(MANY), "key long, doc_id long, h long, hot boolean")
-        lists = park(wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "hot")).alias("keys")))
-        ranges = park(ordered_factors(unique.join(lists, ["doc_id", "h"]).mapInArrow(sender(False), STRETCH)))
-        hot = park(lists.filter(F.exists("keys", lambda k: k["hot"])))
-        if hot.limit(1).count():
-            ranges = ranges.union(hot_ranges(unique.join(hot, ["doc_id", "h"]).mapInArrow(sender(True), STRETCH)))
-        per = park(ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+        of = lambda hot: F.collect_list(F.when(F.col("hot") == hot, F.col("key")))
+        lists = park(wanted.groupBy("doc_id", "h").agg(of(False).alias("keys"), of(True).alias("hot")))
+        texts_with = lambda keys: unique.join(lists.select("doc_id", "h", F.col(keys).alias("keys")).filter("size(keys) > 0"), ["doc_id", "h"]).mapInArrow(sent, STRETCH)
+        ranges = park(ordered_factors(texts_with("keys"))).select("doc_id", "h", F.array(F.struct("start", "end")).alias("ranges"))
+        if lists.filter("size(hot) > 0").limit(1).count():
+            ranges = ranges.union(hot_ranges(texts_with("hot")))
+        per = park(ranges.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
         kept += [sizes, per]
     return sizes, unique.join(per, ["doc_id", "h"]).mapInArrow(cut, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -313,8 +313,9 @@ def test_op8_cuts_long_texts(spark):
     assert got == text.replace("a@b.cd", "<EMAIL>").replace("10.1.2.3", "<IP>")
 
 
-@pytest.mark.parametrize("part,many", [(3, 1 << 12), (1 << 14, 1 << 12), (1 << 14, 2), (5, 0)])
-def test_op9(spark, part, many, monkeypatch):
+@pytest.mark.parametrize("part,many,sample", [(3, 1 << 12, 64), (1 << 14, 1 << 12, 1), (1 << 14, 2, 64), (5, 0, 1)])
+def test_op9(spark, part, many, sample, monkeypatch):
+    monkeypatch.setattr(op9, "SAMPLE", sample)
     monkeypatch.setattr(op9, "PART", part)
     monkeypatch.setattr(op9, "MANY", many)
     rows = brute.messy([(400, "ab" * 300), (401, "ab" * 200 + "xyz"), (402, "q" * 50), (403, "z" + "q" * 50 + "é" * 40), (404, "é" * 40), (405, "x" * 49), (406, "x" * 49)])
