@@ -14,7 +14,8 @@ first 50 bytes. Every start of a factor of 50 is a suffix of some stretch, so a
 marked by the next ones.
 
 A key with over `MANY` stretches is not sorted in one task. Its stretches are first collapsed to classes, before any
-shuffle; if over `MANY` classes are left, their suffixes are dealt out again by all of their first 50 bytes.
+shuffle; if over `MANY` classes are left, their suffixes are dealt out again by all of their first 50 bytes. Where equal
+strings make up a large part of all rows, those after the first document go at once, without being dealt.
 
 A text that is equal to one with a smaller doc_id goes as a whole, before any of this.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.bytehash import BASE, BASE_INVERSE, buffers, mix, pieces, powers
-from engram.llm.shared import discard, hot_join, park, scratch
+from engram.llm.shared import HOT, discard, hot_join, park, scratch
 
 LEAST, GRAM, PIECE = 50, 24, 32
 #: Stretches of one key that are sorted together at most, and rows that are held at a time.
@@ -322,6 +323,19 @@ def ordered_factors(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(factors(PART), RANGE)
 
 
+def split_at_first(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(late, rest) of parked rows: late are the rows of hot keys that aren't of the key's smallest doc_id.
+
+    Rows of one key hold equal bytes, so what the late ones hold stands in an earlier document, and the rest has no hot key.
+    """
+    firsts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    hot = firsts.filter(F.col("n") > max(1.0, HOT * rows.count())).select(key, "first").collect()  # 1 / HOT rows at most
+    if not hot:
+        return rows.limit(0), rows
+    late = F.coalesce(F.col("doc_id") > F.element_at(F.create_map(*(F.lit(x) for r in hot for x in r)), F.col(key)), F.lit(False))
+    return rows.filter(late), rows.filter(~late)
+
+
 def hot_ranges(rows: DataFrame) -> DataFrame:
     """(doc_id, h, ranges) of the stretches of keys with over MANY of them: factors of classes, given back to the classes' rows."""
     rows = park(rows.withColumn("sid", F.xxhash64("key", "bytes")))
@@ -329,12 +343,15 @@ def hot_ranges(rows: DataFrame) -> DataFrame:
     many = park(classes.groupBy("key").count().filter(F.col("count") > MANY).select("key", F.lit(True).alias("many")))
     flagged = park(hot_join(classes, many, "key", "left"))
     few, more = (flagged.filter(f"{c} many is not null").select(*classes.columns) for c in ("not", ""))
-    found = park(ordered_factors(few.union(more.mapInArrow(dealt_again, STRETCH))))
+    late, rest = split_at_first(park(more.mapInArrow(dealt_again, STRETCH)), "key")
+    found = park(ordered_factors(few.union(rest))).union(late.select("doc_id", "h", "start", F.col("start") + LEAST))
     spans = found.groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     per = park(classes.select(F.col("h").alias("sid"), F.col("doc_id").alias("first")).join(spans.withColumnRenamed("h", "sid"), "sid", "left"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("bytes").alias("end")))
-    own = hot_join(rows, per, "sid").withColumn("spans", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans"))).filter("spans is not null")
-    return own.select("doc_id", "h", F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["end"]).alias("end"))).alias("ranges"))
+    late, rest = split_at_first(rows, "sid")
+    own = rest.join(per, "sid").select("doc_id", "h", "start", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans")).alias("spans"))
+    every = late.select("doc_id", "h", "start", whole.alias("spans")).union(own.filter("spans is not null"))
+    return every.select("doc_id", "h", F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["end"]).alias("end"))).alias("ranges"))
 
 
 def common_keys(docs: DataFrame) -> np.ndarray:
