@@ -54,14 +54,18 @@ def hashing_embedder(text: str, width: int = WIDTH) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def embedded(rows: DataFrame, text: str = "embeddingText", embed: Callable[[str], list[float]] = hashing_embedder) -> DataFrame:
-    """rows with a vector for each text. `embed` stands for any provider; equal texts of a batch are embedded once."""
+def hashing_batch(texts: list[str]) -> list[list[float]]:
+    return [hashing_embedder(t) for t in texts]
+
+
+def embedded(rows: DataFrame, text: str = "embeddingText", embed: Callable[[list[str]], list[list[float]]] = hashing_batch) -> DataFrame:
+    """rows with a vector for each text. `embed` stands for any provider and takes a batch of distinct texts at a time."""
 
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            once = {t: embed(t or "") for t in texts.unique()}
-            yield texts.map(once)
+            once = texts.unique().tolist()
+            yield texts.map(dict(zip(once, embed(once), strict=True)))
 
     return rows.withColumn("vector", vector(F.coalesce(F.col(text), F.lit(""))))
 

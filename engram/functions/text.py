@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and lists that results depend on.
+# Patterns and lists that results depend on. FILE_PATTERN tries longer extensions first, so that src/a.tsx
+# is one path, where an order of ts before tsx would cut it to src/a.ts.
 TOKEN_SPLIT = r"""[\s/.,;:!?()\[\]{}<>'"=+\-*&#@|\\`~^]+"""
 FILE_PATTERN = r"(?:^|\s)([\w/.-]*/[\w/.-]+\.(?:tsx|ts|json|jsx|js|md|css|html|py|go|rs))"
 NOT_FILES = ["node.js", "next.js", "vue.js", "nuxt.js", "react.js", "angular.js", "express.js", "bun.js", "deno.js"]
@@ -15,11 +16,11 @@ QUERY_SYMBOL_PATTERN = r"(?:function|class|interface|type|const|let|var|export)\
 CHANGED_LINE = r"^[+-]\s*(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|const|let|import)\s"
 CHANGE_MARKS = ["diff", "+++", "---", "Write to file", "Created file", "Modified file", "old_string", "new_string", "StrReplace", "Wrote to", "Updated file"]
 SYSTEM_TAGS = (
-    "system_reminder user_info rules agent_skills open_and_recently_viewed_files git_status agent_transcripts always_applied_workspace_rules "
-    "always_applied_workspace_rule available_skills agent_skill mcp_file_system mcp_file_system_servers mcp_file_system_server terminal_files_information "
-    "tone_and_style tool_calling making_code_changes citing_code inline_line_numbers task_management committing-changes-with-git creating-pull-requests "
-    "managing-long-running-commands linter_errors no_thinking_in_code_or_commands mode_selection mermaid_syntax other-common-operations"
-).split()
+    "system_reminder", "user_info", "rules", "agent_skills", "open_and_recently_viewed_files", "git_status", "agent_transcripts", "always_applied_workspace_rules", "always_applied_workspace_rule",
+    "available_skills", "agent_skill", "mcp_file_system", "mcp_file_system_servers", "mcp_file_system_server", "terminal_files_information", "tone_and_style", "tool_calling", "making_code_changes",
+    "citing_code", "inline_line_numbers", "task_management", "committing-changes-with-git", "creating-pull-requests", "managing-long-running-commands", "linter_errors",
+    "no_thinking_in_code_or_commands", "mode_selection", "mermaid_syntax", "other-common-operations",
+)
 FILE_TREE_LINE = r"^[ │├└─\s]*[\w/.-]+\.(?:ts|tsx|js|jsx|json|md|css|py|go|rs)\s*$"
 LANGUAGE_BY_EXTENSION = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".go": "go", ".rs": "rust"}
 SUMMARY_FILE = r"(?:^|\s)([\w/.-]+\.(?:tsx|ts|jsx|js|py|go|rs))"

@@ -94,7 +94,7 @@ def blast_radius(symbols: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def next_actor_edges(events: DataFrame) -> DataFrame:
-    """Users as symbols: each event's user calls the user of the next event of its type."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    """Users as symbols: each event's user calls the user of the next event of its type within the hour, so tasks stay small."""
+    order = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
     pairs = events.select(F.col("user_id").cast("string").alias("source"), F.lead("user_id").over(order).cast("string").alias("target"))
     return pairs.filter("target is not null").distinct().select("source", "target", F.lit("calls").alias("edgeType"))

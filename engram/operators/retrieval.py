@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import scoring
 from engram.functions.text import tokens
 from engram.functions.vectors import cosine, distance
+from engram.sources.tables import checkpointed
 
 K1, B, RRF_K = 1.2, 0.75, 60
 DIGITS = 6
@@ -52,13 +52,15 @@ def _bm25(tf: Column, df: Column, length: Column, documents: Column, average: Co
 def bm25(rows: DataFrame, terms: Sequence[str], k: int, id: str = "id", text: str = "text") -> DataFrame:
     """The k best rows for query terms by BM25.
 
-    Term counts are taken within each row, so no token is shuffled: only one row of statistics and the rows that hold a
-    term leave the scan. The counts (a few numbers a row) are kept, so that texts are read and split once.
+    Term counts are taken within each row, so no token is shuffled: texts are read and split once, and the counts (a few
+    numbers a row that holds a term, sums for the others) are parked by a checkpoint, which Spark's cleaner removes once
+    the frame is gone. Nothing stays in the cache.
     """
     terms = list(dict.fromkeys(terms))
     counted = rows.select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"))
     tf = [_count("t", w) for w in terms]
-    counted = counted.select("id", F.size("t").cast("long").alias("length"), F.array(*tf).alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = counted.select("id", F.size("t").cast("long").alias("length"), F.array(*tf).alias("tf"))
+    counted = checkpointed(counted)
     stats = counted.agg(
         F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average"), *(F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms)))
     )

@@ -24,17 +24,21 @@ def conversation_pairs(turns: DataFrame, session: str = "conv_id", order: str =
     return kept.select(session, nth.cast("long").alias("pair"), F.array_join("asked", "\n\n").alias("prompt"), "response")
 
 
-def chunk_rows(pairs: DataFrame, prompts: DataFrame | None = None, session: str = "conv_id") -> DataFrame:
+def chunk_rows(pairs: DataFrame, prompts: DataFrame | None = None, diffs: DataFrame | None = None, session: str = "conv_id") -> DataFrame:
     """Chunks of sessions: id, prompt, response, diffSummary, summary, files, language, symbols, embeddingText.
 
-    prompts: (session, prompts) for sessions without a pair, which give one chunk each.
+    prompts: (session, prompts) for sessions without a pair, which give one chunk each. diffs: (session, diffSummary) from
+    all turns, tool output included (`diff_summaries`), for a session's first chunk; else the reply's own lines are taken.
     """
     rows = pairs.select(session, "pair", "prompt", "response")
     if prompts is not None:
         alone = prompts.join(pairs.select(session).distinct(), session, "left_anti").filter("prompts <> ''")
         rows = rows.unionByName(alone.select(session, F.lit(0).cast("long").alias("pair"), F.col("prompts").alias("prompt"), F.lit("").alias("response")))
     prompt = X.clean_prompt(F.col("prompt"))
-    diff = F.when(F.col("pair") == 0, F.left(X.changed_lines(F.col("response")), F.lit(1500))).otherwise("")
+    if diffs is not None:
+        rows = rows.join(diffs.select(session, F.col("diffSummary").alias("_diff")), session, "left")
+    of_session = F.left(X.changed_lines(F.col("response")), F.lit(1500)) if diffs is None else F.coalesce("_diff", F.lit(""))
+    diff = F.when(F.col("pair") == 0, of_session).otherwise("")
     made = rows.select(
         F.concat_ws("-", F.col(session).cast("string"), F.lit("0"), F.col("pair").cast("string")).alias("id"), prompt.alias("prompt"), X.truncated(F.col("response"), 4000).alias("response"), diff.alias("diffSummary"), F.col("response").alias("_whole")
     )

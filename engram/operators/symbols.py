@@ -1,7 +1,8 @@
 """Symbols of source files: a parser for each language, behind one table function.
 
 Python files go through the language's own parser; the other languages through a scanner of declarations with brace
-counting. Parsers are looked up by extension in PARSERS, to which others can be added.
+counting, which reads their heads for metadata. Calls and imports are taken from whole bodies, before they are cut for
+storage. Parsers are looked up by extension in PARSERS, to which others can be added.
 """
 
 from __future__ import annotations
@@ -9,28 +10,34 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.operators.signatures import signature
+
 # Words that look like calls but aren't.
 KEYWORDS = (
-    "if for while switch catch return throw new typeof instanceof void delete await import export from const let var function class interface type enum extends implements async yield super this true false null "
-    "undefined try finally else case break continue default debugger with static abstract public private protected readonly override declare require module exports console process Array Object String Number "
-    "Boolean Map Set Promise Error Math JSON Date RegExp Symbol parseInt parseFloat isNaN setTimeout setInterval clearTimeout"
-).split()
+    "if", "for", "while", "switch", "catch", "return", "throw", "new", "typeof", "instanceof", "void", "delete", "await", "import", "export", "from", "const", "let", "var", "function", "class", "interface", "type",
+    "enum", "extends", "implements", "async", "yield", "super", "this", "true", "false", "null", "undefined", "try", "finally", "else", "case", "break", "continue", "default", "debugger", "with", "static", "abstract",
+    "public", "private", "protected", "readonly", "override", "declare", "require", "module", "exports", "console", "process", "Array", "Object", "String", "Number", "Boolean", "Map", "Set", "Promise", "Error",
+    "Math", "JSON", "Date", "RegExp", "Symbol", "parseInt", "parseFloat", "isNaN", "setTimeout", "setInterval", "clearTimeout",
+)
+#: Words that look like calls in the other languages.
+NOT_CALLS = ("func", "fn", "go", "defer", "def", "match", "not", "and", "assert", "elif", "except", "print")
 CALL = r"\b([a-zA-Z_]\w{2,})\s*\("
 NAMED_IMPORT, DEFAULT_IMPORT = r"import\s+\{([^}]+)\}\s+from\s+[\"']([^\"']+)[\"']", r"import\s+(\w+)\s+from\s+[\"']([^\"']+)[\"']"
 COLUMNS = "path string, symbol string, symbolType string, startLine int, endLine int, body string, doc string, exported boolean, metadata string"
+#: Bodies are stored up to this length.
 MAX_BODY = 3000
 
 
-def calls(body: Column, own: Column, n: int = 30) -> Column:
-    """Names that a body calls: distinct, in order, keywords and its own name aside."""
+def calls(body: Column, own: Column, n: int = 30, others: Sequence[str] = ()) -> Column:
+    """Names that a body calls: distinct, in order, keywords, other words given and its own name aside."""
     found = F.array_distinct(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)))
-    return F.slice(F.array_except(found, F.array(own, *map(F.lit, KEYWORDS))), 1, n)
+    return F.slice(F.array_except(found, F.array(own, *map(F.lit, [*KEYWORDS, *others]))), 1, n)
 
 
 def imported(text: Column) -> Column:
@@ -65,7 +72,7 @@ def python_symbols(text: str) -> Iterator[Row]:
         doc = ast.get_docstring(node) if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else None
         if doc and meta is not None:
             meta["docstring"] = doc
-        return name, kind, node.lineno, node.end_lineno or node.lineno, body[:MAX_BODY], doc or "", not name.split(".")[-1].startswith("_"), json.dumps(meta) if meta else None
+        return name, kind, node.lineno, node.end_lineno or node.lineno, body, doc or "", not name.split(".")[-1].startswith("_"), json.dumps(meta) if meta else None
 
     def about(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
         given = [a for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs] if a.arg not in ("self", "cls")]
@@ -88,18 +95,15 @@ def python_symbols(text: str) -> Iterator[Row]:
 
 
 def block_end(lines: list[str], start: int, fallback: int = 50, statement: bool = False) -> int:
-    """The line that closes the block begun at `start`. A statement ends before any brace at its semicolon, or at once if its line is complete."""
+    """The line at whose end the block begun at `start` is closed. A statement ends before any brace at its semicolon, or at once if its line is complete."""
     depth, opened = 0, False
-    if statement and "{" not in lines[start] and not re.search(r"[=|&,(]\s*$", lines[start]):
+    if statement and "{" not in lines[start] and not re.search(r"(?:[=|&,(]|=>)\s*$", lines[start]):
         return start
     for i in range(start, len(lines)):
-        for c in lines[i]:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-                if opened and depth == 0:
-                    return i
+        opened = opened or "{" in lines[i]
+        depth += lines[i].count("{") - lines[i].count("}")
+        if opened and depth <= 0:
+            return i
         if statement and not opened and lines[i].rstrip().endswith(";"):
             return i
     return min(start + fallback, len(lines) - 1)
@@ -120,39 +124,60 @@ def doc_above(lines: list[str], at: int) -> str:
     return re.sub(r"\s*(/\*\*?|\*/|^\s*\*)\s?", " ", "\n".join(lines[i : end + 1]), flags=re.M).strip()
 
 
-def scanner(rules: list[tuple[str, str]], exported: Callable[[str, str], bool], methods: str | None = None, receiver: str | None = None) -> Callable[[str], Iterator[Row]]:
+def scanner(
+    language: str, rules: list[tuple[str, str]], exported: Callable[[str, str], bool], methods: str | None = None, receiver: str | None = None, groups: str | None = None, specs: list[tuple[str, str]] = ()
+) -> Callable[[str], Iterator[Row]]:
     """A parser from (pattern with a group `name`, type) rules tried in order on each line.
 
     methods: pattern of methods inside a class or implementation block; receiver: pattern with `of` and `name` for
-    functions that name the type they belong to.
+    functions that name the type they belong to; groups: pattern with `kind` that opens a bracketed list of declarations,
+    each of which the rules of specs read after its kind and a blank.
     """
     compiled = [(re.compile(p), kind) for p, kind in rules]
-    inner = re.compile(methods) if methods else None
-    owner = re.compile(receiver) if receiver else None
+    inner, owner, group = (re.compile(p) if p else None for p in (methods, receiver, groups))
+    inside = [(re.compile(p), kind) for p, kind in specs]
 
     def parse(text: str) -> Iterator[Row]:
         lines, skip, owners = text.split("\n"), -1, []
+
+        def row(name: str, kind: str, i: int, end: int, of: str = "") -> Row:
+            meta = signature(language, kind, name, lines, i, end)
+            return of + name, kind, i + 1, end + 1, "\n".join(lines[i : end + 1]), doc_above(lines, i), exported(name, lines[i]), json.dumps(meta) if meta else None
+
         for i, line in enumerate(lines):
             owners = [o for o in owners if o[1] >= i]
             if owners and inner and (m := inner.match(line)) and m["name"] not in ("constructor", "if", "for", "while", "switch", "catch", "return"):
                 end = block_end(lines, i)
-                yield f"{owners[-1][0]}.{m['name']}", "method", i + 1, end + 1, "\n".join(lines[i : end + 1])[:MAX_BODY], doc_above(lines, i), exported(m["name"], line), None
+                yield row(m["name"], "method", i, end, f"{owners[-1][0]}.")
                 skip = max(skip, end)
                 continue
             if i <= skip:
                 continue
+            if group and (m := group.match(line)):
+                k = i + 1
+                while k < len(lines) and not lines[k].lstrip().startswith(")"):
+                    end = k
+                    for pattern, kind in inside:
+                        if found := pattern.match(f"{m['kind']} {lines[k].strip()}"):
+                            # A brace or bracket that stays open on the line holds the next ones.
+                            while end + 1 < len(lines) and sum(x.count(c) for x in lines[k : end + 1] for c in "{([") > sum(x.count(c) for x in lines[k : end + 1] for c in "})]"):
+                                end += 1
+                            yield row(found["name"], kind, k, end)
+                            break
+                    k = end + 1
+                skip = k
+                continue
             if owner and (m := owner.match(line)):
-                end = block_end(lines, i)
-                yield f"{m['of']}.{m['name']}", "method", i + 1, end + 1, "\n".join(lines[i : end + 1])[:MAX_BODY], doc_above(lines, i), exported(m["name"], line), None
-                skip = end
+                skip = block_end(lines, i)
+                yield row(m["name"], "method", i, skip, f"{m['of']}.")
                 continue
             for pattern, kind in compiled:
                 if m := pattern.match(line):
-                    end = block_end(lines, i, 30 if kind in ("type", "interface") else 50, kind in ("type", "constant", "variable"))
+                    end = block_end(lines, i, 30 if kind in ("type", "interface") else 50, kind in ("type", "constant", "variable") or bool(re.search(r"=>[^{]*$", line)))
                     if kind == "owner":
                         owners.append((m["name"], end))
                         break
-                    yield m["name"], kind, i + 1, end + 1, "\n".join(lines[i : end + 1])[:MAX_BODY], doc_above(lines, i), exported(m["name"], line), None
+                    yield row(m["name"], kind, i, end)
                     if kind == "class":
                         owners.append((m["name"], end))
                     else:
@@ -163,6 +188,7 @@ def scanner(rules: list[tuple[str, str]], exported: Callable[[str, str], bool],
 
 
 script_symbols = scanner(
+    "script",
     [
         (r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[a-z_$]\w*)", "function"),
         (r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(?P<name>[A-Z]\w*)", "component"),
@@ -171,12 +197,14 @@ script_symbols = scanner(
         (r"(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)", "enum"),
         (r"(?:export\s+)?type\s+(?P<name>\w+)", "type"),
         (r"(?:export\s+)?(?:const|let)\s+(?P<name>\w+)\s*=\s*(?:React\.)?(?:memo|forwardRef|lazy)\s*\(", "component"),
-        (r"(?:export\s+)?(?:const|let)\s+(?P<name>\w+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[^=]+)?=>|\w+\s*=>|\([^)]*$)", "function"),
+        (r"(?:export\s+)?(?:const|let)\s+(?P<name>\w+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[^=]+)?=>|\w+\s*=>|(?:<[^>]*>)?\([^)]*$)", "function"),
+        (r"export\s+const\s+(?P<name>\w+)\s*(?::[^=]+)?=", "constant"),
     ],
     lambda name, line: line.lstrip().startswith("export"),
     methods=r"\s+(?:(?:public|private|protected|static|abstract|override|readonly|async|get|set)\s+){0,3}(?P<name>\w+)\s*(?:<[^>]*>)?\([^;]*\{\s*$",
 )
 go_symbols = scanner(
+    "go",
     [
         (r"func\s+(?P<name>\w+)", "function"),
         (r"type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+struct\b", "class"),
@@ -187,8 +215,17 @@ go_symbols = scanner(
     ],
     lambda name, line: name[:1].isupper(),
     receiver=r"func\s+\(\s*\w*\s*\*?(?P<of>\w+)(?:\[[^\]]*\])?\s*\)\s*(?P<name>\w+)",
+    groups=r"(?P<kind>const|var|type)\s*\(\s*$",
+    specs=[
+        (r"type\s+(?P<name>[A-Za-z_]\w*)(?:\[[^\]]*\])?\s+struct\b", "class"),
+        (r"type\s+(?P<name>[A-Za-z_]\w*)(?:\[[^\]]*\])?\s+interface\b", "interface"),
+        (r"type\s+(?P<name>[A-Za-z_]\w*)\s", "type"),
+        (r"const\s+(?P<name>[A-Za-z_]\w*)", "constant"),
+        (r"var\s+(?P<name>[A-Za-z_]\w*)", "variable"),
+    ],
 )
 rust_symbols = scanner(
+    "rust",
     [
         (r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<name>\w+)", "function"),
         (r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)", "class"),
@@ -214,19 +251,25 @@ def parse_symbols(path: str, text: str) -> list[tuple]:
 
 
 def symbols_of(files: DataFrame) -> DataFrame:
-    """Symbols (COLUMNS, id, summary, calls, imports) of files (path, text), file by file within each task."""
+    """Symbols (COLUMNS, id, summary, calls, imports) of files (path, text), file by file within each task.
+
+    A file's imports travel with its symbols, so files are read once and nothing is joined; calls and imports are read
+    from whole bodies.
+    """
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    rows = files.select("path", "text", imported(F.col("text")).alias("_imports")).select("path", "text", F.to_json("_imports").alias("_imports"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
         for b in batches:
-            yield pd.DataFrame([r for p, t in zip(b["path"], b["text"], strict=True) for r in parse_symbols(p, t)], columns=names)
+            made = [(*r, i) for p, t, i in zip(b["path"], b["text"], b["_imports"], strict=True) for r in parse_symbols(p, t)]
+            yield pd.DataFrame(made, columns=[*names, "_imports"])
 
-    made = files.select("path", "text").mapInPandas(run, COLUMNS).join(files.select("path", imported(F.col("text")).alias("_imports")), "path")
-    called = calls(F.col("body"), F.element_at(F.split("symbol", r"\."), -1))
-    made = made.withColumn("_calls", called)
+    made = rows.mapInPandas(run, f"{COLUMNS}, _imports string").withColumn("_imports", F.from_json("_imports", "array<struct<name:string,source:string>>"))
+    made = made.withColumn("_calls", calls(F.col("body"), F.element_at(F.split("symbol", r"\."), -1), others=NOT_CALLS))
     summary = F.when(F.col("doc") != "", F.left("doc", F.lit(200))).otherwise(F.concat_ws(" ", "symbolType", "symbol"))
+    kept = [F.left("body", F.lit(MAX_BODY)).alias("body") if c == "body" else F.col(c) for c in names]
     return made.select(
-        F.concat_ws(":", "path", "symbol", F.col("startLine").cast("string")).alias("id"), *(c.split()[0] for c in COLUMNS.split(", ")), summary.alias("summary"), F.array_join("_calls", ",").alias("calls"),
+        F.concat_ws(":", "path", "symbol", F.col("startLine").cast("string")).alias("id"), *kept, summary.alias("summary"), F.array_join("_calls", ",").alias("calls"),
         F.array_join(resolved_imports(F.col("body"), F.col("_calls"), F.col("_imports")), ",").alias("imports"),
     )
 

@@ -29,7 +29,7 @@ EDGES = (
     "SELECT symbol AS source, unnest(string_split(calls, ',')) AS target, 'calls' AS edgeType, path FROM symbols UNION ALL "
     "SELECT symbol, split_part(unnest(string_split(imports, ',')), ':', 1), 'imports', path FROM symbols) WHERE target <> '' GROUP BY source, target, edgeType)"
 )
-ACTORS = "e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS source, CAST(n AS VARCHAR) AS target FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL)"
+ACTORS = "e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS source, CAST(n AS VARCHAR) AS target FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL)"
 STEPS = 5
 
 
@@ -206,7 +206,20 @@ def trend_period(spark: SparkSession, sf: str) -> DataFrame:
     return TR.period_days(snapshots(spark, sf))
 
 
-@P.add()
+#: (condition on a row of the trend report, advice)
+ADVICE = [
+    ("metric = 'avgComplexity' AND trend = 'degrading'", "complexity increases: refactor complex functions"), ("metric = 'avgComplexity' AND current > 10", "high average complexity: review the top symbols"),
+    ("metric = 'documentationCoverage' AND trend = 'degrading'", "documentation declines: document new code"), ("metric = 'documentationCoverage' AND current < 0.5", "low documentation: start with public interfaces"),
+    ("metric = 'deadCodeCount' AND trend = 'degrading'", "dead code accumulates: remove unused symbols"), ("metric = 'deadCodeCount' AND current > 20", "much dead code: consider automated cleanup"),
+    ("metric = 'healthScore' AND trend = 'degrading'", "health declines: address top issues first"), ("metric = 'healthScore' AND current < 70", "health below 70: reduce complexity, improve documentation"),
+    ("metric = 'duplicateSymbolCount' AND (trend = 'degrading' OR current > 10)", "duplication: extract shared utilities"),
+]
+
+
+@P.add(
+    f"WITH report AS ({P.sql['trend_report']}), a AS (" + " UNION ALL ".join(f"SELECT {quoted(text)} AS advice FROM report WHERE {cond}" for cond, text in ADVICE)
+    + ") SELECT advice FROM a UNION ALL SELECT 'metrics are stable or improving' WHERE NOT EXISTS (SELECT 1 FROM a)"
+)
 def trend_advice(spark: SparkSession, sf: str) -> DataFrame:
     return TR.advice(TR.trend_report(snapshots(spark, sf)))
 
@@ -251,7 +264,17 @@ def complexity_scores(spark: SparkSession, sf: str) -> DataFrame:
     return bodies(spark, sf).select("id", C.cyclomatic(F.col("body")).alias("cyclomatic"))
 
 
-@P.add()
+LINE = (
+    f"{{'o': CAST(regexp_matches(x, {quoted(C.NESTING)}) AS INT), 'c': len(regexp_extract_all(x, '\\}}')), 'l': len(regexp_extract_all(x, {quoted(C.LOGICAL)})), 't': len(regexp_extract_all(x, {quoted(C.TERNARY)})), 'n': 0::BIGINT, 'depth': 0::BIGINT}}"
+)
+DEPTH = "greatest(a.depth + x.o - x.c, 0)"
+
+
+@P.add(
+    f"WITH {BODIES}, lines AS (SELECT id, [{LINE} FOR x IN [ltrim(y) FOR y IN string_split({STRIPPED}, chr(10))]] AS s FROM bodies) "
+    f"SELECT id, CAST(list_reduce(list_concat([{{'o': 0, 'c': 0::BIGINT, 'l': 0::BIGINT, 't': 0::BIGINT, 'n': 0::BIGINT, 'depth': 0::BIGINT}}], s), lambda a, x: "
+    f"{{'o': x.o, 'c': x.c, 'l': x.l, 't': x.t, 'n': a.n + x.o * (a.depth + 1) + x.l + x.t * ({DEPTH} + 1), 'depth': {DEPTH}}}).n AS BIGINT) AS cognitive FROM lines"
+)
 def cognitive_scores(spark: SparkSession, sf: str) -> DataFrame:
     return bodies(spark, sf).select("id", C.cognitive(F.col("body")).alias("cognitive"))
 
@@ -360,7 +383,8 @@ def pattern_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    return pattern_rows(spark, sf).select("id", F.explode(C.detected(c("symbol"), c("path"), c("language"), c("body"), c("metadata"))).alias("p")).select("id", "p.*")
+    rows = pattern_rows(spark, sf).withColumn("_low", F.lower("body"))
+    return rows.select("id", F.explode(C.detected(c("symbol"), c("path"), c("language"), c("body"), c("metadata"), c("_low"))).alias("p")).select("id", "p.*")
 
 
 @P.add(f"{pattern_sql()} SELECT id, pattern, type, severity, CAST(confidence AS DOUBLE) AS confidence FROM hits")
@@ -422,24 +446,57 @@ def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return S.similar_pairs(vectors(spark, sf), 0.35).select("id1", "id2", F.round("similarity", 6).alias("similarity"))
 
 
-@P.add()
+def with_near(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors, and of every third a near copy (id + 1000000): one element moved by a tenth of the others' mean size."""
+    v = vectors(spark, sf).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    moved = F.transform("vector", lambda x, i: F.when(i == F.col("id") % F.size("vector"), x + F.aggregate("vector", F.lit(0.0), lambda s, y: s + F.abs(y)) / F.size("vector") / 10).otherwise(x))
+    return v.union(v.filter("id % 3 = 0").select(F.col("id") + 1000000, moved))
+
+
+NEAR_COPIES = (
+    "copies AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, [CASE WHEN i - 1 = vec_id % len(embedding) THEN x + s / len(embedding) / 10 ELSE x END FOR x, i IN e] "
+    "FROM (SELECT *, CAST(embedding AS DOUBLE[]) AS e, list_sum([abs(x) FOR x IN CAST(embedding AS DOUBLE[])]) AS s FROM embeddings) WHERE vec_id % 3 = 0)"
+)
+CLOSE = 0.95
+
+
+@P.add(f"WITH {NEAR_COPIES} SELECT id1, id1 + 1000000 AS id2, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM (SELECT id AS id1, v FROM copies WHERE id < 1000000) a JOIN copies b ON b.id = id1 + 1000000 WHERE list_cosine_similarity(a.v, b.v) >= {CLOSE}")
 def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return S.lsh_pairs(vectors(spark, sf), 64, 0.35, planes=4, tables=16)
+    """Near copies found through buckets of 16 planes; 12 tables make a miss of one at .995 improbable (measured in the tests)."""
+    return S.lsh_pairs(with_near(spark, sf), 64, CLOSE, planes=16, tables=12).select("id1", "id2", F.round("similarity", 6).alias("similarity"))
 
 
-@P.add()
+STARS = f"""WITH RECURSIVE p AS ({SIMILAR}), ids AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings), low AS (SELECT id2 AS id, list(id1) AS l FROM p GROUP BY id2),
+g(n, free) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT ids.n, CASE WHEN len(list_intersect(g.free, coalesce(low.l, []))) > 0 THEN g.free ELSE list_append(g.free, ids.id) END FROM g JOIN ids ON ids.n = g.n + 1 LEFT JOIN low ON low.id = ids.id),
+f AS (SELECT unnest(free) AS id FROM (SELECT free FROM g ORDER BY n DESC LIMIT 1)),
+m AS (SELECT id2 AS id, min(id1) AS cluster, arg_min(similarity, id1) AS s FROM p WHERE id1 IN (SELECT id FROM f) GROUP BY id2),
+b AS (SELECT cluster, floor(max(s) * 100 + 0.5) / 100 AS similarity FROM m GROUP BY 1)
+SELECT cluster, id, similarity FROM (SELECT cluster, id FROM m UNION ALL SELECT cluster, cluster FROM b) JOIN b USING (cluster)"""
+
+
+@P.add(STARS)
 def dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return S.star_clusters(S.similar_pairs(vectors(spark, sf), 0.35))
 
 
-@P.add(f"SELECT id, score, CAST(row_number() OVER (ORDER BY rank) AS BIGINT) AS rank FROM ({knn_sql('list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)', 50)}) k")
+def greedy_sql(near: str, limit: float) -> str:
+    """A greedy fold over ranked rows (id, score, rank, v): each one that is like none kept before stays."""
+    return f"""WITH RECURSIVE {NEAR_COPIES}, near AS ({near}), bad AS (SELECT a.rank AS n, list(b.rank) AS l FROM near a JOIN near b ON b.rank < a.rank AND list_cosine_similarity(a.v, b.v) > {limit} GROUP BY 1),
+g(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT near.rank, CASE WHEN len(list_intersect(g.kept, coalesce(bad.l, []))) > 0 THEN g.kept ELSE list_append(g.kept, near.rank) END FROM g JOIN near ON near.rank = g.n + 1 LEFT JOIN bad ON bad.n = near.rank)
+SELECT id, score, CAST(row_number() OVER (ORDER BY rank) AS BIGINT) AS rank FROM near WHERE rank IN (SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY n DESC LIMIT 1))"""
+
+
+NEAREST = "SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank, v FROM (SELECT id, v, round(list_cosine_similarity(v, q), 6) AS score FROM {0}, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, id LIMIT 50)"
+
+
+@P.add(greedy_sql(NEAREST.format("copies"), CLOSE))
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """No two neighbours of these tables are alike by 0.95, so all of them stay."""
-    near = R.knn(vectors(spark, sf), vector_of(spark, sf), 50, metric="cosine")
-    return R.deduplicated(near.join(vectors(spark, sf).select("id", "vector"), "id")).select("id", "score", "rank")
+    """Neighbours among vectors and near copies: of each pair, the better one stays."""
+    v = with_near(spark, sf)
+    return R.deduplicated(R.knn(v, vector_of(spark, sf), 50, metric="cosine").join(v, "id"), CLOSE).select("id", "score", "rank")
 
 
-@P.add()
+@P.add(greedy_sql(NEAREST.format("(SELECT * FROM copies WHERE id < 1000000)"), 0.3))
 def greedy_dedup_close(spark: SparkSession, sf: str) -> DataFrame:
     near = R.knn(vectors(spark, sf), vector_of(spark, sf), 50, metric="cosine")
     return R.deduplicated(near.join(vectors(spark, sf).select("id", "vector"), "id"), 0.3).select("id", "score", "rank")
@@ -469,6 +526,28 @@ def eval_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return E.summary(graded(spark, sf))
 
 
+RECOMMENDED = f"""WITH RECURSIVE {SYMBOLS_SQL}, {PI.CALLERS}, {PI.IMPORTERS}, stars AS ({STARS.replace('WITH RECURSIVE', 'WITH RECURSIVE')}),
+dead AS (SELECT count(*) AS n FROM symbols WHERE symbolType = 'function' AND symbol NOT IN (SELECT symbol FROM callers) AND symbol NOT IN (SELECT symbol FROM importers)),
+t AS (SELECT count(*) AS k, count(DISTINCT path) AS files, count(*) / count(DISTINCT path)::DOUBLE AS average, CAST(floor(count(*) FILTER (documented) * 100.0 / count(*)) AS BIGINT) AS documented FROM symbols),
+hot AS (SELECT path, count(*) AS n FROM symbols GROUP BY 1 ORDER BY n DESC, path LIMIT 1),
+cx AS (SELECT symbol, complexity FROM symbols ORDER BY complexity DESC, symbol LIMIT 1),
+big AS (SELECT CAST(doc_id AS VARCHAR) AS symbol, len(string_split(text, chr(10))) AS lines FROM documents ORDER BY lines DESC, symbol LIMIT 1),
+c AS (SELECT count(DISTINCT cluster) AS clusters, count(*) AS members FROM stars)
+SELECT 'rec-complexity' AS id, CASE WHEN complexity > 25 THEN 'critical' ELSE 'warning' END AS severity, 'complexity' AS category FROM cx WHERE complexity > 15
+UNION ALL SELECT 'rec-god-file', CASE WHEN n > average * 5 THEN 'warning' ELSE 'info' END, 'modularization' FROM hot, t WHERE n > average * 3 AND n > 10
+UNION ALL SELECT 'rec-dead-code', CASE WHEN n > 30 THEN 'warning' ELSE 'info' END, 'dead-code' FROM dead WHERE n > 10
+UNION ALL SELECT 'rec-duplication', CASE WHEN members > 10 THEN 'warning' ELSE 'info' END, 'duplication' FROM c WHERE clusters > 0
+UNION ALL SELECT 'rec-docs', CASE WHEN documented < 10 THEN 'warning' ELSE 'info' END, 'health' FROM t WHERE documented < 30
+UNION ALL SELECT 'rec-oversized', CASE WHEN lines > 300 THEN 'warning' ELSE 'info' END, 'structure' FROM big WHERE lines > 150"""
+
+
+@P.add(RECOMMENDED)
+def recommended_by_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules over symbol totals, files, documents and clusters; those over links are in `recommendations`."""
+    links = ("rec-god-object", "rec-fan-in", "rec-coupling", "rec-imbalance")
+    return recommendations(spark, sf).filter(~F.col("id").isin(*links)).select("id", "severity", "category")
+
+
 @P.add()
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     rows = symbols(spark, sf)

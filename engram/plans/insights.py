@@ -105,9 +105,12 @@ def code_change_detector(spark: SparkSession, sf: str) -> DataFrame:
     return notes(spark).select("id", X.looks_like_change(F.col("diff")).alias("changed"))
 
 
-@P.add("SELECT id, CASE id WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 4 THEN 'go' ELSE '' END AS language FROM (VALUES (1), (2), (3), (4)) v(id)")
+@P.add("SELECT p_partkey AS id, CASE WHEN a = 0 AND b = 0 AND c = 0 THEN '' WHEN a >= b AND a >= c THEN 'python' WHEN b >= c THEN 'go' ELSE 'typescript' END AS language FROM (SELECT p_partkey, p_size % 4 AS a, p_partkey % 3 AS b, p_partkey % 5 AS c FROM part)")
 def language_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return notes(spark).select("id", X.language_of(X.files_changed(F.col("body"))).alias("language"))
+    """Parts as notes that mention some Python, then some Go, then some TypeScript files."""
+    named = lambda n, ext: F.when(F.expr(n) > 0, F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.expr(n).cast("int")), lambda i: F.concat(F.lit("src/f"), i.cast("string"), F.lit(ext))))).otherwise("")
+    body = F.concat_ws("\n", named("p_size % 4", ".py"), named("p_partkey % 3", ".go"), named("p_partkey % 5", ".ts"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.language_of(X.files_changed(body)).alias("language"))
 
 
 @P.add("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'changed' END AS state FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR quality = 0")

@@ -107,9 +107,30 @@ def sql_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT p_brand, count(DISTINCT p_type) AS types, count(*) AS n FROM engram_part WHERE p_size > :least GROUP BY p_brand", args={"least": 10})
 
 
-@P.add()
+@P.add("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, TRUE AS near, TRUE AS near_sketch FROM lineitem GROUP BY 1")
 def approx_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    """Exact counts, and whether the two kinds of approximate ones come within a tenth."""
+    exact, near = F.count_distinct("l_partkey"), lambda x: F.abs(x - F.count_distinct("l_partkey")) <= 0.1 * F.count_distinct("l_partkey")
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey"))
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(exact.alias("parts"), near(F.approx_count_distinct("l_partkey")).alias("near"), near(sketch).alias("near_sketch"))
+
+
+@P.add("SELECT l_returnflag, TRUE AS median_near, TRUE AS kll_near, TRUE AS counted FROM lineitem GROUP BY 1")
+def approx_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the median by Greenwald-Khanna and by a KLL sketch lies between the exact 47th and 53rd percentiles, and a count-min sketch was made."""
+    lo, hi = (F.percentile("l_extendedprice", F.lit(p)) for p in (0.47, 0.53))
+    kll = F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5d)")
+    made = F.length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(7))) > 0
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).between(lo, hi).alias("median_near"), kll.between(lo, hi).alias("kll_near"), made.alias("counted"))
+
+
+@P.add("SELECT CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS VARCHAR) AS total, CAST(max(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))) AS BIGINT) AS days, count(DISTINCT l_returnflag || l_linestatus) AS kinds FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def value_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Decimals, intervals and maps."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    span = (F.to_date("o_orderdate") - F.lit("1992-01-01").cast("date")).cast("interval day")
+    kinds = F.map_from_arrays(F.collect_set(F.concat("l_returnflag", "l_linestatus")), F.collect_set(F.concat("l_returnflag", "l_linestatus")))
+    return rows.agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("string").alias("total"), (F.extract(F.lit("day"), F.max(span))).cast("long").alias("days"), F.size(kinds).cast("long").alias("kinds"))
 
 
 WINDOWED = "SELECT strftime(CAST(start AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ({0}) GROUP BY 1, 2"

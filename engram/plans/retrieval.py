@@ -136,10 +136,10 @@ def rrf_three_lists_boost(spark: SparkSession, sf: str) -> DataFrame:
     return R.fused([names, R.knn(vectors(spark, sf), vector_of(spark, sf), 50), R.bm25(chunks(spark, sf), TERMS, 50)], 20, (True,))
 
 
-def boost_sql(weights: tuple, text: str = "text") -> str:
-    """The rerank boost of QUERY over documents, without wanted files."""
-    tokens_sql = f"[x FOR x IN string_split_regex(lower({quoted(QUERY)}), {SPLIT}) IF length(x) > 2]"
-    names_sql = f"[x FOR x IN list_distinct(string_split_regex(lower({quoted(QUERY)}), {SPLIT})) IF length(x) >= 4]"
+def boost_sql(weights: tuple, text: str = "text", query: str = QUERY) -> str:
+    """The rerank boost of a query over documents, without wanted files."""
+    tokens_sql = f"[x FOR x IN string_split_regex(lower({quoted(query)}), {SPLIT}) IF length(x) > 2]"
+    names_sql = f"[x FOR x IN list_distinct(string_split_regex(lower({quoted(query)}), {SPLIT})) IF length(x) >= 4]"
     return (
         f"{weights[0]} * exp(-ln(2) * (doc_id % 60) / 14.0) + {weights[2]} * len([x FOR x IN {tokens_sql} IF contains(lower({text}), x)]) / len({tokens_sql})::DOUBLE "
         f"+ {weights[3]} * len([x FOR x IN {names_sql} IF contains(lower({text}), x)]) / len({names_sql})::DOUBLE"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions import code as C
 from engram.functions import embedding as EM
 from engram.functions import text as X
 from engram.operators import insights as I
@@ -13,71 +16,117 @@ from engram.plans.proxies import SYMBOLS_SQL, symbols
 from engram.plans.registry import Plans, quoted
 from engram.sources import code_files as CF
 from engram.sources import transcripts as TS
+from engram.sources.tables import table
 
 P = Plans()
 
-JSON_LINES = [
-    '{"role":"user","content":"plain"}',
-    '{"role":"assistant","message":{"content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]}}',
-    "not json",
-    '{"content":"no role"}',
-    '{"message":{"role":"tool","content":{"text":"inner"}}}',
-]
-WANT = [("user", "plain"), ("assistant", "a\nb"), ("tool", "inner")]
+def rendered(template: str, **fields: str) -> Column:
+    """A text with @names replaced by columns, given as SQL; the oracles fill the same names."""
+    out = F.lit(template)
+    for name, column in fields.items():
+        out = F.replace(out, F.lit(f"@{name}"), F.expr(column).cast("string"))
+    return out
 
 
-@P.add("SELECT * FROM (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in WANT) + ") v(role, content)")
+@P.add(
+    "SELECT role, CASE turn % 4 WHEN 1 THEN text || chr(10) || role ELSE text END AS content FROM conversations WHERE turn % 4 <> 3"
+)
 def jsonl_decode(spark: SparkSession, sf: str) -> DataFrame:
-    return TS.decoded(spark.createDataFrame([(x,) for x in JSON_LINES], "value string")).select("role", "content")
-
+    """Every turn as a transcript line: plain, as a list of items, nested, and every fourth one broken."""
+    text, item = F.col("text"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"))
+    listed = F.struct("role", F.struct(F.array(item(text), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), item(F.col("role"))).alias("content")).alias("message"))
+    nested = F.struct(F.struct("role", F.struct(text.alias("text")).alias("content")).alias("message"))
+    line = F.when(F.col("turn") % 4 == 0, F.to_json(F.struct("role", text.alias("content")))).when(F.col("turn") % 4 == 1, F.to_json(listed)).when(F.col("turn") % 4 == 2, F.to_json(nested))
+    return TS.decoded(table(spark, sf, "conversations").select(F.coalesce(line, F.concat(F.lit("not json "), text)).alias("value"))).select("role", "content")
 
-LOG = ["c1|ann|2025-01-01\na.ts\nb.ts", "c2|bob|2025-01-02\na.ts\n\nb.ts\nc.ts", "c3|ann|2025-01-03"]
 
-
-@P.add("SELECT * FROM (VALUES ('c1', 'ann', 'a.ts'), ('c1', 'ann', 'b.ts'), ('c2', 'bob', 'a.ts'), ('c2', 'bob', 'b.ts'), ('c2', 'bob', 'c.ts')) v(commit, author, file)")
+@P.add("SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS commit, CAST(o_custkey AS VARCHAR) AS author, strftime(o_orderdate, '%Y-%m-%d') AS date, p_brand || '/' || p_type || '.ts' AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
 def commit_log(spark: SparkSession, sf: str) -> DataFrame:
-    return CF.commit_files(spark.createDataFrame([(x,) for x in LOG], "value string")).select("commit", "author", "file")
-
+    """Orders as commits of a name-only log: a head and the files, with an empty line after the first one."""
+    lines, orders, part = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    files = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat("p_brand", F.lit("/"), "p_type", F.lit(".ts")))).alias("files"))
+    head = F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    log = orders.join(files, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(head, F.lit("\n"), F.get("files", F.lit(0)), F.lit("\n\n"), F.array_join(F.slice("files", 2, 1 << 30), "\n")).alias("value"))
+    return CF.commit_files(log).select("commit", "author", "date", "file")
 
-PATHS = ["x/ab/0123456789/metadata.json", "x/ab/0123456789/0/full.jsonl", "x/ab/0123456789/1/prompt.txt", "x/readme.md"]
 
-
-@P.add("SELECT * FROM (VALUES ('ab0123456789', NULL, 'metadata.json'), ('ab0123456789', CAST(0 AS BIGINT), 'full.jsonl'), ('ab0123456789', 1, 'prompt.txt')) v(checkpointId, sessionIndex, file)")
+@P.add("SELECT left(sha256(text), 12) AS checkpointId, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS sessionIndex, CASE WHEN doc_id % 3 = 0 THEN 'metadata.json' ELSE 'full.jsonl' END AS file FROM documents WHERE doc_id % 5 <> 0")
 def checkpoint_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return TS.checkpoints(spark.createDataFrame([(p, "") for p in PATHS], "path string, value string")).drop("value")
-
-
-FILES = [
-    ("a/tool.py", 'MAX_SIZE = 3\n\ndef load(path: str) -> str:\n    """Read a file."""\n    return open_file(path)\n\nclass Store(Base):\n    async def get(self, key):\n        return find(key)\n'),
-    ("a/app.ts", "import { find, walk as go } from './tree';\nimport React from 'react';\n\n// Finds things.\nexport function locate(name) {\n  return find(go(name));\n}\n\nclass Tree {\n  private root() {\n    return locate(this);\n  }\n}\n\nexport interface Node {\n  id: string;\n}\ntype Id = string;\nconst pick = (x) => {\n  return x;\n};\n"),
-    ("a/main.go", "package main\n\nconst Limit = 3\n\ntype Store struct {\n\tn int\n}\n\nfunc (s *Store) Get(k string) int {\n\treturn lookup(k)\n}\n\nfunc run() {\n\tstart()\n}\n"),
-    ("a/lib.rs", "pub struct Store {\n    n: i32,\n}\n\nimpl Store {\n    pub fn get(&self) -> i32 {\n        self.n\n    }\n}\n\npub trait Reader {\n    fn read(&self);\n}\n\nfn helper() {\n    work();\n}\n"),
-    ("a/notes.txt", "function no() {}"),
-]
-FOUND = [
-    ("a/tool.py", "MAX_SIZE", "constant"), ("a/tool.py", "load", "function"), ("a/tool.py", "Store", "class"), ("a/tool.py", "Store.get", "method"), ("a/app.ts", "locate", "function"), ("a/app.ts", "Tree", "class"),
-    ("a/app.ts", "Tree.root", "method"), ("a/app.ts", "Node", "interface"), ("a/app.ts", "Id", "type"), ("a/app.ts", "pick", "function"), ("a/main.go", "Limit", "constant"), ("a/main.go", "Store", "class"),
-    ("a/main.go", "Store.Get", "method"), ("a/main.go", "run", "function"), ("a/lib.rs", "Store", "class"), ("a/lib.rs", "Store.get", "method"), ("a/lib.rs", "Reader", "interface"), ("a/lib.rs", "helper", "function"),
-]
+    """Documents as files of a checkpoint tree; every fifth lies elsewhere."""
+    h = F.sha2("text", 256)
+    folder = F.concat(F.lit("x/"), F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 10), F.lit("/"))
+    file = F.when(F.col("doc_id") % 3 == 0, "metadata.json").otherwise(F.concat((F.col("doc_id") % 7).cast("string"), F.lit("/full.jsonl")))
+    path = F.when(F.col("doc_id") % 5 == 0, "x/readme.md").otherwise(F.concat(folder, file))
+    return TS.checkpoints(table(spark, sf, "documents").select(path.alias("path"), F.lit("").alias("value"))).drop("value")
+
+
+#: extension -> (source with @k for a part's key and @n for its size, [(symbol, type, parameters, calls)])
+TEMPLATES = {
+    "py": (
+        "MAX_@k = @n\n\ndef load_@k(path: str, n: int = @n) -> str:\n    return open_@k(path)\n\nclass Store@k(Base):\n    async def get(self, key, *, a, b, c, d, e):\n        return find_@k(key)\n",
+        [("MAX_@k", "constant", 0, ""), ("load_@k", "function", 2, "open_@k"), ("Store@k", "class", 0, "get,find_@k"), ("Store@k.get", "method", 6, "find_@k")],
+    ),
+    "ts": (
+        "import { walk@k as go@k } from './tree@k';\n\n// Finds things.\nexport function locate@k<T extends Node>(name: string, opts: { a: number, b?: T } = {}) {\n  return find@k(go@k(name));\n}\n\n@Sealed('x, y')\nclass Tree@k {\n  private async root(a, b, c, d = [1, 2], e, f, g, h) {\n"
+        "    return locate@k(this);\n  }\n}\n\nexport interface Node@k {\n  id: string;\n}\ntype Id@k = string;\nexport const LIMIT_@k: number = @n;\nconst pick@k = x => x;\n",
+        [("locate@k", "function", 2, "find@k,go@k"), ("Tree@k", "class", 0, "root,locate@k"), ("Tree@k.root", "method", 8, "locate@k"), ("Node@k", "interface", 0, ""), ("Id@k", "type", 0, ""), ("LIMIT_@k", "constant", 0, ""), ("pick@k", "function", 1, "")],
+    ),
+    "go": (
+        "package main\n\nconst (\n\tLow@k = iota\n\thigh@k\n)\n\ntype (\n\tStore@k struct {\n\t\tn int\n\t}\n\tName@k string\n)\n\nvar count@k = @n\n\nfunc (s *Store@k) Get(k, l string, rest ...int) int {\n\treturn lookup@k(k)\n}\n\nfunc run@k(func(int) error) {\n\tstart@k()\n}\n",
+        [("Low@k", "constant", 0, ""), ("high@k", "constant", 0, ""), ("Store@k", "class", 0, ""), ("Name@k", "type", 0, ""), ("count@k", "variable", 0, ""), ("Store@k.Get", "method", 3, "lookup@k"), ("run@k", "function", 0, "start@k")],
+    ),
+    "rs": (
+        "pub struct Store@k {\n    n: i32,\n}\n\nimpl Store@k {\n    pub fn get(&self, key: &'static str) -> i32 {\n        self.n\n    }\n}\n\npub trait Reader@k {\n    fn read(&self);\n}\n\nasync fn helper@k<'a, T: Into<String>>(x: &'a T, y: Vec<(i32, T)>) {\n    work@k();\n}\n",
+        [("Store@k", "class", 0, ""), ("Store@k.get", "method", 1, ""), ("Reader@k", "interface", 0, "read"), ("helper@k", "function", 2, "work@k")],
+    ),
+    "txt": ("function no@k() {}", []),
+}
+EXTENSION = "CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TEMPLATES)) + " END"
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """A source file for every part, in the language that its key gives."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_size", F.expr(EXTENSION).alias("ext"))
+    text = None
+    for ext, (template, _) in TEMPLATES.items():
+        one = rendered(template, k="p_partkey", n="p_size")
+        text = F.when(F.col("ext") == ext, one) if text is None else text.when(F.col("ext") == ext, one)
+    return rows.select(F.concat(F.lit("a/f"), F.col("p_partkey").cast("string"), F.lit("."), "ext").alias("path"), text.alias("text"))
+
+
+SYMBOL_ROWS = " UNION ALL ".join(f"SELECT '{ext}' AS ext, '{s}' AS symbol, '{t}' AS symbolType, {n} AS parameters, '{c}' AS calls" for ext, (_, found) in TEMPLATES.items() for s, t, n, c in found)
+SYMBOLS_FOUND = f"found AS (SELECT 'a/f' || p_partkey || '.' || f.ext AS path, replace(symbol, '@k', p_partkey::VARCHAR) AS symbol, symbolType, CAST(parameters AS INT) AS parameters, replace(calls, '@k', p_partkey::VARCHAR) AS calls FROM part JOIN ({SYMBOL_ROWS}) f ON f.ext = {EXTENSION})"
+
+
+@P.add(f"WITH {SYMBOLS_FOUND} SELECT path, symbol, symbolType, parameters FROM found")
+def symbol_parsers(spark: SparkSession, sf: str) -> DataFrame:
+    """The symbols of every part's file, with the number of parameters that their metadata names."""
+    return SY.symbols_of(files(spark, sf)).select("path", "symbol", "symbolType", C.parameters(F.col("metadata")).alias("parameters"))
 
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, text string")
+@P.add(f"WITH {SYMBOLS_FOUND} SELECT path, symbol, calls, CASE WHEN symbolType = 'function' AND contains(calls, 'go') THEN 'go' || replace(symbol, 'locate', '') || ':./tree' || replace(symbol, 'locate', '') ELSE '' END AS imports FROM found WHERE symbolType IN ('function', 'method')")
+def calls_and_imports(spark: SparkSession, sf: str) -> DataFrame:
+    return SY.symbols_of(files(spark, sf)).filter("symbolType in ('function', 'method')").select("path", "symbol", "calls", "imports")
 
 
-@P.add("SELECT * FROM (VALUES " + ", ".join(str(x) for x in FOUND) + ") v(path, symbol, symbolType)")
-def symbol_parsers(spark: SparkSession, sf: str) -> DataFrame:
-    return SY.symbols_of(files(spark)).select("path", "symbol", "symbolType")
+@P.add(f"WITH {SYMBOLS_FOUND} SELECT path, symbol, 'high' AS severity FROM found WHERE parameters > 7 UNION ALL SELECT path, symbol, 'medium' FROM found WHERE parameters BETWEEN 6 AND 7")
+def long_parameter_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The anti-pattern over parsed files of all languages."""
+    rows = SY.symbols_of(files(spark, sf)).withColumn("_low", F.lower("body"))
+    c = F.col
+    return rows.select("path", "symbol", F.explode(C.detected(c("symbol"), c("path"), F.lit(""), c("body"), c("metadata"), c("_low"))).alias("p")).filter("p.pattern = 'LongParameterList'").select("path", "symbol", "p.severity")
 
 
-@P.add("SELECT 'locate' AS symbol, 'find' AS calls, 'find:./tree,go:./tree' AS imports UNION ALL SELECT 'load', 'open_file', ''")
-def calls_and_imports(spark: SparkSession, sf: str) -> DataFrame:
-    return SY.symbols_of(files(spark)).filter("symbol in ('locate', 'load')").select("symbol", "calls", "imports")
+SIGNATURES = {
+    "py": ("load_@k", "function load_@k (path: str, n: int) -> str"), "ts": ("locate@k", "function locate@k <T: Node> (name: string, opts: { a: number, b?: T } = {})"),
+    "go": ("Store@k.Get", "method Store@k.Get (k: string, l: string, rest: ...int) -> int"), "rs": ("Store@k.get", "method Store@k.get (key: &'static str) -> i32"),
+}
 
 
-@P.add("SELECT * FROM (VALUES ('load', 'function load (path: str) -> str')) v(symbol, signature)")
+@P.add("SELECT replace(symbol, '@k', p_partkey::VARCHAR) AS symbol, replace(signature, '@k', p_partkey::VARCHAR) AS signature FROM part JOIN (" + " UNION ALL ".join(f"SELECT '{e}' AS ext, '{s}' AS symbol, {quoted(g)} AS signature" for e, (s, g) in SIGNATURES.items()) + f") g ON g.ext = {EXTENSION}")
 def signature_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = SY.symbols_of(files(spark)).filter("symbol = 'load'")
+    key, ext = F.regexp_extract("path", r"f(\d+)\.", 1), F.substring_index("path", ".", -1)
+    rows = SY.symbols_of(files(spark, sf)).filter(reduce(lambda a, b: a | b, ((ext == e) & (F.col("symbol") == F.replace(F.lit(s), F.lit("@k"), key)) for e, (s, _) in SIGNATURES.items())))
     return rows.select("symbol", EM.signature(F.col("symbolType"), F.col("symbol"), F.col("metadata")).alias("signature"))
 
 
@@ -87,17 +136,13 @@ def symbol_embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     return symbols(spark, sf).select("id", EM.symbol_text(c("symbolType"), c("symbol"), c("path"), none, F.lit(""), I.csv("calls"), F.array().cast("array<string>"), c("body")).alias("text"))
 
 
-@P.add()
+@P.add("SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents")
 def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    from engram.sources.tables import table
-
     return EM.embedded(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("length"))
 
 
 @P.add("SELECT doc_id, CAST(length(s) AS BIGINT) AS length, CAST(len([x FOR x IN regexp_split_to_array(s, '[.!?]+') IF trim(x) <> '']) AS BIGINT) AS sentences FROM (SELECT doc_id, left(text, 300) AS s FROM documents)")
 def summary_quality(spark: SparkSession, sf: str) -> DataFrame:
-    from engram.sources.tables import table
-
     q = X.summary_quality(F.left("text", F.lit(300)))
     return table(spark, sf, "documents").select("doc_id", q["length"].cast("long").alias("length"), q["sentences"].cast("long").alias("sentences"))
 
@@ -113,7 +158,5 @@ def health_radar(spark: SparkSession, sf: str) -> DataFrame:
 
 @P.add("SELECT conv_id, length(CASE WHEN length(t) > 400 THEN left(t, 240) || chr(10) || '...[truncated]...' || chr(10) || right(t, 160) ELSE t END) AS chars FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY 1)")
 def truncated_input(spark: SparkSession, sf: str) -> DataFrame:
-    from engram.sources.tables import table
-
     t = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "")
     return table(spark, sf, "conversations").groupBy("conv_id").agg(t.alias("t")).select("conv_id", F.length(X.head_and_tail(F.col("t"), 400)).cast("long").alias("chars"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions import scoring
 from engram.operators import evaluate as E
 from engram.operators import maintenance as M
 from engram.operators import retrieval as R
 from engram.operators import sessions as S
 from engram.operators import trends as TR
-from engram.plans.insights import CALLERS, IMPORTERS
+from engram.plans.insights import CALLERS, IMPORTERS, PAIRS_SQL
 from engram.plans.proxies import SYMBOLS_SQL, symbols
 from engram.plans.registry import Plans
-from engram.plans.retrieval import AS_OF, L2, QUERY, QUERY_TERMS, bm25_sql, chunks, fused_sql, knn_sql, vector_of, vectors
+from engram.plans.retrieval import AS_OF, HYBRID, L2, QUERY, QUERY_TERMS, boost_sql, bm25_sql, chunks, fused_sql, knn_sql, vector_of, vectors
 from engram.sources import sinks
 from engram.sources.tables import table
 
@@ -27,7 +28,18 @@ def search_trace(spark: SparkSession, sf: str) -> DataFrame:
     return R.search_trace(chunks(spark, sf), QUERY, vector_of(spark, sf), 10, vectors(spark, sf))
 
 
-@P.add()
+RELATED_FILES = ["src1/en", "src2/en"]
+RELATED_QUERY = "changes to " + ", ".join(RELATED_FILES)
+RELATED_TERMS = ["changes", "src1", "src2"]
+FILES_OF = "concat_ws('/', source, lang, doc_id::VARCHAR)"
+
+
+@P.add(
+    f"""SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank FROM (
+  SELECT f.id, round(f.score * (1 + {boost_sql(scoring.INTENT_WEIGHTS["default"], query=RELATED_QUERY)} + {scoring.INTENT_WEIGHTS["default"][1]} * 0.5), 9) AS score
+  FROM ({fused_sql([knn_sql(f"1 - {L2} * {L2}", 50), bm25_sql(RELATED_TERMS, 50)], 50)}) f JOIN documents d ON d.doc_id = f.id
+  WHERE contains({FILES_OF}, 'src1/en') OR contains({FILES_OF}, 'src2/en') ORDER BY score DESC, id LIMIT 3)"""
+)
 def related_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return R.related_sessions(chunks(spark, sf), ["src1/en", "src2/en"], vector_of(spark, sf), AS_OF, vectors=vectors(spark, sf))
 
@@ -41,10 +53,11 @@ def incremental_sync(spark: SparkSession, sf: str) -> DataFrame:
     return M.synced(index, docs.withColumn("body", F.lit("new")), docs).select("checkpointId", "body")
 
 
-@P.add(f"{WITH} SELECT 'stale' AS kind, count(*) AS n FROM symbols WHERE ends_with(path, '/3.ts') UNION ALL SELECT 'duplicate', CAST(0 AS BIGINT)")
+@P.add(f"{WITH} SELECT 'stale' AS kind, count(*) + count(*) FILTER (language = 'go') AS n FROM symbols WHERE ends_with(path, '/3.ts') UNION ALL SELECT 'duplicate', count(*) FROM symbols WHERE NOT ends_with(path, '/3.ts') AND language = 'go'")
 def cleanup_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """An index in which every Go symbol stands twice, after the files named 3 have gone."""
     rows = symbols(spark, sf)
-    return M.cleanup_counts(rows, rows.filter(~F.endswith("path", F.lit("/3.ts"))))
+    return M.cleanup_counts(rows.union(rows.filter("language = 'go'")), rows.filter(~F.endswith("path", F.lit("/3.ts"))))
 
 
 @P.add(f"{WITH} SELECT id FROM symbols WHERE NOT ends_with(path, '/3.ts')")
@@ -68,12 +81,32 @@ def insights_hash(spark: SparkSession, sf: str) -> DataFrame:
     return M.insights_hash(facts, ["a", "b", "c"])
 
 
-TURNS = [(1, 0, "tool", "Wrote to src/a.ts"), (1, 1, "assistant", "done\n+ const limit = 3\nend"), (1, 2, "tool", "listing"), (2, 0, "assistant", "- export function gone() {}\n+class Born {}")]
+def edited_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with edits: questions, replies that add and remove declarations, tool output that writes or lists."""
+    said = F.col("text")
+    text = (
+        F.when(F.col("role") == "assistant", F.concat(said, F.lit("\n+ const limit"), F.col("turn").cast("string"), F.lit(" = 3\n  let x = 1\n- export function gone() {}")))
+        .when(F.col("role") == "system", F.concat(F.lit("Wrote to src/a.ts "), F.left(said, F.lit(40))))
+        .otherwise(said)
+    )
+    role = F.when(F.col("role") == "system", "tool").otherwise(F.col("role"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
+DIFFS = """diffs AS (SELECT conv_id, coalesce(left(string_agg(left(piece, 1500), chr(10) ORDER BY turn), 3000), '') AS diffSummary FROM (
+  SELECT conv_id, turn, CASE role WHEN 'assistant' THEN '+ const limit' || turn || ' = 3' || chr(10) || '- export function gone() {}' WHEN 'system' THEN 'Wrote to src/a.ts ' || left(text, 40) END AS piece FROM conversations) GROUP BY conv_id)"""
 
 
-@P.add("SELECT * FROM (VALUES (1, 'Wrote to src/a.ts' || chr(10) || '+ const limit = 3'), (2, '- export function gone() {}' || chr(10) || '+class Born {}')) v(conv_id, diffSummary)")
+@P.add(f"WITH {DIFFS} SELECT * FROM diffs")
 def diff_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return S.diff_summaries(spark.createDataFrame(TURNS, "conv_id int, turn int, role string, text string"))
+    return S.diff_summaries(edited_turns(spark, sf))
+
+
+@P.add(f"WITH {DIFFS}, {PAIRS_SQL} SELECT conv_id || '-0-' || pair AS id, CASE WHEN pair = 0 THEN diffSummary ELSE '' END AS diffSummary FROM pairs JOIN diffs USING (conv_id)")
+def chunk_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk rows with the session's edits, tool output included, on the first one."""
+    turns = edited_turns(spark, sf)
+    return S.chunk_rows(S.conversation_pairs(turns), diffs=S.diff_summaries(turns)).select("id", "diffSummary")
 
 
 @P.add(f"SELECT '# Memory' || chr(10) || chr(10) || '- **agents**: ' || count(DISTINCT source) || chr(10) || '- **chunks**: ' || count(*) AS value FROM documents")
@@ -89,7 +122,17 @@ def results_as_text(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.as_text(R.knn(vectors(spark, sf), vector_of(spark, sf), 5).join(docs, "id"))
 
 
-@P.add()
+GOLDEN = "['license', 'under', 'that']"
+UNRANKED = f"SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM ({fused_sql(LISTS, 50)}) JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 10)"
+MODES = {"vector": f"SELECT id, rank FROM ({knn_sql(f'1 - {L2} * {L2}', 10)})", "hybrid": UNRANKED, "hybrid+rerank": f"SELECT id, rank FROM ({HYBRID})"}
+
+
+@P.add(
+    "WITH hits AS (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, id, rank FROM ({q})" for m, q in MODES.items())
+    + f"), r AS (SELECT mode, rank, [x FOR x IN {GOLDEN} IF contains(lower(text), x)] AS hit FROM hits JOIN documents ON doc_id = id), n AS (SELECT *, len(hit)::DOUBLE AS gain, row_number() OVER (PARTITION BY mode ORDER BY len(hit) DESC, rank) AS best FROM r) "
+    "SELECT mode, CAST(1 AS BIGINT) AS queries, round(len(list_distinct(flatten(list(hit)))) / 3.0::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank) FILTER (gain > 0), 0), 6) AS mrr, "
+    "round(coalesce(sum(gain / log2(rank + 1)) / nullif(sum(gain / log2(best + 1)), 0), 0), 6) AS ndcg FROM n GROUP BY mode"
+)
 def evaluation_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Three modes of search against the same keywords, and their scores."""
     rows, v, q = chunks(spark, sf), vectors(spark, sf), vector_of(spark, sf)
@@ -106,7 +149,7 @@ def evaluation_modes(spark: SparkSession, sf: str) -> DataFrame:
     return E.summary(E.quality(found, golden), ("mode",))
 
 
-@P.add("SELECT * FROM (VALUES ('+5.9%'), ('-15.3%'), ('+0.0%')) v(change)")
+@P.add("SELECT event_id, printf('%+.1f%%', event_id % 1000 / 7.0 - 70) AS change FROM events")
 def signed_percents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(5.88,), (-15.29,), (0.0,)], "x double").select(TR.signed_percent(F.col("x")).alias("change"))
+    return table(spark, sf, "events").select("event_id", TR.signed_percent(F.col("event_id") % 1000 / 7.0 - 70).alias("change"))
 

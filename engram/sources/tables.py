@@ -73,11 +73,16 @@ def capped(rows: DataFrame, columns: list[str], order: list, n: int) -> DataFram
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the session's folder for those; a local one where none is set."""
+    """df with its lineage cut by a reliable checkpoint, in the session's folder for those.
+
+    Where none is set, a local master gets a folder of its own; on a cluster that is an error, as executors need it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile
 
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='engram-')}")
     return df.checkpoint()

@@ -59,4 +59,4 @@ def test_clusters_reach_every_row(spark):
     assert max(max(ids) for ids, _ in want.values()) >= 200
     assert found(catalogue.queries()["dup_clusters"](spark, SF).collect()) == want
     said = {r.id: r.description for r in catalogue.queries()["recommendations"](spark, SF).collect()}
-    assert said["rec-duplication"] == f"Found {len(want)} clusters of similar code ({sum(len(ids) for ids, _ in want.values())} symbols)"
+    assert said["rec-duplication"] == f"{len(want)} groups with {sum(len(ids) for ids, _ in want.values())} members"

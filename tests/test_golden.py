@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -171,13 +172,25 @@ def test_dedup_clusters_and_lsh(spark):
     assert sorted((r.id1, r.id2) for r in found.collect()) == [(1, 2), (3, 4)]
 
 
-def test_lsh_recall(spark):
-    from engram.plans.retrieval import vectors as v
-
-    rows = v(spark, "/root/testdata/sf0.001")
-    exact = {(r.id1, r.id2) for r in similarity.similar_pairs(rows, 0.4).collect()}
-    found = {(r.id1, r.id2) for r in similarity.lsh_pairs(rows, 64, 0.4, planes=3, tables=24).collect()}
-    assert found <= exact and len(found) >= 0.9 * len(exact)
+@pytest.mark.parametrize("cosine, tables", [(0.95, 4), (0.95, 32), (0.92, 48)])
+def test_lsh_recall(spark, cosine, tables):
+    """16 planes: pairs at a cosine are found as often as the angle says, and few others are looked at."""
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=(600, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = rng.normal(size=one.shape)
+    off -= (off * one).sum(axis=1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    two = (cosine + 0.001) * one + np.sqrt(1 - (cosine + 0.001) ** 2) * off
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([one, two]))], "id long, vector array<double>")
+    found = {(r.id1, r.id2) for r in similarity.lsh_pairs(rows, 64, cosine, tables=tables).collect()}
+    exact = {(r.id1, r.id2) for r in similarity.similar_pairs(rows, cosine).collect()}
+    assert exact == {(i, i + 600) for i in range(600)} and found <= exact
+    hit = 1 - (1 - (1 - np.arccos(cosine + 0.001) / np.pi) ** 16) ** tables
+    assert len(found) / 600 == pytest.approx(hit, abs=0.07) and (tables == 4 or hit > 0.95)
+    put = similarity.lsh_buckets(rows, 64, tables=tables).select("id", "table", "bucket")
+    looked = put.alias("a").join(put.alias("b"), ["table", "bucket"]).filter("a.id < b.id").select("a.id", F.col("b.id").alias("o")).distinct().count()
+    assert looked - len(found) < 0.01 * 1200 * 1199 / 2
 
 
 def test_embedder_and_cache(spark):
@@ -219,3 +232,85 @@ def test_support_never_exceeds_confidence(spark, commits):
     rows = [(i, f) for i, c in enumerate(commits) for f in c]
     for r in cochange.pairs(spark.createDataFrame(rows, "commit int, file string"), 0, 0).collect():
         assert r.support <= r.confidence <= 1
+
+
+GO = """package main
+
+const (
+\tA = iota
+\tb, c = 1, 2
+)
+
+var (
+\tCache = map[string]int{
+\t\t"x": 1,
+\t}
+\tmu sync.Mutex
+)
+
+type (
+\tPoint struct {
+\t\tX, Y int
+\t}
+\tReader interface {
+\t\tRead(p []byte) (int, error)
+\t}
+\tID string
+)
+
+func Sum[T int | float64](a, b T, rest ...T) (T, error) {
+\treturn a, nil
+}
+
+func (s *Store) Get(k string, f func(int, string) error) int { return 1 }
+func f(int, string) {}
+"""
+
+
+def test_go_declarations():
+    rows = {r[1]: r for r in SY.parse_symbols("a.go", GO)}
+    kinds = {"A": "constant", "b": "constant", "Cache": "variable", "mu": "variable", "Point": "class", "Reader": "interface", "ID": "type", "Sum": "function", "Store.Get": "method", "f": "function"}
+    assert {k: r[2] for k, r in rows.items()} == kinds
+    assert rows["Cache"][3:5] == (9, 11) and rows["A"][7] and not rows["b"][7]
+    assert json.loads(rows["Sum"][8]) == {
+        "genericParams": [{"name": "T", "constraint": "int | float64"}], "parameters": [{"name": "a", "type": "T"}, {"name": "b", "type": "T"}, {"name": "rest", "type": "...T"}], "returnType": "(T, error)"
+    }
+    assert json.loads(rows["Store.Get"][8])["parameters"][1] == {"name": "f", "type": "func(int, string) error"}
+    assert json.loads(rows["f"][8])["parameters"] == []
+
+
+def test_script_and_rust_heads():
+    script = """@Injectable({a: 1, b: 2})
+export class Store<T extends Base = {}> extends X {
+  private async load<K>(key: string, opts: { a: number, b?: string } = {}, cb?: (x: number) => void): Promise<Map<string, number>> {
+    return find(key);
+  }
+}
+export const useThing = (id: string, { a, b }: Props) => {
+  useEffect(() => { go(id); }, [id, a.b]);
+  return useMemo(() => [1, 2], [id]);
+};
+const one = x => x;
+export async function many(a, b = "x, y", ...rest: string[]): Promise<void> {
+  return;
+}
+"""
+    rows = {r[1]: (r[2], r[3], r[4], json.loads(r[8] or "{}")) for r in SY.parse_symbols("a.ts", script)}
+    assert rows["Store"][1:3] == (2, 6) and rows["Store"][3]["decorators"] == [{"name": "Injectable", "arguments": ["{a: 1, b: 2}"]}]
+    load = rows["Store.load"][3]
+    assert load["visibility"] == "private" and load["isAsync"] and load["genericParams"] == [{"name": "K"}] and load["returnType"] == "Promise<Map<string, number>>"
+    assert [p["name"] for p in load["parameters"]] == ["key", "opts", "cb"] and load["parameters"][2]["isOptional"] and load["parameters"][1]["defaultValue"] == "{}"
+    assert rows["useThing"][1:3] == (7, 10) and rows["useThing"][3]["hookDependencies"] == ["id", "a.b"]
+    assert rows["one"][1:3] == (11, 11) and [p["name"] for p in rows["many"][3]["parameters"]] == ["a", "b", "rest"]
+    rust = "pub(crate) async fn run<'a, T: Clone + Send>(x: &'a str, mut y: Vec<(i32, T)>) -> Result<T, Box<dyn Error>> where T: Y {\n    z()\n}\n"
+    (row,) = SY.parse_symbols("a.rs", rust)
+    assert json.loads(row[8]) == {
+        "visibility": "crate", "isAsync": True, "genericParams": [{"name": "T", "constraint": "Clone + Send"}], "parameters": [{"name": "x", "type": "&'a str"}, {"name": "y", "type": "Vec<(i32, T)>"}],
+        "returnType": "Result<T, Box<dyn Error>>",
+    }
+
+
+def test_calls_come_from_whole_bodies(spark):
+    body = "export function big() {\n" + "  // filler line that says nothing\n" * 200 + "  last_call(1);\n}\n"
+    row = SY.symbols_of(spark.createDataFrame([("a.ts", body)], "path string, text string")).first()
+    assert row.calls == "last_call" and len(row.body) == SY.MAX_BODY
