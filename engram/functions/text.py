@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and lists that results depend on. FILE_PATTERN tries longer extensions first, so that src/a.tsx
 # is one path, where an order of ts before tsx would cut it to src/a.ts.
 TOKEN_SPLIT = r"""[\s/.,;:!?()\[\]{}<>'"=+\-*&#@|\\`~^]+"""
+#: What isn't in TOKEN_SPLIT, with blanks spelt out, which the JVM then looks up in a table.
+TOKEN_CHARACTER = "[^" + TOKEN_SPLIT.removeprefix("[").removesuffix("]+").replace(r"\s", r" \t\n\x0B\f\r") + "]"
 FILE_PATTERN = r"(?:^|\s)([\w/.-]*/[\w/.-]+\.(?:tsx|ts|json|jsx|js|md|css|html|py|go|rs))"
 NOT_FILES = ["node.js", "next.js", "vue.js", "nuxt.js", "react.js", "angular.js", "express.js", "bun.js", "deno.js"]
 SYMBOL_PATTERN = r"(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|const|let)\s+(\w{3,})"
@@ -31,6 +35,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: F.length(t) > 2)
 
 
+def token_count(low: Column) -> Column:
+    """The number of tokens of a lower-case text, without making them."""
+    return F.regexp_count(low, F.lit(f"{TOKEN_CHARACTER}{{3,}}+")).cast("long")
+
+
+def term_count(low: Column, term: str) -> Column:
+    """How often a token occurs in a lower-case text; the pattern is tried only where the text holds the term."""
+    whole = F.regexp_count(low, F.lit(f"{re.escape(term)}(?!{TOKEN_CHARACTER})(?<!{TOKEN_CHARACTER}{re.escape(term)})"))
+    return F.when(F.contains(low, F.lit(term)), whole).otherwise(0).cast("long")
+
+
 def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 
@@ -44,8 +59,6 @@ def head_and_tail(text: Column, n: int, mark: str = "\n...[truncated]...\n") ->
 
 def highlighted(text: Column, query: str) -> Column:
     """The query's words of two characters and more, marked."""
-    import re
-
     words = [re.escape(w) for w in query.split() if len(w) > 1]
     return F.regexp_replace(text, f"(?i)({'|'.join(words)})", "<mark>$1</mark>") if words else text
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import scoring
-from engram.functions.text import tokens
+from engram.functions.text import term_count, token_count, tokens
 from engram.functions.vectors import cosine, distance
 from engram.sources.tables import checkpointed
 
@@ -57,9 +57,8 @@ def bm25(rows: DataFrame, terms: Sequence[str], k: int, id: str = "id", text: st
     the frame is gone. Nothing stays in the cache.
     """
     terms = list(dict.fromkeys(terms))
-    counted = rows.select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"))
-    tf = [_count("t", w) for w in terms]
-    counted = counted.select("id", F.size("t").cast("long").alias("length"), F.array(*tf).alias("tf"))
+    low = rows.select(F.col(id).alias("id"), F.lower(text).alias("t"))
+    counted = low.select("id", token_count(F.col("t")).alias("length"), F.array(*(term_count(F.col("t"), w) for w in terms)).alias("tf"))
     counted = checkpointed(counted)
     stats = counted.agg(
         F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average"), *(F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms)))
@@ -72,11 +71,6 @@ def bm25(rows: DataFrame, terms: Sequence[str], k: int, id: str = "id", text: st
     return ranked(hits.select("id", F.round(score, DIGITS).alias("score")), k)
 
 
-def _count(column: str, word: str) -> Column:
-    """Occurrences of a word in an array, by what is left without it: compiled, unlike a filter."""
-    return (F.size(column) - F.size(F.array_remove(column, word))).cast("long")
-
-
 def bm25_indexed(index: DataFrame, documents: int, average: float, terms: Sequence[str], k: int) -> DataFrame:
     """BM25 over a stored inverted index; only the postings of the query's terms are read."""
     some = index.filter(F.col("term").isin(list(dict.fromkeys(terms))))
