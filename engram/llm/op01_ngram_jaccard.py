@@ -17,7 +17,8 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Two texts li
    parity of the hashes per bit, so the set bits of their XOR bound the symmetric difference from below and the overlap
    from above. Only pairs of different groups that the bound admits are intersected exactly.
 
-No pair that could join two groups is dropped; pairs inside a group need no comparison.
+For a set under `SKETCH` hashes, or one that links with such a set, the bounds are exact and no pair is lost; beyond, a
+pair is lost with the probability of step 2, or by a collision of 64-bit hashes. Pairs inside a group need no comparison.
 """
 
 from __future__ import annotations

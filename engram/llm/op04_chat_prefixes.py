@@ -36,7 +36,8 @@ def chat_examples(turns: DataFrame) -> DataFrame:
 
     Turns are ordered by turn (nulls first), equal turns by role, then text. Null roles and texts are empty. Rows with a
     null conv_id form one conversation. Repeated rows are repeated turns. Other columns are ignored. An empty table
-    gives no example.
+    gives no example. The method itself writes a conversation up to each reply into one text, so a conversation is
+    gathered in a row; it can be as long as a row may be, and different conversations are spread by hash.
     """
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))

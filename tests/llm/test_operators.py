@@ -75,6 +75,33 @@ def test_op1_links_sets_either_side_of_the_sketch(spark):
             assert op1.least_shared(n, 75) <= both - max(0, m - op1.SKETCH)
 
 
+def test_op1_links_by_size_pair(spark):
+    """Sizes 30 to 90, at likenesses about 0.75 to 0.8: nested texts and texts that differ in the middle or at both ends."""
+    rnd, rows = np.random.default_rng(9), []
+    for n in range(30, 91, 3):
+        for like in (0.74, 0.75, 0.76, 0.78, 0.8):
+            for shape in range(3):
+                at = len(rows)
+                w = [f"{at}x{k}" for k in range(n + 4)]
+                if shape == 0:  # a longer copy
+                    other = w + [f"{at}y{k}" for k in range(round(n / like) - n)]
+                elif shape == 1:  # some words replaced, each of which changes five shingles
+                    other = list(w)
+                    for k in rnd.choice(np.arange(4, n, 6), max(1, round(n * (1 - like) / (1 + like) / 5)), replace=False):
+                        other[k] = f"{at}z{k}"
+                else:  # both ends moved on
+                    k = max(1, round(n * (1 - like) / (1 + like)))
+                    other = w[k:] + [f"{at}y{j}" for j in range(k)]
+                rows += [(at, " ".join(w)), (at + 1, " ".join(other))]
+    want = {}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        a, b = brute.shingles(a), brute.shingles(b)
+        linked = 100 * len(a & b) >= 75 * len(a | b)
+        want |= {i: (len(a), i), j: (len(b), i if linked else j)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1.ngram_jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 0.3 < np.mean([want[i + 1][1] == i for i in range(0, len(rows), 2)]) < 0.95
+
+
 def test_op1_judges_rows_of_one_id_by_their_own_texts(spark):
     text = lambda t: " ".join(f"{t}{k}" for k in range(30))
     rows = [(5, text("a")), (5, text("b")), (7, text("a") + " end"), (8, text("b") + " end"), (3, text("c")), (5, text("c") + " end"), (9, text("d"))]
