@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -48,9 +49,18 @@ def char_set(ranges: str) -> str:
     return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split())
 
 
-#: Texts with one of these are split by the words of the library's own Unicode version.
-RARE = regex.compile(f"[{char_set(LATER_LETTERS)}{char_set(LATER_NUMBERS)}]")
-CAPITAL = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
+#: Texts with one of these are lowered and split by the library's own Unicode versions; all of them lie beyond U+0557.
+RARE = re.compile(f"[{char_set(LATER_LETTERS)}{char_set(LATER_NUMBERS)}{''.join(map(chr, LOWER))}]")
+BEYOND = re.compile("[\u0558-\U0010ffff]")
+
+
+def rare(text: str) -> bool:
+    """Whether a text holds a character of RARE; most are found not to by their encoding."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(BEYOND.search(text) and RARE.search(text))
+    return False
 
 
 def byte_letters() -> list[str]:
@@ -164,32 +174,38 @@ class RankBpe:
     def split(self, text: str) -> list[str | int]:
         """The words of a text in order; special tokens as ids."""
         if "<|" not in text:
-            return self.words_of(self.normal(text))
+            return self.words_of(text)
         out: list[str | int] = []
         for i, piece in enumerate(self.cut.split(text)):
-            out += [self.special[piece]] if i % 2 else self.words_of(self.normal(piece))
+            out += [self.special[piece]] if i % 2 else self.words_of(piece)
         return out
 
     def words_of(self, text: str) -> list[str]:
-        return (self.words if text.isascii() or not RARE.search(text) else self.older_words).findall(text)
-
-    @staticmethod
-    def normal(text: str) -> str:
         if text.isascii():
-            return text.lower()
+            return self.words.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
+        odd = rare(text)
         # Letters are lowered one by one, so a final sigma is an ordinary one.
         text = text.replace("Σ", "σ").lower()
-        return text.translate(LOWER) if CAPITAL.search(text) else text
+        return self.older_words.findall(text.translate(LOWER)) if odd else self.words.findall(text)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
         if len(self.known) > KEPT:
             self.known.clear()
-        met: set = set().union(*split)
+        out, later = [], []
+        for i, words in enumerate(split):
+            try:
+                out.append(list(chain.from_iterable(map(self.known.__getitem__, words))))
+            except KeyError:
+                out.append([])
+                later.append(i)
+        met: set = set().union(*(split[i] for i in later))
         self.known.update((t, (t,)) for t in met if isinstance(t, int))
         self.learn({w for w in met if w not in self.known})
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        for i in later:
+            out[i] = list(chain.from_iterable(map(self.known.__getitem__, split[i])))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Token names, special ones included, with spaces between: the vocabulary file names no decoder."""
