@@ -314,3 +314,61 @@ def test_calls_come_from_whole_bodies(spark):
     body = "export function big() {\n" + "  // filler line that says nothing\n" * 200 + "  last_call(1);\n}\n"
     row = SY.symbols_of(spark.createDataFrame([("a.ts", body)], "path string, text string")).first()
     assert row.calls == "last_call" and len(row.body) == SY.MAX_BODY
+
+
+def test_recommendations_by_rule(spark):
+    """Every rule alone: what it needs, its severity on both sides of its bound, and the row that says none applies."""
+    from engram.operators.recommend import recommendations
+
+    schemas = {
+        "gods": "symbol string, total long, median double, n long", "fan_in": "symbol string, importers long, percentage long", "cross": "`from` string, `to` string, n long", "complex_": "symbol string, complexity long",
+        "directories": "directory string, symbols long", "files": "path string, n long", "totals": "symbols long, average double, dead long, documented long", "largest": "symbol string, lines long", "clusters": "clusters long, members long",
+    }
+    quiet = {"totals": [(100, 2.0, 0, 90)], "clusters": [(0, 0)]}
+
+    def found(**rows):
+        frames = {k: spark.createDataFrame((quiet | rows).get(k, []), s) for k, s in schemas.items()}
+        return {r.id: r.severity for r in recommendations(**frames).select("id", "severity").collect()}
+
+    assert found() == {"rec-healthy": "info"}
+    cases = [
+        ("rec-god-object", {"gods": [("a", 40, 2.0, 4)]}, "critical", {"gods": [("a", 40, 2.0, 3)]}, "warning"),
+        ("rec-fan-in", {"fan_in": [("a", 9, 51)]}, "critical", {"fan_in": [("a", 9, 50)]}, "warning"),
+        ("rec-coupling", {"cross": [("a", "b", 21)]}, "warning", {"cross": [("a", "b", 11), ("c", "d", 10)]}, "info"),
+        ("rec-complexity", {"complex_": [("a", 26)]}, "critical", {"complex_": [("a", 16), ("b", 3)]}, "warning"),
+        ("rec-imbalance", {"directories": [("a", 51)]}, "warning", {"directories": [("a", 41)]}, "info"),
+        ("rec-god-file", {"files": [("a", 11)]}, "warning", {"files": [("a", 11)], "totals": [(100, 3.0, 0, 90)]}, "info"),
+        ("rec-dead-code", {"totals": [(100, 2.0, 31, 90)]}, "warning", {"totals": [(100, 2.0, 11, 90)]}, "info"),
+        ("rec-duplication", {"clusters": [(2, 11)]}, "warning", {"clusters": [(2, 10)]}, "info"),
+        ("rec-docs", {"totals": [(100, 2.0, 0, 9)]}, "warning", {"totals": [(100, 2.0, 0, 29)]}, "info"),
+        ("rec-oversized", {"largest": [("a", 301)]}, "warning", {"largest": [("a", 151)]}, "info"),
+    ]
+    for name, strong, high, weak, low in cases:
+        assert found(**strong) == {name: high} and found(**weak) == {name: low}
+    below = {"cross": [("a", "b", 10)], "complex_": [("a", 15)], "directories": [("a", 40)], "files": [("a", 6)], "totals": [(100, 2.0, 10, 30)], "largest": [("a", 150)]}
+    assert found(**below) == {"rec-healthy": "info"}
+
+
+def test_session_files_feed_the_index(spark, tmp_path):
+    """New transcript files come as a stream; a session that changes is replaced, one that doesn't keeps its rows."""
+    from engram.operators import maintenance
+
+    state = {"index": spark.createDataFrame([], "checkpointId string, contentHash string, body string")}
+
+    def chunk(batch):
+        hashes = sessions.session_hashes(batch, "checkpointId", "turn")
+        return batch.join(hashes, "checkpointId").select("checkpointId", "contentHash", F.col("text").alias("body")), hashes
+
+    def write(rows):
+        state["index"] = spark.createDataFrame(rows.collect(), "checkpointId string, contentHash string, body string")
+
+    def step(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("checkpointId", "turn", "text"), r, strict=True))) for r in rows))
+        source = EV.session_files(spark, str(tmp_path / "in"), "checkpointId string, turn long, text string").drop("path")
+        EV.watch(source, maintenance.sync_batch(lambda: state["index"], write, chunk), str(tmp_path / "at")).awaitTermination()
+        return sorted((r.checkpointId, r.body) for r in state["index"].collect())
+
+    assert step("1.json", [("a", 0, "x"), ("b", 0, "y")]) == [("a", "x"), ("b", "y")]
+    assert step("2.json", [("a", 0, "x2"), ("a", 1, "more"), ("c", 0, "z")]) == [("a", "more"), ("a", "x2"), ("b", "y"), ("c", "z")]
+    assert step("3.json", [("b", 0, "y")]) == [("a", "more"), ("a", "x2"), ("b", "y"), ("c", "z")]
