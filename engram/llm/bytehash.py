@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ U = np.uint64
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Bytes of text that are handled at a time; a longer text is handled alone.
 CHUNK = 1 << 20
+#: Ranges of more bytes are hashed one by one, by BLAKE2.
+LONG = 256
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -101,19 +104,27 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=self.n)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
-    def sums(self) -> np.ndarray:
-        if not hasattr(self, "_sums"):
-            with np.errstate(over="ignore"):
-                s = np.zeros(len(self.data) + 1, U)
-                np.cumsum((self.data.astype(U) + U(1)) * powers(BASE, len(self.data)), out=s[1:])
-            self._sums = s
-        return self._sums
-
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges, the same wherever the bytes stand."""
+        """64-bit hashes of byte ranges, the same wherever the bytes stand.
+
+        Blocks of eight bytes are mixed in one after another, so no regular pattern of bytes makes two ranges alike.
+        """
+        if not hasattr(self, "_blocks"):
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._blocks = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        size = end - start
         with np.errstate(over="ignore"):
-            s = self.sums()
-            return mix((s[end] - s[start]) * powers(BASE_INVERSE, len(self.data) + 1)[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+            h = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + U(BASE))
+            some, at, left = slice(None), start, size
+            for _ in range(0, min(LONG, int(size.max(initial=0))), 8):
+                mask = np.where(left >= 8, ~U(0), (U(1) << (np.clip(left, 0, 7) * 8).astype(U)) - U(1))
+                h[some] = mix(h[some] ^ (self._blocks[at] & mask))
+                more = left > 8
+                some = np.flatnonzero(more) if isinstance(some, slice) else some[more]
+                at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, doc) of every run of k words; a text with fewer words, but not none, gives its whole sequence."""

@@ -133,7 +133,12 @@ def mix(x):
 
 
 def word_hash(b):
-    return mix((sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(b)) + len(b) * 0xD6E8FEB86659FD93) & FULL)
+    if len(b) > 256:
+        return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")
+    h = mix((len(b) * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) & FULL)
+    for i in range(0, len(b), 8):
+        h = mix(h ^ int.from_bytes(b[i : i + 8], "little"))
+    return h
 
 
 def xx(v):
