@@ -17,6 +17,8 @@ from engram.llm.op07_quality import fit, quality_scores
 from engram.llm.op08_pii_bootstrap import personal_data_digest
 from engram.llm.op09_suffix_dedup import suffix_dedup
 from engram.llm.op10_vector_shards import vector_shards
+from engram.llm.op11_collocations import collocations
+from engram.llm.op12_importance_resampling import resampled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,14 @@ def op10_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard,
@@ -80,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii_bootstrap,
         op9_suffix_dedup,
         op10_vector_shards,
+        op11_collocations,
+        op12_importance_resampling,
     )
     return {f.__name__: f for f in every}
 
@@ -126,5 +138,65 @@ FROM run GROUP BY conv_id
 """
 
 
+OP11 = r"""
+WITH w AS (
+  SELECT lang, [x FOR x IN regexp_split_to_array(p, '[\x20\x09]+') IF x <> ''] AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents WHERE text IS NOT NULL)
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, k AS size, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS n
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k) GROUP BY ALL
+), c AS (
+  SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE n >= 10 AND size > 1
+), around AS (
+  SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM c WHERE size = 3) GROUP BY ALL
+), cut AS (
+  SELECT lang, size, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : size], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+), scored AS (
+  SELECT cut.lang, cut.size, cut.phrase, cut.a, cut.k, h.n AS l, t.n AS r, CAST(CAST(1000000 AS HUGEINT) * cut.a * cut.a // (CAST(h.n AS HUGEINT) * t.n) AS BIGINT) AS score
+  FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = cut.head JOIN f t ON t.lang = cut.lang AND t.phrase = cut.tail
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lowest.lang, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, lowest.phrase) AS rank, lowest.phrase, a, l, r, total.n, score
+FROM lowest JOIN total USING (lang) LEFT JOIN around ON around.lang = lowest.lang AND around.phrase = lowest.phrase
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
+
+OP12 = r"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), doc AS (
+  SELECT doc_id, row_number() OVER () AS place, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents
+), item AS (
+  SELECT unnest([x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']) AS word FROM benchmark
+), own AS (
+  SELECT place, unnest(w) AS word FROM doc
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || hex(word)[2 * k + 1 : 2 * k + 2] AS BIGINT) FOR k IN range(length(hex(word)) // 2)]), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM own UNION SELECT word FROM item), crc
+), s AS (
+  SELECT bucket, count(*) AS s FROM own JOIN hashed USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM item JOIN hashed USING (word) GROUP BY bucket
+), total AS (
+  SELECT CAST((SELECT count(*) FROM own) AS DOUBLE) + 10000 AS corpus, CAST((SELECT count(*) FROM item) AS DOUBLE) + 10000 AS target
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * corpus) / (CAST(s + 1 AS DOUBLE) * target))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), total
+), weighed AS (
+  SELECT place, CAST(sum(gain) AS BIGINT) AS weight FROM own JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY place
+), scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weighed USING (place)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS nth, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS draw FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= draw THEN nth END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_winnowing": OP2, "op4_chat_prefixes": OP4}
+    return {"op2_winnowing": OP2, "op4_chat_prefixes": OP4, "op11_collocations": OP11, "op12_importance_resampling": OP12}

@@ -357,3 +357,55 @@ def shards(rows, n, cells=8192, heavy=64, split=0.9):
         residual[s] = [r - x for r, x in zip(residual[s], v, strict=True)]
         where[k] = s
     return sorted(((r[0], r[1], r[3], where[k]) for k, some in items.items() for r in some), key=str)
+
+
+def run_counts(rows, longest=3):
+    """(lang, run) -> occurrences, and lang -> words, from (text, lang)."""
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] += 1
+    return f, n
+
+
+def collocations(rows, longest=3, least=10, share=50, top=2000):
+    """Rows (lang, rank, phrase, a, l, r, n, score)."""
+    f, n = run_counts(rows, longest)
+    cands = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    around = defaultdict(int)
+    for (lang, w), a in cands.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                around[lang, w[i : i + k]] = max(around[lang, w[i : i + k]], a)
+    out = defaultdict(list)
+    for (lang, w), a in cands.items():
+        if 100 * around[lang, w] >= share * a:
+            continue
+        score, k = min((1_000_000 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+        out[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return [(lang, i, p.decode(), -a, left, right, n[lang], -s) for lang, some in out.items() for i, (s, a, p, left, right) in enumerate(sorted(some)[:top], 1)]
+
+
+def resampled(rows, target, longest=1, buckets=10_000, percent=10, least_words=20):
+    """Rows (doc_id, n_features, weight, score, rank) of (doc_id, text)."""
+
+    def features(text):
+        w = bench_words(text)
+        return len(w), [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in range(1, longest + 1) for i in range(len(w) - k + 1)]
+
+    s, t = Counter(b for _, x in rows for b in features(x)[1]), Counter(b for x in target for b in features(x)[1])
+    gain = lambda b: math.floor(1000 * math.log((float(t[b] + 1) * float(s.total() + buckets)) / (float(s[b] + 1) * float(t.total() + buckets))))
+    made = []
+    for i, x in rows:
+        n, b = features(x)
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, b))
+        made.append([n < least_words, -(weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))), i is None, i or 0, len(b), weight])
+    made.sort()
+    draw = percent * sum(not m[0] for m in made) // 100
+    return [(None if m[2] else m[3], m[4], m[5], -m[1], k if k <= draw and not m[0] else None) for k, m in enumerate(made, 1)]
