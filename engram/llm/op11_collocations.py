@@ -187,21 +187,17 @@ def scanner(sent, bits: int, longest: int, shard: int = SHARD):
         bitmap = np.frombuffer(sent.value, np.uint8)
         waiting: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
-        total: dict[str, dict[str, int]] = {}
+        held: list[pa.Table] = []
 
         def scan(lang: str) -> None:
             phrases, n, words = counted(waiting.pop(lang), lang, bitmap, bits, longest)
             size.pop(lang)
-            own = total.setdefault(lang, {})
-            own[""] = own.get("", 0) + words
-            for phrase, c in zip(phrases, n.tolist(), strict=True):
-                own[phrase] = own.get(phrase, 0) + c
+            held.append(pa.table([pa.array([lang] * (len(phrases) + 1), pa.string()), pa.array(["", *phrases], pa.string()), np.append(words, n).astype(np.int64)], names=["lang", "phrase", "n"]))
 
-        def merged() -> Iterator[pa.RecordBatch]:
-            for lang, own in total.items():
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "phrase", "n"])
-            total.clear()
+        def merged() -> pa.Table:
+            table = pa.concat_tables(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+            held.clear()
+            return table.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
         for whole in batches:
             for batch in pieces(whole):
@@ -213,11 +209,16 @@ def scanner(sent, bits: int, longest: int, shard: int = SHARD):
                             scan(lang)
                 while sum(size.values()) > 2 * shard:  # many languages: the largest goes first
                     scan(max(size, key=size.get))
-                if sum(map(len, total.values())) > HELD // 4:
-                    yield from merged()
+                if sum(t.num_rows for t in held) > HELD and len(held) > 1:
+                    table = merged()
+                    if table.num_rows > HELD // 2:
+                        yield from table.to_batches()
+                    else:
+                        held.append(table)
         for lang in list(waiting):
             scan(lang)
-        yield from merged()
+        if held:
+            yield from merged().to_batches()
 
     return run
 
