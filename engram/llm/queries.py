@@ -19,6 +19,8 @@ from engram.llm.op09_suffix_dedup import suffix_dedup
 from engram.llm.op10_vector_shards import vector_shards
 from engram.llm.op11_collocations import collocations
 from engram.llm.op12_importance_resampling import resampled
+from engram.llm.op13_toxicity import fit as fit_toxicity
+from engram.llm.op13_toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard,
@@ -92,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_vector_shards,
         op11_collocations,
         op12_importance_resampling,
+        op13_toxicity,
     )
     return {f.__name__: f for f in every}
 

@@ -409,3 +409,41 @@ def resampled(rows, target, longest=1, buckets=10_000, percent=10, least_words=2
     made.sort()
     draw = percent * sum(not m[0] for m in made) // 100
     return [(None if m[2] else m[3], m[4], m[5], -m[1], k if k <= draw and not m[0] else None) for k, m in enumerate(made, 1)]
+
+
+def toxicity(text, net, size=16, stride=12, grams=(4, 6), bits=16):
+    """The probability by a network's weights, a window, a word and a unit at a time."""
+    w = bench_words(text)
+    rows = {int(h): k for k, h in enumerate(net.vocabulary)}
+
+    def given(word):
+        b = f"\x02{word}\x03"
+        own = net.own[rows[word_hash(word.encode())]].tolist() if word_hash(word.encode()) in rows else [0.0] * net.own.shape[1]
+        parts = [b[i : i + n] for n in grams for i in range(max(len(b) - n + 1, 1))]
+        found = [net.spelt[word_hash(p.encode()) >> (64 - bits)].tolist() for p in parts]
+        return own + [sum(c) / math.sqrt(len(parts)) for c in zip(*found, strict=True)]
+
+    def read(xs, weights, u, bias):
+        n = u.shape[0]
+        h, out = [0.0] * n, []
+        for x in xs:
+            a = [sum(p * q for p, q in zip(x, weights[:, k].tolist(), strict=True)) + float(bias[k]) for k in range(3 * n)]
+            b = [sum(p * q for p, q in zip(h, u[:, k].tolist(), strict=True)) for k in range(3 * n)]
+            z = [1 / (1 + math.exp(-a[k] - b[k])) for k in range(n)]
+            r = [1 / (1 + math.exp(-a[k] - b[k])) for k in range(n, 2 * n)]
+            c = [math.tanh(a[2 * n + k] + r[k] * b[2 * n + k]) for k in range(n)]
+            h = [(1 - z[k]) * c[k] + z[k] * h[k] for k in range(n)]
+            out.append(h)
+        return out
+
+    logits, at = [], 0
+    while w:
+        xs = [given(x) for x in w[at : at + size]]
+        both = [f + b for f, b in zip(read(xs, net.wf, net.uf, net.bf), read(xs[::-1], net.wb, net.ub, net.bb)[::-1], strict=True)]
+        e = [math.exp(sum(math.tanh(sum(s * float(net.look[i, k]) for i, s in enumerate(h)) + float(net.lean[k])) * float(net.query[k]) for k in range(len(net.query)))) for h in both]
+        pooled = [sum(a * h[i] for a, h in zip(e, both, strict=True)) / sum(e) for i in range(len(net.out))]
+        logits.append(sum(p * float(q) for p, q in zip(pooled, net.out, strict=True)) + float(net.bias[0]))
+        if at + size >= len(w):
+            break
+        at += stride
+    return 1 / (1 + math.exp(-max(logits, default=float(net.bias[0]))))
