@@ -4,9 +4,10 @@ A known word scores by its log frequency in each language. An unknown word score
 character n-grams of the longest length (`ORDERS`) of which it has any. The language with the highest sum over the text
 wins; the score is its share in the softmax of the sums.
 
-The counts come from a sample of labelled rows of bounded size: `FIT_ROWS` for each language on average, chosen by a hash
-of doc_id; all rows of a language that has fewer. The model is broadcast, so it is bounded by a parameter of `fit` too:
-`entries` words, and as many n-grams of each length, the most frequent of the sample, which it must have seen twice.
+The counts come from a sample of labelled rows of bounded size: `FIT_ROWS` rows and `FIT_BYTES` bytes of text for each
+language on average, chosen by a hash of doc_id; all rows of a language that has fewer. Every word and n-gram of the
+sample is in the model, which is broadcast, so its size follows from those bounds: an entry for each language in which
+it was seen, nothing for the others.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from engram.llm.bytehash import NON_LETTERS, Words, pieces
 from engram.llm.shared import park
 
-FIT_ROWS, ENTRIES, ORDERS, SMOOTH = 4000, 200_000, (4, 3, 2, 1), 0.1
+FIT_ROWS, FIT_BYTES, ORDERS, SMOOTH = 4000, 8 << 20, (4, 3, 2, 1), 0.1
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -61,24 +62,36 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Backoff:
-    """Tables of log frequencies: for words and for each n-gram length, sorted hashes and a column for each language."""
+    """For words and for each n-gram length: sorted hashes, and of each the languages in which it was seen.
 
-    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+    A table is (keys, first, lang, more, never): the entries of key k are first[k] to first[k + 1], each a language and
+    what its log frequency has more than `never`, that of a key not seen in the language.
+    """
+
+    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, ...]]):
         self.langs, self.tables = langs, tables
 
     def look(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(known, row) of hashes."""
-        keys, _ = self.tables[kind]
+        keys = self.tables[kind][0]
         if not len(keys):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return keys[at] == h, at
 
+    def sums(self, kind: int, at: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        """For each text and language, the weighted sum of the log frequencies of the keys `at`."""
+        _, first, lang, more, never = self.tables[kind]
+        count = first[at + 1] - first[at]
+        key = np.repeat(np.arange(len(at)), count)
+        entry = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count) + first[at][key]
+        seen = np.bincount(doc[key] * len(never) + lang[entry], weight[key] * more[entry], minlength=docs * len(never))
+        return seen.reshape(docs, len(never)) + np.bincount(doc, weight, minlength=docs)[:, None] * never
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words = words_of(texts)
-        scores = np.zeros((len(words.hash), len(self.langs)), np.float32)
         known, at = self.look(0, words.hash)
-        scores[known] = self.tables[0][1][at[known]]
+        total = self.sums(0, at[known], np.ones(int(known.sum())), words.doc[known], len(texts))
         open_ = np.flatnonzero(~known)
         for n in ORDERS:
             if not len(open_):
@@ -87,15 +100,8 @@ class Backoff:
             met, at = self.look(n, h)
             word, at = word[met], at[met]
             many = np.bincount(word, minlength=len(open_))
-            some = np.flatnonzero(many)
-            if len(some):
-                begin = np.concatenate([[0], np.cumsum(many)])[some]
-                scores[open_[some]] = np.add.reduceat(self.tables[n][1][at], begin, axis=0) / many[some][:, None]
+            total += self.sums(n, at, 1 / many[word], words.doc[open_[word]], len(texts))
             open_ = open_[many == 0]
-        total = np.zeros((len(texts), len(self.langs)))
-        here = np.flatnonzero(words.counts)
-        if len(here):
-            total[here] = np.add.reduceat(scores.astype(np.float64), words.first[here], axis=0)
         best = total.argmax(axis=1)
         share = np.exp(total - total.max(axis=1, keepdims=True))
         score = share[np.arange(len(texts)), best] / share.sum(axis=1)
@@ -103,28 +109,31 @@ class Backoff:
         return ["und" if b else self.langs[k] for b, k in zip(blank, best, strict=True)], np.where(blank, 0.0, score)
 
 
-def fit(docs: DataFrame, rows_per_language: int = FIT_ROWS, entries: int = ENTRIES) -> Backoff:
+def fit(docs: DataFrame, rows_per_language: int = FIT_ROWS, bytes_per_language: int = FIT_BYTES) -> Backoff:
     """The model from labelled rows (doc_id, text, lang); without any, every text is `und`.
 
-    rows_per_language bounds the labelled sample, entries each table of the model. Repeated rows count as often as they
-    stand there; a row without a doc_id has a place in the hash order like any other.
+    The two parameters bound the labelled sample, and with it the model. Repeated rows count as often as they stand
+    there; a row without a doc_id has a place in the hash order like any other.
     """
     rows = docs.filter("lang is not null and text is not null")
-    per = rows.groupBy("lang").count()
-    sample = rows.join(F.broadcast(per.withColumn("rate", F.least(F.lit(1.0), rows_per_language / F.col("count")))), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    per = park(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("text")).alias("bytes")))
+    rate = F.least(F.lit(1.0), rows_per_language / F.col("count"), bytes_per_language / F.greatest("bytes", F.lit(1)))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
+    sample = rows.join(per.select("lang", rate.alias("rate")), "lang").filter(chosen)
     counts = sample.select("lang", "text").mapInArrow(counted, "lang string, kind int, gram long, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    counts = park(counts)
-    langs = sorted(r[0] for r in per.select("lang").collect())
-    totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
+    found = park(counts).toArrow()  # as many rows as the bounded sample has words and n-grams at most
+    langs = sorted(set(found.column("lang").unique().to_pylist()) | {r[0] for r in per.select("lang").collect()})
+    of = np.searchsorted(np.array(langs, object), np.array(found.column("lang").to_pylist(), object)) if langs else np.zeros(0, np.int64)
+    kinds, grams, n = (found.column(c).to_numpy() for c in ("kind", "gram", "n"))
     tables = {}
     for kind in (0, *ORDERS):
-        top = counts.filter(f"kind = {kind}").groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).filter("all > 1")
-        most = top.orderBy(F.desc("all"), "gram").limit(entries).select("gram", *(F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0)).alias(f"l{i}") for i, name in enumerate(langs))).toArrow()
-        gram = most.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(gram, kind="stable")
-        n = np.stack([most.column(f"l{i}").to_numpy().astype(float) for i in range(len(langs))], axis=1)[order] if langs else np.zeros((len(gram), 0))
-        total = np.array([totals.get((name, kind), 0) for name in langs]) + SMOOTH * max(len(gram), 1)
-        tables[kind] = (gram[order], np.log((n + SMOOTH) / total).astype(np.float32))
+        some = np.flatnonzero(kinds == kind)
+        some = some[np.lexsort((of[some], grams[some].astype(np.int64).view(np.uint64)))]
+        keys, first = np.unique(grams[some].astype(np.int64).view(np.uint64), return_index=True)
+        total = np.log(np.bincount(of[some], n[some], minlength=len(langs)) + SMOOTH * max(len(keys), 1))
+        never = np.log(SMOOTH) - total
+        more = (np.log(n[some] + SMOOTH) - np.log(SMOOTH)).astype(np.float32)
+        tables[kind] = (keys, np.append(first, len(some)), of[some].astype(np.int32), more, never)
     return Backoff(langs, tables)
 
 
@@ -152,6 +161,7 @@ def identify(docs: DataFrame, model: Backoff | None = None, folds: int = 5) -> D
     if model is None:
         model = fit(docs.filter("not held_out"))
     if not model.langs:
-        model = Backoff(["und"], {k: (np.zeros(0, np.uint64), np.zeros((0, 1), np.float32)) for k in (0, *ORDERS)})
+        none = np.zeros(0, np.int64)
+        model = Backoff(["und"], {k: (none.astype(np.uint64), np.zeros(1, np.int64), none, none.astype(float), np.zeros(1)) for k in (0, *ORDERS)})
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     return docs.select("doc_id", "held_out", "text").mapInArrow(predictor(sent), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -1,15 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer numpy network.
 
-Every token (a word, or a run of marks) has a sparse ternary index vector drawn from its hash. The vector of a frequent
-token is the sum of the index vectors around it in all documents, normalised; other tokens keep their index vector. A
+Every token (a word, or a run of marks) has a sparse ternary index vector drawn from its hash. The vector of a token that
+is at least `share` of all tokens is the sum of the index vectors around it in all documents, normalised; other tokens keep their index vector. A
 document is described by the mean and the spread of its token vectors, by how alike neighbouring and next-but-one
 vectors are, and by its length. Two layers give a logit, and a temperature fitted on a part of the sample that the
 network hasn't seen makes its probabilities calibrated.
 
 Token counts and contexts are summed over all texts, merged in each task before they are sent. Two parameters of `fit`
-bound the model: `entries`, the tokens with a vector of their own, as they are broadcast, and `rows`, the labelled rows
-that the network is fitted on, chosen by a hash of doc_id. Those rows are sent as features, so their texts' length
-doesn't matter.
+bound the model at any size of the corpus: `share`, as no more than 1 / share tokens can have it, whose vectors are
+broadcast, and `rows`, the labelled rows that the network is fitted on, chosen by a hash of doc_id. Those rows are sent
+as features, so their texts' length doesn't matter.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.bytehash import MARKS, Words, mix, pieces
+from engram.llm.shared import park
 
-FIT_ROWS, SIZE, NONZERO, WINDOW, ENTRIES = 6000, 32, 4, 2, 20_000
-#: Without so many labelled rows, of both kinds, there is no model.
-LEAST_ROWS = 10
+FIT_ROWS, SIZE, NONZERO, WINDOW, SHARE = 6000, 32, 4, 2, 2e-5
 FEATURES = 2 * SIZE + 6
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
 THRESHOLD = 0.7
@@ -144,6 +143,8 @@ class Quality:
         aside = rng.random(len(y)) < 0.2
         if aside.all() or not aside.any():
             aside = np.arange(len(y)) % 5 == 4
+        if len(np.unique(y[~aside])) < 2:
+            aside[:] = False  # too few rows to keep any back
         self.centre, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         self.w1, self.b1 = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
         self.w2, self.b2 = rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)
@@ -168,12 +169,13 @@ class Quality:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -30, 30)))
 
 
-def word_vectors(docs: DataFrame, entries: int) -> Quality:
-    """A model without a network: the vectors of the most frequent tokens of all texts."""
+def word_vectors(docs: DataFrame, share: float) -> Quality:
+    """A model without a network: the vectors of the tokens that are `share` of all tokens of all texts, or more."""
     model, context = Quality(), docs.sparkSession.sparkContext
     texts = docs.select("text")
-    counts = texts.mapInArrow(token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(entries).select("token").toArrow()
+    counts = park(texts.mapInArrow(token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    least = share * (counts.agg(F.sum("n")).first()[0] or 0)
+    top = counts.filter(F.col("n") >= least).select("token").toArrow()  # 1 / share tokens at most
     keep = np.sort(top.column("token").to_numpy().astype(np.int64).view(U))
     total = np.zeros((len(keep), SIZE))
     if len(keep):
@@ -186,17 +188,17 @@ def word_vectors(docs: DataFrame, entries: int) -> Quality:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, rows: int = FIT_ROWS, entries: int = ENTRIES) -> Quality | None:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, rows: int = FIT_ROWS, share: float = SHARE) -> Quality | None:
     """The model: word vectors from all texts, a network from labelled rows outside the held-out fold.
 
-    None where there are fewer than LEAST_ROWS labelled rows or none of one kind. Repeated labels count as their largest;
+    None where the labelled rows are all of one kind; one row of either is enough. Repeated labels count as their largest;
     of rows that share a doc_id, the one whose text has the smallest hash counts.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(F.col("quality").isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # `rows` ids at most, so this side is small by construction.
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
-    model = word_vectors(docs, entries)
+    model = word_vectors(docs, share)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), "doc_id")
     featured = sample.mapInArrow(featurer(sent), "doc_id long, h long, quality long, x array<float>")
@@ -229,7 +231,7 @@ def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sample = pa.Table.from_batches(held).sort_by("doc_id")
     y = (sample.column("quality").to_numpy() > 0).astype(float)
-    if len(y) < LEAST_ROWS or len(np.unique(y)) < 2:
+    if len(np.unique(y)) < 2:
         return
     model = Quality()
     model.learn(sample.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(y), FEATURES), y)

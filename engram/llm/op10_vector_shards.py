@@ -2,8 +2,8 @@
 
 What is placed is a group of equal texts, or a cell of light groups: packing every group one after another is one task's
 work, so groups that weigh less than 1 / `HEAVY` of a shard are folded by hash into `CELLS` cells, at every size of the
-input. A heavy group stands alone. It stays whole up to `split` of a shard (a parameter of `vector_shards`); beyond that
-the law that sizes are near equal can't hold with it whole, and it is dealt out in parts of 1 / `HEAVY` of a shard.
+input. A heavy group stands alone, dealt out by doc_id in the fewest parts of at most `split` of a shard (a parameter of
+`vector_shards`), as the law that sizes are near equal can't hold with any larger thing whole.
 Cells, heavy groups and parts number a few ten thousand at most, whatever the input: only they reach the driver, where
 each is placed, heaviest first, in the shard with the highest dot product of its vector and the shard's residual
 capacity.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.shared import park
 
-CELLS, HEAVY, SPLIT = 8192, 64, 0.9
+CELLS, HEAVY, SPLIT = 8192, 64, 0.25
 TOKEN = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -45,7 +45,7 @@ def vector_shards(docs: DataFrame, shards: int = 40, split: float = SPLIT) -> Da
 
     size is the text's UTF-8 bytes plus 16; a null text has none and counts as a group of its own, with crc 0. The law is
     `bytes`. slot numbers a shard's rows from 0 without gaps. Rows of one text lie in one shard, unless they weigh more
-    than `split` of a shard (in bytes, tokens or rows). Repeated rows are separate rows of one group; a null doc_id is an
+    than `split` of a shard (in bytes, tokens or rows); then they are dealt out, those without a doc_id one by one. Repeated rows are separate rows of one group; a null doc_id is an
     ordinary value. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -68,7 +68,7 @@ def vector_shards(docs: DataFrame, shards: int = 40, split: float = SPLIT) -> Da
         .agg(*load)
         .withColumn("weight", weight)
         .filter(F.col("weight") >= 1 / HEAVY)
-        .select("group", F.when(F.col("weight") > split, F.ceil(F.col("weight") * HEAVY)).otherwise(1).cast("long").alias("parts"))
+        .select("group", F.ceil(F.col("weight") / split).cast("long").alias("parts"))
     )
     placed = park(
         rows.join(F.broadcast(heavy), "group", "left").select(
@@ -77,7 +77,7 @@ def vector_shards(docs: DataFrame, shards: int = 40, split: float = SPLIT) -> Da
             "tokens",
             "text_crc32",
             F.when(F.col("parts").isNull(), F.pmod("group", F.lit(CELLS))).otherwise(F.col("group")).alias("cell"),
-            F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("long").alias("part"),
+            F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id")), F.col("parts"))).cast("long").alias("part"),
         )
     )
     items = placed.groupBy("cell", "part").agg(*load).toPandas().sort_values(["cell", "part"])

@@ -198,7 +198,7 @@ def fingerprint_likeness(a, b, words):
     return 0.0
 
 
-def language_model(rows, entries=200_000, orders=(4, 3, 2, 1), smooth=0.1):
+def language_model(rows, orders=(4, 3, 2, 1), smooth=0.1):
     """langs and kind -> gram -> log frequencies, from (text, lang)."""
     counts = {k: defaultdict(Counter) for k in (0, *orders)}
     for text, lang in rows:
@@ -211,9 +211,7 @@ def language_model(rows, entries=200_000, orders=(4, 3, 2, 1), smooth=0.1):
     tables = {}
     for kind, grams in counts.items():
         total = {x: sum(c[x] for c in grams.values()) for x in langs}
-        kept = {g: c for g, c in grams.items() if sum(c.values()) > 1}
-        assert len(kept) <= entries
-        tables[kind] = {g: [math.log((c[x] + smooth) / (total[x] + smooth * max(len(kept), 1))) for x in langs] for g, c in kept.items()}
+        tables[kind] = {g: [math.log((c[x] + smooth) / (total[x] + smooth * max(len(grams), 1))) for x in langs] for g, c in grams.items()}
     return langs, tables
 
 
@@ -248,8 +246,8 @@ def unit(v):
     return [x / n for x in v] if n else list(v)
 
 
-def word_vectors(texts, entries):
-    """token -> unit vector of the sum of the index vectors up to two places away."""
+def word_vectors(texts, share):
+    """token -> unit vector of the sum of the index vectors up to two places away, for tokens of a share of all."""
     count, sums = Counter(), defaultdict(lambda: [0] * 32)
     for t in texts:
         some = mark_tokens(t)
@@ -259,9 +257,7 @@ def word_vectors(texts, entries):
             for j in range(max(i - 2, 0), min(i + 3, len(some))):
                 if j != i:
                     sums[h] = [a + b for a, b in zip(sums[h], vectors[j], strict=True)]
-    # As Spark orders ties: by the signed hash.
-    top = sorted(count, key=lambda h: (-count[h], h - (1 << 64) if h >> 63 else h))[:entries]
-    return {h: unit(sums[h]) if any(sums[h]) else unit(index_vector(h)) for h in top}
+    return {h: unit(sums[h]) if any(sums[h]) else unit(index_vector(h)) for h, n in count.items() if n >= share * count.total()}
 
 
 def quality(text, vectors, net):
@@ -327,7 +323,7 @@ def pii(texts):
     return [(b, sorted([*b, *{(a, 4, "id", e) for i, a, e, _, p, known, _ in seen if i == k and p in sure and not known}])) for k, b in enumerate(base)]
 
 
-def shards(rows, n, cells=8192, heavy=64, split=0.9):
+def shards(rows, n, cells=8192, heavy=64, split=0.25):
     """Sorted (doc_id, size, crc, shard) of rows (doc_id, text), with the group that each row goes with."""
     count = lambda t: len(regex.findall(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", t or ""))
     made = [(i, len((t or "").encode()) + 16, count(t), zlib.crc32((t or "").encode()), t) for i, t in rows]
@@ -342,7 +338,7 @@ def shards(rows, n, cells=8192, heavy=64, split=0.9):
             if weight < 1 / heavy:
                 items[g % cells, -1].append(r)
             else:
-                items[g, xx(r[0]) % (math.ceil(weight * heavy) if weight > split else 1)].append(r)
+                items[g, xx(r[0]) % math.ceil(weight / split)].append(r)
     loads = {k: add(some) for k, some in items.items()}
     all_ = [max(sum(x[c] for x in loads.values()), 1) for c in range(3)]
     vector = {k: [x / a * n for x, a in zip(v, all_, strict=True)] for k, v in loads.items()}

@@ -288,10 +288,10 @@ def test_op7_against_plain_features(spark):
     odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "a b"), (10**6 + 2, "...")], "doc_id long, text string")
     some = docs.filter("doc_id < 100").select("doc_id", "text")
     some = some.union(some.limit(3)).union(odd).withColumns({c: F.lit("clash") for c in ("quality", "score", "h", "held_out", "x")})
-    model = op7.fit(some, labels.withColumn("text", F.lit("clash")), entries=300)
+    model = op7.fit(some, labels.withColumn("text", F.lit("clash")), share=0.0005)
     rows = [(r.doc_id, r.text) for r in some.collect()]
-    vectors = brute.word_vectors([t for _, t in rows], 300)
-    assert len(model.vocabulary) == 300 and set(model.vocabulary.tolist()) == set(vectors)
+    vectors = brute.word_vectors([t for _, t in rows], 0.0005)
+    assert 100 < len(model.vocabulary) <= 2000 and set(model.vocabulary.tolist()) == set(vectors)
     got = op7.quality_scores(some, model).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     texts = dict(rows)
@@ -299,6 +299,10 @@ def test_op7_against_plain_features(spark):
         assert abs(r.score - brute.quality(texts[r.doc_id], vectors, model)) < 1e-3
     assert op7.of_quality(some, model).columns == some.columns
     assert op7.fit(some, labels.filter("doc_id < 0")) is None
+    for n in (1, 2, 4):  # a model from one row of each kind on
+        few = [r.doc_id for k in (0, 1) for r in labels.filter(f"quality = {k} and doc_id < 100 and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").orderBy("doc_id").limit(n).collect()]
+        small = op7.fit(some, labels.filter(F.col("doc_id").isin(few)))
+        assert small is not None and {r.score for r in op7.quality_scores(some, small).collect()} != {1.0}
 
 
 def test_op8(spark):
@@ -416,9 +420,10 @@ def test_op10(spark):
     assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
     assert len({r.shard for r in got if r.doc_id in (80, 81, 82)}) == 1
     assert op10.vector_shards(brute.frame(spark, rows).limit(0)).count() == 0
+    some = [r for r in rows if r[0] is not None]  # those without are dealt by where they stand
     for n in (4, 40):
-        found = op10.vector_shards(brute.frame(spark, rows), shards=n).collect()
-        assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard) for r in found), key=str) == brute.shards(rows, n)
+        found = op10.vector_shards(brute.frame(spark, some), shards=n).collect()
+        assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard) for r in found), key=str) == brute.shards(some, n)
 
 
 def test_texts_beyond_a_chunk(spark):
@@ -450,6 +455,42 @@ def test_texts_beyond_a_chunk(spark):
     assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard) for r in op10.vector_shards(df, 4).collect()), key=str) == brute.shards(rows, 4)
 
 
+def test_words_of_a_regular_pattern(spark):
+    """Words of the Thue-Morse sequence and their opposites, which polynomials modulo a power of two take for equal."""
+    word = "a"
+    while len(word) < 1 << 14:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = []
+    for k in range(8, 15):
+        one = word[: 1 << k]
+        for text in (one, one.translate(str.maketrans("ab", "ba"))):
+            rows += [(len(rows), f"{text} w x y z"), (len(rows) + 1, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op1.ngram_jaccard_classes(df).collect()}
+    assert got == {i: i for i, _ in rows}
+    prints = {r.doc_id: r.fingerprint for r in op3.imatch(df).collect()}
+    assert len({prints[i] for i, t in rows if " " not in t}) == len(rows) // 2
+    named = df.filter("doc_id % 2 = 1").withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    model = op5.fit(named)
+    assert [model.predict([t])[0][0] for i, t in rows if i % 2] == [f"l{i}" for i, _ in rows if i % 2]
+    vectors = op7.word_vectors(df, 1e-9)
+    assert len(vectors.vocabulary) == len({w for _, t in rows for w in t.split()})
+
+
+def test_op10_deals_out_heavy_groups(spark):
+    rows = [(i if i % 3 else None, "copy " * 20) for i in range(900)] + [(1000 + i, f"own text {i} " * 18) for i in range(600)]
+    got = op10.vector_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect()
+    assert len(got) == 1500
+    load, hot, nulls = {}, {}, {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+        if r["size"] == 116:
+            hot[r.shard] = hot.get(r.shard, 0) + 1
+            if r.doc_id is None:
+                nulls[r.shard] = nulls.get(r.shard, 0) + 1
+    assert max(load.values()) <= 1.1 * min(load.values()) and len(hot) >= 6 and len(nulls) >= 6 and max(nulls.values()) < 100
+
+
 def test_pack_prefers_the_residual():
     rng = np.random.default_rng(0)
     loads = rng.integers(1, 100, (400, 3)).astype(float)
