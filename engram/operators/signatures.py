@@ -96,13 +96,22 @@ def rust_parameter(text: str) -> dict | None:
     return None if name == "self" else {"name": name, "type": kind.strip()}
 
 
-def decorators(lines: list[str], at: int) -> list[dict]:
-    """The decorators right above a line, from the first down."""
+def decorators(above: str) -> list[dict]:
+    """The decorators on the lines right above, or right before, a declaration, from the first down."""
     out: list[dict] = []
-    while at > 0 and (m := re.match(r"\s*@([\w.]+)(\()?", lines[at - 1])):
-        at -= 1
-        given = parts(lines[at][m.end() : closing(lines[at], m.end() - 1)]) if m[2] else None
-        out.insert(0, {"name": m[1]} | ({"arguments": given} if given is not None else {}))
+    for line in reversed(above.split("\n")):
+        if not line.strip():
+            if out or line is not above.split("\n")[-1]:
+                break
+            continue
+        found = []
+        while m := re.match(r"\s*@([\w.]+)(\()?", line):
+            to = closing(line, m.end() - 1) if m[2] else m.end() - 1
+            found.append({"name": m[1]} | ({"arguments": parts(line[m.end() : to])} if m[2] else {}))
+            line = line[to + 1 :]
+        if line.strip():
+            break
+        out[:0] = found
     return out
 
 
@@ -115,9 +124,9 @@ def hook_dependencies(body: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def signature(language: str, kind: str, name: str, lines: list[str], at: int, end: int) -> dict | None:
-    """The metadata of a declaration at a line; None for kinds without any."""
-    text = "\n".join(lines[at : min(end, at + 60) + 1])
+def signature(language: str, kind: str, name: str, body: str, above: str) -> dict | None:
+    """The metadata of a declaration, from its text and that above it; None for kinds without any."""
+    text = "\n".join(body.split("\n", 61)[:61])
     begin = re.search(rf"\b{re.escape(name)}\b", text)
     if not begin:
         return None
@@ -133,7 +142,7 @@ def signature(language: str, kind: str, name: str, lines: list[str], at: int, en
             out["genericParams"], rest = [{"name": p.split()[0]} | ({"constraint": p.split(None, 1)[1]} if " " in p else {}) for p in parts(rest[1:to])], rest[to + 1 :]
         to = closing(rest, rest.find("("))
         out["parameters"] = go_parameters(rest[rest.find("(") + 1 : to])
-        result = rest[to + 1 :].split("{")[0].strip()
+        result = re.split(r"\s*(?<!interface)(?<!struct)\{", rest[to + 1 :], maxsplit=1)[0].strip()
         receiver = re.match(r"func\s+(\([^)]*\))", text)
         return out | ({"returnType": result} if result else {}) | ({"receiver": receiver[1]} if receiver else {})
     if language == "rust":
@@ -142,7 +151,7 @@ def signature(language: str, kind: str, name: str, lines: list[str], at: int, en
     else:
         if m := re.search(r"\b(public|private|protected)\b", before):
             out["visibility"] = m[1]
-        if found := decorators(lines, at):
+        if found := decorators(above):
             out["decorators"] = found
     if not callable_:
         generic = rest.lstrip()
@@ -171,6 +180,6 @@ def signature(language: str, kind: str, name: str, lines: list[str], at: int, en
             out["returnType"] = re.split(r"=>|\{\s*$|\{\s*\n|;", rest[1:], maxsplit=1)[0].strip()
     elif m := re.match(r"(\w+)\s*=>", rest):
         out["parameters"] = [{"name": m[1], "isOptional": False}]
-    if language == "script" and (found := hook_dependencies("\n".join(lines[at : end + 1]))):
+    if language == "script" and (found := hook_dependencies(body)):
         out["hookDependencies"] = found
     return out

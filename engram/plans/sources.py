@@ -68,16 +68,20 @@ TEMPLATES = {
     ),
     "ts": (
         "import { walk@k as go@k } from './tree@k';\n\n// Finds things.\nexport function locate@k<T extends Node>(name: string, opts: { a: number, b?: T } = {}) {\n  return find@k(go@k(name));\n}\n\n@Sealed('x, y')\nclass Tree@k {\n  private async root(a, b, c, d = [1, 2], e, f, g, h) {\n"
-        "    return locate@k(this);\n  }\n}\n\nexport interface Node@k {\n  id: string;\n}\ntype Id@k = string;\nexport const LIMIT_@k: number = @n;\nconst pick@k = x => x;\n",
-        [("locate@k", "function", 2, "find@k,go@k"), ("Tree@k", "class", 0, "root,locate@k"), ("Tree@k.root", "method", 8, "locate@k"), ("Node@k", "interface", 0, ""), ("Id@k", "type", 0, ""), ("LIMIT_@k", "constant", 0, ""), ("pick@k", "function", 1, "")],
+        "    return locate@k(this);\n  }\n}\n\nexport interface Node@k {\n  id: string;\n}\ntype Id@k = string;\nexport const LIMIT_@k: number = @n;\nconst pick@k = x => x;\n"
+        "class Line@k {\n  open = \"{\";\n  first() { return one@k('}'); } second() { return two@k(`{${\"}\"}`); }\n}\n\nnamespace Space@k {\n  export function inner@k() {\n    // lost@k() {\n    return /[{]/.test(three@k(\"(\"));\n  }\n}\n\nfunction last@k() { /* { */ return four@k(); }\n",
+        [("locate@k", "function", 2, "find@k,go@k"), ("Tree@k", "class", 0, "root,locate@k"), ("Tree@k.root", "method", 8, "locate@k"), ("Node@k", "interface", 0, ""), ("Id@k", "type", 0, ""), ("LIMIT_@k", "constant", 0, ""), ("pick@k", "function", 1, ""),
+         ("Line@k", "class", 0, "first,one@k,second,two@k"), ("Line@k.first", "method", 0, "one@k"), ("Line@k.second", "method", 0, "two@k"), ("inner@k", "function", 0, "test,three@k"), ("last@k", "function", 0, "four@k")],
     ),
     "go": (
-        "package main\n\nconst (\n\tLow@k = iota\n\thigh@k\n)\n\ntype (\n\tStore@k struct {\n\t\tn int\n\t}\n\tName@k string\n)\n\nvar count@k = @n\n\nfunc (s *Store@k) Get(k, l string, rest ...int) int {\n\treturn lookup@k(k)\n}\n\nfunc run@k(func(int) error) {\n\tstart@k()\n}\n",
-        [("Low@k", "constant", 0, ""), ("high@k", "constant", 0, ""), ("Store@k", "class", 0, ""), ("Name@k", "type", 0, ""), ("count@k", "variable", 0, ""), ("Store@k.Get", "method", 3, "lookup@k"), ("run@k", "function", 0, "start@k")],
+        "package main\n\nconst (\n\tLow@k = iota\n\thigh@k\n)\n\ntype (\n\tStore@k struct {\n\t\tn int\n\t}\n\tName@k string\n)\n\nvar count@k = @n\n\nfunc (s *Store@k) Get(k, l string, rest ...int) int {\n\treturn lookup@k(k)\n}\n\nfunc run@k(func(int) error) {\n\tstart@k()\n}\n"
+        "\nfunc text@k() string {\n\ts := \"}\"\n\treturn s + `{` + join@k(s)\n}\n\n// }{ gone@k(\nfunc tail@k() interface{} { return wrap@k('{') }\n",
+        [("Low@k", "constant", 0, ""), ("high@k", "constant", 0, ""), ("Store@k", "class", 0, ""), ("Name@k", "type", 0, ""), ("count@k", "variable", 0, ""), ("Store@k.Get", "method", 3, "lookup@k"), ("run@k", "function", 0, "start@k"), ("text@k", "function", 0, "join@k"), ("tail@k", "function", 0, "wrap@k")],
     ),
     "rs": (
-        "pub struct Store@k {\n    n: i32,\n}\n\nimpl Store@k {\n    pub fn get(&self, key: &'static str) -> i32 {\n        self.n\n    }\n}\n\npub trait Reader@k {\n    fn read(&self);\n}\n\nasync fn helper@k<'a, T: Into<String>>(x: &'a T, y: Vec<(i32, T)>) {\n    work@k();\n}\n",
-        [("Store@k", "class", 0, ""), ("Store@k.get", "method", 1, ""), ("Reader@k", "interface", 0, "read"), ("helper@k", "function", 2, "work@k")],
+        "pub struct Store@k {\n    n: i32,\n}\n\nimpl Store@k {\n    pub fn get(&self, key: &'static str) -> i32 {\n        self.n\n    }\n}\n\npub trait Reader@k {\n    fn read(&self);\n}\n\nasync fn helper@k<'a, T: Into<String>>(x: &'a T, y: Vec<(i32, T)>) {\n    work@k();\n}\n"
+        "\nmod inner@k {\n    pub mod deep@k { pub const END_@k: &str = \"}\"; }\n    pub fn find@k(c: char) -> bool { c == '{' || seek@k(r#\"}\"{\"#) }\n}\n\n/* { /* } */ */ fn tail@k() { done@k(); }\n",
+        [("Store@k", "class", 0, ""), ("Store@k.get", "method", 1, ""), ("Reader@k", "interface", 0, "read"), ("helper@k", "function", 2, "work@k"), ("END_@k", "constant", 0, ""), ("find@k", "function", 1, "seek@k"), ("tail@k", "function", 0, "done@k")],
     ),
     "txt": ("function no@k() {}", []),
 }
