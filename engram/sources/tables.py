@@ -75,7 +75,8 @@ def capped(rows: DataFrame, columns: list[str], order: list, n: int) -> DataFram
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, in the session's folder for those.
 
-    Where none is set, a local master gets a folder of its own; on a cluster that is an error, as executors need it.
+    Where none is set, a local master gets a folder of its own; on a cluster that is an error, as executors need it. Its
+    files go once the frame and what was made from it are gone from the driver's memory.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -85,4 +86,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not at and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='engram-')}")
+    # Spark's cleaner asks for this setting whenever a checkpoint is made, not only when the application begins.
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint()
