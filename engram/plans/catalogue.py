@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from engram.plans import analytics, history, insights, relational, retrieval, sources, upkeep, views
+from engram.plans import analytics, history, insights, relational, retrieval, sources, streams, upkeep, views
 from engram.plans.registry import Query
 
-FAMILIES = [retrieval.P, insights.P, analytics.P, relational.P, sources.P, upkeep.P, views.P, history.P]
+FAMILIES = [retrieval.P, insights.P, analytics.P, relational.P, sources.P, upkeep.P, views.P, history.P, streams.P]
 
 
 def queries() -> dict[str, Query]:

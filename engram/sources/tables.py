@@ -72,20 +72,37 @@ def capped(rows: DataFrame, columns: list[str], order: list, n: int) -> DataFram
     return rows.orderBy(*order).limit(n).select(*columns)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below the session's folder for checkpoints; it goes with the driver's JVM.
+
+    Where that setting is unset, a local master gets a folder of its own; on a cluster that is an error.
+    """
+    context, at = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        at = f"file://{tempfile.mkdtemp(prefix='engram-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    import uuid
+
+    folder = f"{at.rstrip('/')}/engram-core/{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the session's folder for those.
+    """df with its lineage cut by a reliable checkpoint, in a folder that driver and executors share.
 
-    Where none is set, a local master gets a folder of its own; on a cluster that is an error, as executors need it. Its
-    files go once the frame and what was made from it are gone from the driver's memory.
+    Its files go once the frame and what was made from it are gone from the driver's memory.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='engram-')}")
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or scratch_folder(df.sparkSession))
     # Spark's cleaner asks for this setting whenever a checkpoint is made, not only when the application begins.
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint()

@@ -46,3 +46,35 @@ def watch(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 def session_files(spark: SparkSession, path: str, schema, per_batch: int = 1000) -> DataFrame:
     """New JSON-lines files of a folder as a stream of rows with their path."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(path).withColumn("path", F.col("_metadata.file_path"))
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, within: str, late: str, how: str = "inner") -> DataFrame:
+    """Rows of `left` with the rows of `right` of their key that come no later than `within` after them; both have `ts`.
+
+    On streams both sides have a watermark `late` behind their latest row: older rows are dropped, a left row is kept
+    while partners may come and a right one while rows before it may. With how="left", a row without a partner is given
+    when its time is over. On batches the same join, of all rows. The right side's columns are prefixed with `right_`.
+    """
+    watermarked = lambda df: stamped(df).withWatermark("ts", late) if df.isStreaming else stamped(df)
+    one, two = watermarked(left), watermarked(right)
+    two = two.select(*(F.col(c).alias(f"right_{c}") for c in two.columns))
+    meets = (F.col(key) == F.col(f"right_{key}")) & (F.col("right_ts") >= F.col("ts")) & (F.col("right_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+    return one.join(two, meets, how)
+
+
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's Parquet file, or folder of files, as a stream."""
+    at = f"{folder}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    schema = spark.read.parquet(at).schema
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(at)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives until it has nothing more, written below a folder; called again, it goes on from there."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
