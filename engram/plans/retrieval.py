@@ -9,8 +9,9 @@ from engram.functions import scoring
 from engram.functions.text import TOKEN_SPLIT, highlighted
 from engram.functions.vectors import norm
 from engram.operators import retrieval as R
+from engram.operators.vector_index import VectorIndex, write_index
 from engram.plans.registry import Plans, quoted
-from engram.sources.tables import table
+from engram.sources.tables import scratch_folder, table
 
 P = Plans()
 QUERY, TERMS, AS_OF = "how does the license work with that", ["the", "that", "license"], "2025-01-01 00:00:00"
@@ -280,3 +281,11 @@ def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
     score = F.abs(dot_literal(F.col("vector"), vector_of(spark, sf)))
     return vectors(spark, sf).select(score.alias("s")).filter("s < 0.9999999").groupBy(F.floor(F.col("s") * 10).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@P.add(knn_sql(f"1 - {L2} * {L2}", 10))
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors by inverted lists: the nearest lists are read, then those that could hold a nearer one."""
+    folder = scratch_folder(spark)
+    write_index(vectors(spark, sf).select("id", "vector"), folder)
+    return VectorIndex(spark, folder).exact(vector_of(spark, sf), 10, probes=4)
