@@ -164,13 +164,25 @@ def index_health(symbols: DataFrame, present: DataFrame) -> DataFrame:
     return out
 
 
-def symbols_by_type(symbols: DataFrame) -> DataFrame:
-    return symbols.groupBy("symbolType").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("symbol")), 1, 5), ",").alias("first"))
+def first_in_groups(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group, with `nth` from 1. Every task cuts its own rows before they are shuffled, so no list
+    is longer than n, however large a group is."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= n)
+
+
+def joined_in_order(column: str, order: str = "nth") -> Column:
+    """The values of a column of a few rows, joined in an order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(column).cast("string").alias("v")))), lambda x: x["v"]), ",")
+
+
+def symbols_by_type(symbols: DataFrame, n: int = 5) -> DataFrame:
+    """(symbolType, n, first): how many symbols a type has, and its first names."""
+    first = first_in_groups(symbols.select("symbolType", "symbol"), ["symbolType"], ["symbol"], n).groupBy("symbolType").agg(joined_in_order("symbol").alias("first"))
+    return symbols.groupBy("symbolType").agg(F.count(F.lit(1)).alias("n")).join(first, "symbolType")
 
 
 def file_metadata(commits: DataFrame, n: int = 5) -> DataFrame:
     """(file, changes, authors, last, recent) from commits (file, commit, author, date): recent holds the latest commits."""
-    order = Window.partitionBy("file").orderBy(F.desc("date"), "commit")
-    numbered = commits.withColumn("_n", F.row_number().over(order))
-    recent = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= n, F.struct("_n", F.col("commit").cast("string").alias("c"))))), lambda x: x["c"]), ",")
-    return numbered.groupBy("file").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("author").alias("authors"), F.max("date").alias("last"), recent.alias("recent"))
+    latest = first_in_groups(commits.select("file", "commit", "date"), ["file"], [F.desc("date"), "commit"], n).groupBy("file").agg(joined_in_order("commit").alias("recent"))
+    whole = commits.groupBy("file").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("author").alias("authors"), F.max("date").alias("last"))
+    return whole.join(latest, "file")

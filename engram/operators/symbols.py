@@ -14,8 +14,9 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from engram.operators.lexing import Code, masked
 from engram.operators.signatures import signature
@@ -310,13 +311,29 @@ PARSERS: dict[str, Callable[[str], Iterator[Row]]] = {
 }
 
 
-def parse_symbols(path: str, text: str) -> list[tuple]:
-    """The symbols of a file as COLUMNS; none for an unknown extension."""
-    parser = PARSERS.get(re.search(r"(\.[^./]*)?$", path)[0])
+Parsers = dict[str, Callable[[str], Iterator[Row]]]
+
+
+def parse_symbols(path: str, text: str, more: Parsers | None = None) -> list[tuple]:
+    """The symbols of a file as COLUMNS; none for an unknown extension. more: parsers of other extensions, or instead of ours."""
+    parser = (PARSERS | (more or {})).get(re.search(r"(\.[^./]*)?$", path)[0])
     return [(path, *r) for r in parser(text or "")] if parser else []
 
 
-def symbols_of(files: DataFrame) -> DataFrame:
+def register_parser(spark: SparkSession, name: str = "parse_symbols", more: Parsers | None = None) -> None:
+    """Make a table function known to SQL that gives the rows of a file's symbols, with whole bodies:
+    SELECT ... FROM files f, LATERAL parse_symbols(f.path, f.text) s. Null paths and texts give no rows."""
+
+    @udtf(returnType=COLUMNS.removeprefix("path string, "))
+    class ParseSymbols:
+        def eval(self, path: str, text: str) -> Iterator[tuple]:
+            for r in parse_symbols(path or "", text, more):
+                yield r[1:9]
+
+    spark.udtf.register(name, ParseSymbols)
+
+
+def symbols_of(files: DataFrame, more: Parsers | None = None) -> DataFrame:
     """Symbols (COLUMNS, id, summary, calls, imports) of files (path, text), file by file within each task.
 
     A file's imports travel with its symbols, so files are read once and nothing is joined; calls and imports are read
@@ -327,7 +344,7 @@ def symbols_of(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [(*r, i) for p, t, i in zip(b["path"], b["text"], b["_imports"], strict=True) for r in parse_symbols(p, t)]
+            made = [(*r, i) for p, t, i in zip(b["path"], b["text"], b["_imports"], strict=True) for r in parse_symbols(p, t, more)]
             yield pd.DataFrame(made, columns=[*names, "_imports"])
 
     made = rows.mapInPandas(run, f"{COLUMNS}, _code string, _imports string").withColumn("_imports", F.from_json("_imports", "array<struct<name:string,source:string>>"))

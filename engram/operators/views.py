@@ -19,7 +19,7 @@ def totals(symbols: DataFrame) -> DataFrame:
     dead = insights.dead_code(symbols).agg(F.count(F.lit(1)).alias("dead"))
     n = F.count(F.lit(1))
     every = symbols.agg(
-        n.alias("symbols"), F.avg("complexity").alias("complexity"), (F.count_if("documented") * 100.0 / n).alias("documented"), F.count_distinct("path").alias("files"), F.count_distinct("language").alias("languages")
+        n.alias("symbols"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("complexity"), (F.count_if("documented") * 100.0 / F.greatest(n, F.lit(1))).alias("documented"), F.count_distinct("path").alias("files"), F.count_distinct("language").alias("languages")
     )
     return every.join(F.broadcast(dead))  # one row each
 
@@ -35,6 +35,23 @@ def radar(totals: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), rounded(v * 100).alias("value")) for k, v in axes.items()))).alias("x")).select("x.*")
 
 
+def health_axes(symbols: DataFrame) -> DataFrame:
+    """(axis, value) of the seven axes of the health radar, in whole percent, each full at a fixed measure.
+
+    Live share, 20 symbols a file, a median of 10 connections, 5 languages, 50 files, the share of symbols with a
+    complexity of 5 at most, the documented share.
+    """
+    simple = symbols.agg(F.count_if(F.col("complexity") <= 5).alias("simple"))
+    row = totals(symbols).join(F.broadcast(simple)).join(F.broadcast(insights.median_connections(insights.connections(symbols))))  # one row each
+    full = lambda x, measure: F.least(x / float(measure), F.lit(1.0))
+    share = lambda x: F.when(F.col("symbols") > 0, x / F.col("symbols")).otherwise(1.0)
+    axes = {
+        "Health": 1 - F.when(F.col("symbols") > 0, F.col("dead") / F.col("symbols")).otherwise(0.0), "Density": full(F.col("symbols") / F.greatest("files", F.lit(1)), 20), "Connectivity": full(F.col("median"), 10),
+        "Diversity": full(F.col("languages"), 5), "Spread": full(F.col("files"), 50), "Simplicity": share(F.col("simple")), "Docs": F.coalesce(F.col("documented"), F.lit(0.0)) / 100,
+    }
+    return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), rounded(v * 100).alias("value")) for k, v in axes.items()))).alias("x")).select("x.*")
+
+
 def simplicity(complexity: Column) -> Column:
     return F.greatest(F.lit(0.0), 100 - complexity * 10)
 

@@ -208,17 +208,17 @@ def trend_period(spark: SparkSession, sf: str) -> DataFrame:
 
 #: (condition on a row of the trend report, advice)
 ADVICE = [
-    ("metric = 'avgComplexity' AND trend = 'degrading'", "complexity increases: refactor complex functions"), ("metric = 'avgComplexity' AND current > 10", "high average complexity: review the top symbols"),
-    ("metric = 'documentationCoverage' AND trend = 'degrading'", "documentation declines: document new code"), ("metric = 'documentationCoverage' AND current < 0.5", "low documentation: start with public interfaces"),
-    ("metric = 'deadCodeCount' AND trend = 'degrading'", "dead code accumulates: remove unused symbols"), ("metric = 'deadCodeCount' AND current > 20", "much dead code: consider automated cleanup"),
-    ("metric = 'healthScore' AND trend = 'degrading'", "health declines: address top issues first"), ("metric = 'healthScore' AND current < 70", "health below 70: reduce complexity, improve documentation"),
-    ("metric = 'duplicateSymbolCount' AND (trend = 'degrading' OR current > 10)", "duplication: extract shared utilities"),
+    ("metric = 'avgComplexity' AND trend = 'degrading'", "functions grow more branched: split the worst of them"), ("metric = 'avgComplexity' AND current > 10", "a mean complexity above 10: begin with the longest branches"),
+    ("metric = 'documentationCoverage' AND trend = 'degrading'", "the documented share falls: ask for comments in review"), ("metric = 'documentationCoverage' AND current < 0.5", "under half is documented: take exported names first"),
+    ("metric = 'deadCodeCount' AND trend = 'degrading'", "more names have no caller: look for features that went"), ("metric = 'deadCodeCount' AND current > 20", "over 20 names without a caller: delete them in one sweep"),
+    ("metric = 'healthScore' AND trend = 'degrading'", "the score falls: compare it with the snapshot before"), ("metric = 'healthScore' AND current < 70", "a score under 70: see which penalty weighs most"),
+    ("metric = 'duplicateSymbolCount' AND (trend = 'degrading' OR current > 10)", "names come up twice: merge their definitions"),
 ]
 
 
 @P.add(
     f"WITH report AS ({P.sql['trend_report']}), a AS (" + " UNION ALL ".join(f"SELECT {quoted(text)} AS advice FROM report WHERE {cond}" for cond, text in ADVICE)
-    + ") SELECT advice FROM a UNION ALL SELECT 'metrics are stable or improving' WHERE NOT EXISTS (SELECT 1 FROM a)"
+    + ") SELECT advice FROM a UNION ALL SELECT 'no metric calls for work' WHERE NOT EXISTS (SELECT 1 FROM a)"
 )
 def trend_advice(spark: SparkSession, sf: str) -> DataFrame:
     return TR.advice(TR.trend_report(snapshots(spark, sf)))

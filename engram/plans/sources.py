@@ -12,6 +12,8 @@ from engram.functions import embedding as EM
 from engram.functions import text as X
 from engram.operators import insights as I
 from engram.operators import symbols as SY
+from engram.operators import views as V
+from engram.plans.insights import LINKS
 from engram.plans.proxies import SYMBOLS_SQL, symbols
 from engram.plans.registry import Plans, quoted
 from engram.sources import code_files as CF
@@ -151,13 +153,34 @@ def summary_quality(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", q["length"].cast("long").alias("length"), q["sentences"].cast("long").alias("sentences"))
 
 
-@P.add(f"WITH {SYMBOLS_SQL} SELECT CASE WHEN count(*) FILTER (calls <> '') * 100.0 / count(*) >= 90 THEN 'excellent' WHEN count(*) FILTER (calls <> '') * 100.0 / count(*) >= 70 THEN 'good' WHEN count(*) FILTER (calls <> '') * 100.0 / count(*) >= 50 THEN 'fair' WHEN count(*) FILTER (calls <> '') * 100.0 / count(*) >= 30 THEN 'poor' ELSE 'critical' END AS band, round(least(count(DISTINCT language) / 5.0, 1)::DOUBLE * 100, 4) AS languages, round(least(count(DISTINCT path) / 50.0, 1)::DOUBLE * 100, 4) AS files, round(count(*) FILTER (documented) * 100.0::DOUBLE / count(*), 4) AS documented FROM symbols")
+AXES = {
+    "Health": "1 - dead / n", "Density": "least(n / files / 20, 1)", "Connectivity": "least(median / 10, 1)", "Diversity": "least(languages / 5, 1)", "Spread": "least(files / 50, 1)", "Simplicity": "simple / n", "Docs": "documented / n",
+}
+
+
+@P.add(
+    f"{LINKS}, f AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT path)::DOUBLE AS files, count(DISTINCT language)::DOUBLE AS languages, count(*) FILTER (complexity <= 5)::DOUBLE AS simple, count(*) FILTER (documented)::DOUBLE AS documented, "
+    "(SELECT median(total) FROM links)::DOUBLE AS median, (SELECT count(*) FROM symbols WHERE symbolType = 'function' AND symbol NOT IN (SELECT symbol FROM callers) AND symbol NOT IN (SELECT symbol FROM importers))::DOUBLE AS dead FROM symbols) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS axis, CAST(floor(({v}) * 100 + 0.5) AS BIGINT) AS value FROM f" for k, v in AXES.items())
+)
 def health_radar(spark: SparkSession, sf: str) -> DataFrame:
-    """Axes of the health radar in percent, and a colour band."""
-    one = lambda x: F.round(F.least(x, F.lit(1.0)) * 100, 4)
+    """The seven axes of the health radar."""
+    return V.health_axes(symbols(spark, sf))
+
+
+@P.add(f"WITH {SYMBOLS_SQL} SELECT language, CASE WHEN p >= 90 THEN 'excellent' WHEN p >= 70 THEN 'good' WHEN p >= 50 THEN 'fair' WHEN p >= 30 THEN 'poor' ELSE 'critical' END AS band FROM (SELECT language, count(*) FILTER (calls <> '') * 100.0::DOUBLE / count(*) AS p FROM symbols GROUP BY language)")
+def usage_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """The colour band of the share of each language's symbols that call others."""
     used = F.count_if(F.col("calls") != "") * 100.0 / F.count(F.lit(1))
-    band = F.when(used >= 90, "excellent").when(used >= 70, "good").when(used >= 50, "fair").when(used >= 30, "poor").otherwise("critical")
-    return symbols(spark, sf).agg(band.alias("band"), one(F.count_distinct("language") / 5.0).alias("languages"), one(F.count_distinct("path") / 50.0).alias("files"), one(F.count_if("documented") / F.count(F.lit(1))).alias("documented"))
+    return symbols(spark, sf).groupBy("language").agg(V.band(used).alias("band"))
+
+
+@P.add(f"WITH {SYMBOLS_FOUND} SELECT path, symbol, symbolType, parameters FROM found")
+def symbols_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The symbols of every part's file by the table function, from SQL."""
+    SY.register_parser(spark)
+    parameters = "coalesce(json_array_length(get_json_object(s.metadata, '$.parameters')), 0)"
+    return spark.sql(f"SELECT f.path, s.symbol, s.symbolType, {parameters} AS parameters FROM {{files}} f, LATERAL parse_symbols(f.path, f.text) s", files=files(spark, sf))
 
 
 @P.add("SELECT conv_id, length(CASE WHEN length(t) > 400 THEN left(t, 240) || chr(10) || '...[truncated]...' || chr(10) || right(t, 160) ELSE t END) AS chars FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY 1)")

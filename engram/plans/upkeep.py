@@ -11,7 +11,7 @@ from engram.operators import maintenance as M
 from engram.operators import retrieval as R
 from engram.operators import sessions as S
 from engram.operators import trends as TR
-from engram.plans.insights import CALLERS, IMPORTERS, PAIRS_SQL
+from engram.plans.insights import CALLERS, IMPORTERS, LINKS, PAIRS_SQL
 from engram.plans.proxies import SYMBOLS_SQL, symbols
 from engram.plans.registry import Plans
 from engram.plans.retrieval import AS_OF, HYBRID, L2, QUERY, QUERY_TERMS, boost_sql, bm25_sql, chunks, fused_sql, knn_sql, vector_of, vectors
@@ -66,19 +66,42 @@ def cleaned_index(spark: SparkSession, sf: str) -> DataFrame:
     return M.cleaned(rows.union(rows.filter("symbol = '12'")), rows.filter(~F.endswith("path", F.lit("/3.ts")))).select("id")
 
 
+#: What an earlier snapshot knew: the documented symbols alone.
+EARLIER = {"avgComplexity": "avg(complexity)", "documentationCoverage": "count(*) FILTER (language = 'go') / count(*)::DOUBLE", "deadCodeCount": "count(*) FILTER (calls = '')"}
+
+
 @P.add(
-    f"{WITH}, {CALLERS}, {IMPORTERS} SELECT '2025-01-01:0123abcd' AS id, count(*) AS totalSymbols, round(avg(complexity), 6) AS avgComplexity, round(count(*) FILTER (documented) / count(*)::DOUBLE, 6) AS documentationCoverage, "
-    "(SELECT count(*) FROM symbols WHERE symbolType = 'function' AND symbol NOT IN (SELECT symbol FROM callers) AND symbol NOT IN (SELECT symbol FROM importers)) AS deadCodeCount FROM symbols"
+    f"{LINKS}, s AS (SELECT count(*) AS totalSymbols, count(DISTINCT path) AS totalFiles, avg(complexity) AS c, count(*) FILTER (documented) / count(*)::DOUBLE AS d, "
+    "(SELECT count(*) FROM symbols WHERE symbolType = 'function' AND symbol NOT IN (SELECT symbol FROM callers) AND symbol NOT IN (SELECT symbol FROM importers)) AS dead, "
+    "(SELECT count(*) FROM (SELECT 1 FROM symbols GROUP BY path, symbol HAVING count(*) > 1)) AS double FROM symbols), "
+    "g AS (SELECT symbol, total, path FROM (SELECT * FROM links ORDER BY total DESC, symbol LIMIT 15) JOIN symbols USING (symbol) WHERE total >= greatest(3 * (SELECT median(total) FROM links), 5)), "
+    "t AS (SELECT symbol, complexity, path FROM symbols ORDER BY complexity DESC, symbol LIMIT 10), "
+    f"e AS (SELECT {', '.join(f'{v} AS e_{k}' for k, v in EARLIER.items())} FROM symbols WHERE documented) "
+    "SELECT '2025-01-01:0123abcd' AS id, totalSymbols, totalFiles, round(c, 6) AS avgComplexity, round(totalSymbols / totalFiles::DOUBLE, 6) AS avgSymbolsPerFile, round(d, 6) AS documentationCoverage, dead AS deadCodeCount, double AS duplicateSymbolCount, "
+    "(SELECT count(*) FROM g) AS godSymbolCount, "
+    """'[' || (SELECT string_agg('{"symbol":"' || symbol || '","cyclomatic":' || complexity || ',"path":"' || path || '"}', ',' ORDER BY complexity DESC, symbol) FROM t) || ']' AS topComplexSymbols, """
+    """'[' || coalesce((SELECT string_agg('{"symbol":"' || symbol || '","totalConnections":' || total || ',"path":"' || path || '"}', ',' ORDER BY total DESC, symbol) FROM (SELECT * FROM g ORDER BY total DESC, symbol LIMIT 10)), '') || ']' AS godSymbols, """
+    "CAST(greatest(0, least(100, 100 - CASE WHEN c > 15 THEN 30 WHEN c > 10 THEN 20 WHEN c > 7 THEN 10 ELSE 0 END - CASE WHEN d < 0.3 THEN 25 WHEN d < 0.5 THEN 15 WHEN d < 0.7 THEN 5 ELSE 0 END "
+    "- CASE WHEN dead > 0.1 * totalSymbols THEN 20 WHEN dead > 0.05 * totalSymbols THEN 10 ELSE 0 END - CASE WHEN double > 0.1 * totalSymbols THEN 15 WHEN double > 0.05 * totalSymbols THEN 8 ELSE 0 END "
+    "- CASE WHEN (SELECT count(*) FROM g) > 10 THEN 10 WHEN (SELECT count(*) FROM g) > 5 THEN 5 ELSE 0 END)) AS BIGINT) AS healthScore, "
+    + ", ".join(f"CASE WHEN {x} > 0.05 THEN 'up' WHEN {x} < -0.05 THEN 'down' ELSE 'stable' END AS {k}" for k, x in (("complexityTrend", "(c - e_avgComplexity) / greatest(e_avgComplexity, 1)"), ("documentationTrend", "d - e_documentationCoverage"), ("deadCodeTrend", "(dead - e_deadCodeCount) / greatest(e_deadCodeCount, 1)::DOUBLE")))
+    + " FROM s, e"
 )
 def metrics_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    row = M.snapshot(symbols(spark, sf), "2025-01-01", "0123abcdef")
-    return row.select("id", "totalSymbols", F.round("avgComplexity", 6).alias("avgComplexity"), F.round("documentationCoverage", 6).alias("documentationCoverage"), "deadCodeCount")
+    """All columns of a snapshot, its trends against an earlier one."""
+    rows = symbols(spark, sf)
+    n = F.count(F.lit(1))
+    earlier = rows.filter("documented").agg(F.avg("complexity").alias("avgComplexity"), (F.count_if(F.col("language") == "go") / n).alias("documentationCoverage"), F.count_if(F.col("calls") == "").alias("deadCodeCount"))
+    row = M.snapshot(rows, "2025-01-01", "0123abcdef", earlier.withColumn("timestamp", F.lit("2024-12-31")))
+    return row.drop("timestamp", "commit").withColumns({c: F.round(c, 6) for c in ("avgComplexity", "avgSymbolsPerFile", "documentationCoverage")})
 
 
-@P.add(f"{WITH} SELECT concat_ws(':', count(*), count(DISTINCT path), count(DISTINCT language)) AS hash FROM symbols")
+@P.add(
+    f"{WITH}, {CALLERS}, {IMPORTERS} SELECT concat_ws(':', count(*), count(DISTINCT path), printf('%.6f', avg(complexity)), printf('%.6f', count(*) FILTER (documented) * 100.0::DOUBLE / count(*)), "
+    "(SELECT count(*) FROM symbols WHERE symbolType = 'function' AND symbol NOT IN (SELECT symbol FROM callers) AND symbol NOT IN (SELECT symbol FROM importers)), (SELECT count(*) FROM (SELECT 1 FROM symbols GROUP BY path, symbol HAVING count(*) > 1))) AS hash FROM symbols"
+)
 def insights_hash(spark: SparkSession, sf: str) -> DataFrame:
-    facts = symbols(spark, sf).agg(F.count(F.lit(1)).alias("a"), F.count_distinct("path").alias("b"), F.count_distinct("language").alias("c"))
-    return M.insights_hash(facts, ["a", "b", "c"])
+    return M.insights_hash(symbols(spark, sf))
 
 
 def edited_turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,7 +17,7 @@ from engram.operators import sessions as S
 from engram.operators import symbols as SY
 from engram.operators import views as V
 from engram.plans.analytics import EDGES, RULES, rules
-from engram.plans.insights import CALLERS, IMPORTERS, PAIRS_SQL, pairs
+from engram.plans.insights import CALLERS, IMPORTERS, LINKS, PAIRS_SQL, pairs
 from engram.plans.proxies import SYMBOLS_SQL, symbols
 from engram.plans.registry import Plans
 from engram.plans.retrieval import AS_OF, L2, bm25_sql, chunks, fused_sql, knn_sql, vector_of, vectors
@@ -135,7 +135,8 @@ def hybrid_search_with_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Dashboards.
-TOTALS = f"""{CALLERS}, {IMPORTERS}, {DEAD}, t AS (SELECT count(*) AS symbols, avg(complexity) AS complexity, count(*) FILTER (documented) * 100.0::DOUBLE / count(*) AS documented, count(DISTINCT path) AS files, count(DISTINCT language) AS languages, (SELECT count(*) FROM dead) AS dead FROM symbols)"""
+TOTALS_ONLY = f"""{DEAD}, t AS (SELECT count(*) AS symbols, avg(complexity) AS complexity, count(*) FILTER (documented) * 100.0::DOUBLE / count(*) AS documented, count(DISTINCT path) AS files, count(DISTINCT language) AS languages, (SELECT count(*) FROM dead) AS dead FROM symbols)"""
+TOTALS = f"{CALLERS}, {IMPORTERS}, {TOTALS_ONLY}"
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,13 +168,14 @@ def directory_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @P.add(
-    f"{WITH}, {TOTALS}, big AS (SELECT max(len(string_split(text, chr(10)))) AS lines FROM documents), q AS (SELECT 'complexity' AS rule, 'high' AS severity FROM t WHERE complexity > 10 UNION ALL SELECT 'documentation', 'medium' FROM t WHERE documented < 50 "
-    "UNION ALL SELECT 'dead code', 'high' FROM t WHERE dead > symbols * 0.1 UNION ALL SELECT 'size', 'medium' FROM big WHERE lines > 200) SELECT * FROM q UNION ALL SELECT 'none', 'low' WHERE NOT EXISTS (SELECT 1 FROM q)"
+    f"{LINKS}, {TOTALS_ONLY}, big AS (SELECT max(len(string_split(text, chr(10)))) AS lines FROM documents), g AS (SELECT 1 FROM (SELECT * FROM links ORDER BY total DESC, symbol LIMIT 15) WHERE total >= greatest(3 * (SELECT median(total) FROM links), 5)), "
+    "q AS (SELECT 'complexity' AS rule, 'high' AS severity FROM t WHERE complexity > 10 UNION ALL SELECT 'documentation', 'medium' FROM t WHERE documented < 50 "
+    "UNION ALL SELECT 'dead code', 'high' FROM t WHERE dead > symbols * 0.1 UNION ALL SELECT 'size', 'medium' FROM big WHERE lines > 200 UNION ALL SELECT 'coupling', 'high' WHERE EXISTS (SELECT 1 FROM g)) SELECT * FROM q UNION ALL SELECT 'none', 'low' WHERE NOT EXISTS (SELECT 1 FROM q)"
 )
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = symbols(spark, sf)
     largest = table(spark, sf, "documents").agg(F.max(F.size(F.split("text", "\n", -1))).alias("lines"))
-    return V.quality_rules(totals(spark, sf), largest, rows.limit(0))
+    return V.quality_rules(totals(spark, sf), largest, I.god_symbols(I.connections(rows)))
 
 
 # Dates and labels.

@@ -23,8 +23,8 @@ CODE_SYMBOLS = _schema(
 )
 CODE_GRAPH = _schema(id=_s, source=_s, target=_s, edgeType=_s, sourceFile=_s, targetFile=_s, count=_l, commit=_s, lastModified=_s)
 CODE_METRICS = _schema(
-    id=_s, timestamp=_s, commit=_s, totalSymbols=_l, avgComplexity=_d, documentationCoverage=_d, deadCodeCount=_l, duplicateSymbolCount=_l, godSymbolCount=_l,
-    healthScore=_l, topComplexSymbols=_s, topRiskySymbols=_s, complexityTrend=_s, documentationTrend=_s, deadCodeTrend=_s,
+    id=_s, timestamp=_s, commit=_s, totalSymbols=_l, totalFiles=_l, avgComplexity=_d, avgSymbolsPerFile=_d, documentationCoverage=_d, deadCodeCount=_l, duplicateSymbolCount=_l, godSymbolCount=_l,
+    topComplexSymbols=_s, godSymbols=_s, healthScore=_l, complexityTrend=_s, documentationTrend=_s, deadCodeTrend=_s,
 )
 #: What a row of `solutions` has where a column is missing or null.
 SOLUTION_DEFAULTS = {"source": "transcript", "confidence": 0.7, "version": 1, "contentHash": "", "scope": "", "language": "", "symbols": "", "summary": "", "diffSummary": ""}
