@@ -284,9 +284,22 @@ def complexity_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return bodies(spark, sf).select(C.histogram_bucket(C.cyclomatic(F.col("body"))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@P.add(f"SELECT id, length(summary) > 0 AND summary <> split_part(trim(split_part(body, chr(10), 1)), '(', 1) AS documented FROM {CODE_VALUES}")
+#: Documents as bodies with summaries and metadata, of every kind that the two questions tell apart.
+TOLD = {
+    "summary": "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN substring(trim(split_part(coalesce(text, ''), chr(10), 1)), 1, CAST(5 + doc_id % 9 AS INT)) ELSE left(coalesce(text, ''), CAST(doc_id % 50 AS INT)) END",
+    "body": "CASE doc_id % 3 WHEN 1 THEN substring(trim(split_part(coalesce(text, ''), chr(10), 1)), 1, CAST(5 + doc_id % 9 AS INT)) || '(' ELSE '' END || coalesce(text, '')",
+    "metadata": """CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"jsDoc":"' || lang || '"}' WHEN 2 THEN '{"docstring":""}' ELSE '{"docstring":"' || source || '"}' END""",
+}
+TOLD_SQL = "(SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in TOLD.items()) + " FROM documents)"
+
+
+def told(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", *(F.expr(v).alias(k) for k, v in TOLD.items()))
+
+
+@P.add(f"SELECT doc_id, length(summary) > 0 AND summary <> split_part(trim(split_part(body, chr(10), 1)), '(', 1) AS documented FROM {TOLD_SQL}")
 def has_doc(spark: SparkSession, sf: str) -> DataFrame:
-    return code_rows(spark).select("id", C.has_doc(F.col("body"), F.col("summary")).alias("documented"))
+    return told(spark, sf).select("doc_id", C.has_doc(F.col("body"), F.col("summary")).alias("documented"))
 
 
 def step_sql(x: str, bounds: list, rest: float) -> str:
@@ -340,9 +353,9 @@ def risk_advice(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.array_join(C.risk_advice(factors), "; ").alias("advice"))
 
 
-@P.add(f"SELECT id, CASE WHEN coalesce(metadata->>'$.jsDoc', metadata->>'$.docstring', '') <> '' THEN 0.1 WHEN length(summary) > 20 THEN 0.3 ELSE 1.0 END::DOUBLE AS risk FROM {CODE_VALUES}")
+@P.add(f"SELECT doc_id, CASE WHEN coalesce(metadata->>'$.jsDoc', metadata->>'$.docstring', '') <> '' THEN 0.1 WHEN length(summary) > 20 THEN 0.3 ELSE 1.0 END::DOUBLE AS risk FROM {TOLD_SQL}")
 def documentation_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return code_rows(spark).select("id", C.documentation_risk(F.col("metadata"), F.col("summary")).alias("risk"))
+    return told(spark, sf).select("doc_id", C.documentation_risk(F.col("metadata"), F.col("summary")).alias("risk"))
 
 
 def some_sql(column: str, words: list[str], how: str = " OR ") -> str:

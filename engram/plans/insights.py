@@ -59,50 +59,51 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return S.session_hashes(table(spark, sf, "conversations"))
 
 
-PROMPTS = [
-    (1, "<user_info>os: linux</user_info>fix the parser\n\n\n\nplease"),
-    (2, "  src/a.ts\nsrc/b.ts\nplain line\n"),
-    (3, "<rules x=1>never\nmind</rules>"),
-    (4, "keep <b>this</b>"),
-    (5, "a\n\n\nb\n\n\n\n\nc"),
-]
-PROMPT_VALUES = ", ".join(f"({i}, {quoted(p)})" for i, p in PROMPTS)
+# Texts made from the tables by expressions that both engines run.
 TAGS = quoted(rf"(?i)<(?:{'|'.join(X.SYSTEM_TAGS)})[^>]*>[\s\S]*?</[^>]+>")
+#: Turns as prompts: some within system tags, some with long gaps, with up to six lines of a file tree at the end.
+PROMPT = """CASE turn % 3 WHEN 0 THEN '<user_info>os: ' || role || chr(10) || '</user_info>' WHEN 1 THEN '  <b>' || role || '</b>' || chr(10) || chr(10) || chr(10) || chr(10) ELSE '' END
+  || CASE conv_id % 5 WHEN 0 THEN '<rules x=1>' || coalesce(text, '') || '</rules>' ELSE coalesce(text, '') || chr(10) || chr(10) || chr(10) || 'please' END || repeat(chr(10) || 'src/f.ts', CAST({files} AS INT))"""
 
 
 @P.add(
-    rf"SELECT id, CASE WHEN c <> '' THEN c ELSE left(prompt, 500) END AS prompt FROM (SELECT id, prompt, regexp_replace(regexp_replace(regexp_replace(prompt, {TAGS}, '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {TRIM}) AS c FROM (VALUES {PROMPT_VALUES}) v(id, prompt))"
+    rf"SELECT conv_id, turn, CASE WHEN c <> '' THEN c ELSE left(raw, 500) END AS prompt FROM (SELECT conv_id, turn, raw, regexp_replace(regexp_replace(regexp_replace(kept, {TAGS}, '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {TRIM}) AS c "
+    f"FROM (SELECT conv_id, turn, {PROMPT.format(files='conv_id % 7')} AS raw, {PROMPT.format(files='least(conv_id % 7, 3)')} AS kept FROM conversations))"
 )
 def clean_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(PROMPTS, "id int, prompt string").select("id", X.clean_prompt(F.col("prompt")).alias("prompt"))
+    raw = F.expr(PROMPT.format(files="conv_id % 7"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.clean_prompt(raw).alias("prompt"))
 
 
-NOTES = [
-    (1, "changed src/app/main.ts and src/app/view.tsx\nexport function renderView() {}\nclass DataStore {}", "+ export const limit_max = 3\n- let old_one = 1\n+async function loadAll() {}"),
-    (2, "see lib/node.js and pkg/util.py, pkg/util.py pkg/other.py\nconst counter = 1", ""),
-    (3, "nothing here", "+++ b/x"),
-    (4, "cmd/main.go cmd/run.go web/x.js interface Shape type Alias", "+interface Wide {}"),
-]
-NOTE_VALUES = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, a, b in NOTES)
+#: Documents as notes on changes, and as diffs.
+NOTE = """coalesce(left(text, 120), '') || chr(10) || 'see src/' || source || '/f' || CAST(doc_id % 40 AS STRING) || '.py and pkg/' || lang || '/g' || CAST(doc_id % 3 AS STRING) || '.go' || CASE doc_id % 4 WHEN 0 THEN ', src/' || source || '/f' || CAST(doc_id % 40 AS STRING) || '.py'
+  WHEN 1 THEN ' lib/node.js web/x.css' ELSE '' END || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'export function load' || CAST(doc_id AS STRING) || '() {}' || chr(10) || 'class Store' || CAST(doc_id % 9 AS STRING) || ' {}' || chr(10) || 'class Store1 {}' WHEN 1 THEN 'const total_' || CAST(doc_id AS STRING) || ' = 1' ELSE 'nothing' END"""
+DIFF = """CASE doc_id % 4 WHEN 0 THEN '+ export const limit_' || CAST(doc_id AS STRING) || ' = 3' || chr(10) || '- let old_one = 1' || chr(10) || '+async function load() {}' WHEN 1 THEN '+++ b/' || lang WHEN 2 THEN coalesce(left(text, 80), '') ELSE '+interface Wide' || CAST(doc_id AS STRING) || ' {}' END"""
 
 
-def notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTES, "id int, body string, diff string")
+def notes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.expr(NOTE).alias("body"), F.expr(DIFF).alias("diff"))
 
 
-@P.add(rf"SELECT id, array_to_string([trim(x) FOR x IN regexp_extract_all(body, {quoted(X.FILE_PATTERN)}, 1)], ',') AS files FROM (VALUES {NOTE_VALUES.replace('pkg/util.py, pkg/util.py', 'pkg/util.py,')}) v(id, body, diff)")
+def found_sql(column: str, pattern: str, n: int) -> str:
+    """The first n distinct matches, in order, joined."""
+    every = f"[trim(x) FOR x IN regexp_extract_all({column}, {quoted(pattern)}, 1)]"
+    return f"array_to_string(list_filter({every}, lambda x, i: list_position({every}, x) = i)[1:{n}], ',')"
+
+
+@P.add(f"SELECT doc_id, array_to_string([x FOR x IN string_split({found_sql('body', X.FILE_PATTERN, 1 << 20)}, ',') IF lower(x) NOT IN ({', '.join(map(quoted, X.NOT_FILES))})][1:20], ',') AS files FROM (SELECT doc_id, {NOTE} AS body FROM documents)")
 def files_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return notes(spark).select("id", F.array_join(X.files_changed(F.col("body")), ",").alias("files"))
+    return notes(spark, sf).select("doc_id", F.array_join(X.files_changed(F.col("body")), ",").alias("files"))
 
 
-@P.add(f"SELECT id, array_to_string(regexp_extract_all(body, {quoted(X.SYMBOL_PATTERN)}, 1), ',') AS names, array_to_string(regexp_extract_all(diff, {quoted(X.ADDED_SYMBOL_PATTERN)}, 1), ',') AS added FROM (VALUES {NOTE_VALUES}) v(id, body, diff)")
+@P.add(f"SELECT doc_id, {found_sql('body', X.SYMBOL_PATTERN, 30)} AS names, {found_sql('diff', X.ADDED_SYMBOL_PATTERN, 30)} AS added FROM (SELECT doc_id, {NOTE} AS body, {DIFF} AS diff FROM documents)")
 def symbol_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return notes(spark).select("id", F.array_join(X.symbols(F.col("body")), ",").alias("names"), F.array_join(X.added_symbols(F.col("diff")), ",").alias("added"))
+    return notes(spark, sf).select("doc_id", F.array_join(X.symbols(F.col("body")), ",").alias("names"), F.array_join(X.added_symbols(F.col("diff")), ",").alias("added"))
 
 
-@P.add(f"SELECT id, {' OR '.join(f'contains(diff, {quoted(m)})' for m in X.CHANGE_MARKS)} AS changed FROM (VALUES {NOTE_VALUES}) v(id, body, diff)")
+@P.add(f"SELECT doc_id, {' OR '.join(f'contains(diff, {quoted(m)})' for m in X.CHANGE_MARKS)} AS changed FROM (SELECT doc_id, {DIFF} AS diff FROM documents)")
 def code_change_detector(spark: SparkSession, sf: str) -> DataFrame:
-    return notes(spark).select("id", X.looks_like_change(F.col("diff")).alias("changed"))
+    return notes(spark, sf).select("doc_id", X.looks_like_change(F.col("diff")).alias("changed"))
 
 
 @P.add("SELECT p_partkey AS id, CASE WHEN a = 0 AND b = 0 AND c = 0 THEN '' WHEN a >= b AND a >= c THEN 'python' WHEN b >= c THEN 'go' ELSE 'typescript' END AS language FROM (SELECT p_partkey, p_size % 4 AS a, p_partkey % 3 AS b, p_partkey % 5 AS c FROM part)")

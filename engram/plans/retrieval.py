@@ -195,15 +195,16 @@ QUERIES_TABLE = [
     "recent updates to the parser", "where is the config loaded", "why does it crash when the file is missing and the error is not shown to the user at all", "exception in sync",
     "code for the reranker", "what is the current strategy",
 ]
-VALUES = ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(QUERIES_TABLE))
+#: Turns as questions: one of the openings above, then some of what the turn says.
+ASKED = "CASE (conv_id + turn) % 12 " + " ".join(f"WHEN {i} THEN {quoted(q)}" for i, q in enumerate(QUERIES_TABLE)) + " END || CASE turn % 4 WHEN 0 THEN '' ELSE ' ' || left(coalesce(text, ''), CAST(conv_id % 60 AS INT)) END"
 HITS = {k: " + ".join(f"CAST(regexp_matches(q, {quoted(p)}) AS INT)" for p in v) for k, v in scoring.INTENT_PATTERNS.items()}
 INTENT_SQL = "CASE " + " ".join(f"WHEN ({h}) >= 2 OR (({h}) = 1 AND length(q) < 50) THEN '{k}'" for k, h in HITS.items()) + " ELSE 'default' END"
 
 
-@P.add(f"SELECT id, query, {INTENT_SQL} AS intent FROM (SELECT *, lower(trim(query)) AS q FROM (VALUES {VALUES}) v(id, query))")
+@P.add(f"SELECT conv_id, turn, query, {INTENT_SQL} AS intent FROM (SELECT *, lower(trim(query)) AS q FROM (SELECT conv_id, turn, {ASKED} AS query FROM conversations))")
 def query_intent(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(QUERIES_TABLE)), "id int, query string")
-    return rows.select("id", "query", scoring.query_intent(F.col("query")).alias("intent"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(ASKED).alias("query"))
+    return rows.select("*", scoring.query_intent(F.col("query")).alias("intent"))
 
 
 @P.add("SELECT doc_id AS id, round(exp(-ln(2) * (doc_id % 60) / 14.0), 6) AS recency FROM documents")
