@@ -11,12 +11,13 @@ from engram.operators import maintenance as M
 from engram.operators import retrieval as R
 from engram.operators import sessions as S
 from engram.operators import trends as TR
+from engram.operators.text_index import TextIndex
 from engram.plans.insights import CALLERS, IMPORTERS, LINKS, PAIRS_SQL
 from engram.plans.proxies import SYMBOLS_SQL, symbols
 from engram.plans.registry import Plans
 from engram.plans.retrieval import AS_OF, HYBRID, L2, QUERY, QUERY_TERMS, boost_sql, bm25_sql, chunks, fused_sql, knn_sql, vector_of, vectors
 from engram.sources import sinks
-from engram.sources.tables import table
+from engram.sources.tables import change_in_place, create_in_place, read_in_place, scratch_folder, table
 
 P = Plans()
 WITH = f"WITH {SYMBOLS_SQL}"
@@ -176,3 +177,26 @@ def evaluation_modes(spark: SparkSession, sf: str) -> DataFrame:
 def signed_percents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", TR.signed_percent(F.col("event_id") % 1000 / 7.0 - 70).alias("change"))
 
+
+
+@P.add("SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN 'zz' ELSE lang END AS lang, source FROM documents WHERE doc_id % 100 <> 1 UNION ALL SELECT doc_id + 100000000, lang, source FROM documents WHERE doc_id % 100 = 2")
+def changed_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of all documents, some of which are then replaced, deleted and added in their folders."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    path = scratch_folder(spark)
+    create_in_place(docs, path, "doc_id")
+    fresh = docs.filter("doc_id % 100 = 0").withColumn("lang", F.lit("zz")).unionByName(docs.filter("doc_id % 100 = 2").withColumn("doc_id", F.col("doc_id") + 100_000_000))
+    change_in_place(spark, path, "doc_id", fresh, docs.filter("doc_id % 100 = 1").select("doc_id"))
+    return read_in_place(spark, path)
+
+
+@P.add(bm25_sql(QUERY_TERMS, 20))
+def text_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 over an index of blocks: some documents come in a later generation, replacing what stood there before."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = TextIndex(spark, scratch_folder(spark))
+    index.add(docs.withColumn("text", F.when(F.col("id") % 7 == 0, F.lit("what was here before the license")).otherwise(F.col("text"))))
+    later = docs.filter("id % 7 = 0")
+    index.remove(later, 1)
+    index.add(later, generation=1)
+    return index.search(QUERY_TERMS, 20)[0]

@@ -106,3 +106,59 @@ def checkpointed(df: DataFrame) -> DataFrame:
     # Spark's cleaner asks for this setting whenever a checkpoint is made, not only when the application begins.
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint()
+
+
+#: Folders that a table in place is dealt into by its key.
+BUCKETS = 64
+
+
+def bucket_of(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def _replace(rows: DataFrame, path: str) -> None:
+    """Write the folders that rows have, and leave all others alone."""
+    dealt = rows.repartition("_bucket")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
+def create_in_place(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Write a table whose rows lie in folders by a hash of their key, so that some of them can be replaced."""
+    rows.withColumn("_bucket", bucket_of(key, buckets)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def change_in_place(spark: SparkSession, path: str, key: str, new: DataFrame | None = None, gone: DataFrame | None = None, buckets: int = BUCKETS) -> list[int]:
+    """Upsert the rows of `new` and delete those with the keys of `gone`; only the folders that hold such keys are read and written.
+
+    Files of other folders stay as they are, name for name. Rows of `new` win over `gone`; all old rows with one of their
+    keys go. What the folders are to hold is written aside first, so a change that breaks off loses nothing and can be
+    made again. Gives the numbers of the folders; there are `buckets` at most. Rows with a null key are added, not matched.
+    """
+    old = spark.read.parquet(path)
+    keys = None
+    for part in (new, gone):
+        if part is not None:
+            some = part.select(F.col(key))
+            keys = some if keys is None else keys.unionByName(some)
+    if keys is None:
+        return []
+    touched = sorted(r[0] for r in keys.select(bucket_of(key, buckets).alias("b")).distinct().collect())
+    if not touched:
+        return []
+    left = without_keys(old.filter(F.col("_bucket").isin(touched)), keys, key)
+    if new is not None:
+        left = left.unionByName(new.withColumn("_bucket", bucket_of(key, buckets)), allowMissingColumns=True)
+    aside = f"{scratch_folder(spark)}/rows"
+    left.select(*old.columns).write.partitionBy("_bucket").parquet(aside)
+    made = spark.read.schema(old.schema).parquet(aside)
+    _replace(made, path)
+    # A folder that has lost all its rows isn't overwritten by any.
+    empty = set(touched) - {r[0] for r in made.select("_bucket").distinct().collect()}
+    for b in empty:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_bucket={b}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return touched
+
+
+def read_in_place(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
