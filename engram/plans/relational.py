@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.operators import relational as RL
+from engram.operators import sketches as SK
 from engram.plans.registry import Plans
-from engram.sources.tables import table
+from engram.sources.tables import scratch_folder, table
 from engram.streaming import events as EV
 
 P = Plans()
@@ -166,3 +167,24 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @P.add("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def sessions_per_day(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@P.add(
+    "WITH e AS (SELECT *, CAST(day(ts) // 7 AS BIGINT) AS week FROM events) SELECT week, 'users' AS what, count(DISTINCT user_id) AS n FROM e GROUP BY week "
+    "UNION ALL SELECT week, event_type, count(*) FROM e GROUP BY week, event_type UNION ALL SELECT week, 'rows', count(*) FROM e GROUP BY week UNION ALL SELECT DISTINCT week, 'median within 5 % of ranks', 1 FROM e"
+)
+def stored_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily sketches of events, stored and then merged by week: distinct users, counts of every kind, and the median's rank.
+
+    Up to some 380 distinct values an HLL sketch of this size keeps them all; five kinds share no cell of the counts.
+    """
+    events = table(spark, sf, "events").select(F.dayofmonth("ts").alias("day"), "user_id", "value", "event_type")
+    path = scratch_folder(spark)
+    SK.sketched(events, "day", "user_id", "value", "event_type").write.mode("overwrite").parquet(f"{path}/days")
+    store = spark.read.parquet(f"{path}/days").withColumn("week", F.expr("cast(day div 7 as bigint)"))
+    whole = SK.merged(store, ["week"]).select("week", "n", SK.distinct_estimate(F.col("hll")).alias("users"), SK.quantile(F.col("kll"), 0.5).alias("median"))
+    share = events.withColumn("week", F.expr("cast(day div 7 as bigint)")).join(F.broadcast(whole.select("week", "median")), "week").groupBy("week").agg((F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("share"))
+    row = lambda d, what, n: d.select("week", F.lit(what).alias("what"), n.cast("long").alias("n"))
+    counts = SK.item_counts(SK.merged_counts(store, ["week"]), events.select(F.col("event_type").alias("item")).distinct(), ["week"]).select("week", F.col("item").alias("what"), "n")
+    near = row(share, "median within 5 % of ranks", (F.abs(F.col("share") - 0.5) <= 0.05).cast("int"))
+    return row(whole, "users", F.col("users")).unionByName(counts).unionByName(row(whole, "rows", F.col("n"))).unionByName(near)
