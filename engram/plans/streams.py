@@ -17,7 +17,7 @@ DUE = f"CASE WHEN before < 0 THEN last + {QUIET} ELSE greatest(last + {QUIET}, b
 
 
 @P.add(
-    f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
 f AS (
   SELECT key, n, ms AS last, CAST(-1 AS BIGINT) AS before, CAST(1 AS BIGINT) AS changes, CAST(NULL AS BIGINT) AS fired, CAST(0 AS BIGINT) AS gathered FROM e WHERE n = 1
   UNION ALL
