@@ -15,7 +15,8 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Two texts li
    list's first member (a number of pairs linear in the list); these are intersected exactly and grouped.
 5. Lists that still hold several groups are compared tile against tile, where sizes allow a link: the bitmaps hold the
    parity of the hashes per bit, so the set bits of their XOR bound the symmetric difference from below and the overlap
-   from above. Only pairs of different groups that the bound admits are intersected exactly.
+   from above. Only pairs of different groups that the bound admits are intersected exactly. Every member carries the
+   hashes of its lists, and a pair is given by the list of the smallest hash that both have, not by each.
 
 For a set under `SKETCH` hashes, or one that links with such a set, the bounds are exact and no pair is lost; beyond, a
 pair is lost with the probability of step 2, or by a collision of 64-bit hashes. Pairs inside a group need no comparison.
@@ -205,9 +206,30 @@ def admitted_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarra
             differ = np.bitwise_count(x[back[: len(at)]] ^ x[back[len(at) :]]).sum(axis=1, dtype=np.int64)
             keep[at] = differ * (100 + percent) <= most[at]
         i, j, most = i[keep], j[keep], most[keep]
+    # Of all lists that hold both, the one with the smallest hash gives the pair; where a table has several, that one came first.
+    mine = first_shared(table.column("own").combine_chunks() if isinstance(table.column("own"), pa.ChunkedArray) else table.column("own"), i, j) == token[i]
+    i, j = i[mine], j[mine]
     return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
+def first_shared(own: pa.ListArray, i: np.ndarray, j: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    """For pairs of rows with a sorted list of hashes each, the smallest hash that both have; each pair has one."""
+    first, size = own.offsets.to_numpy()[:-1], np.diff(own.offsets.to_numpy())
+    values, wide = own.values.to_numpy(), int(size.max(initial=0))
+    column = np.arange(wide)
+
+    def lists(rows: np.ndarray, rest: int) -> np.ndarray:
+        at = np.minimum(first[rows][:, None] + column, max(len(values) - 1, 0))
+        return np.where(column < size[rows][:, None], values[at], rest)
+
+    out = np.zeros(len(i), np.int64)
+    for k in range(0, len(i), chunk):
+        a, b = lists(i[k : k + chunk], -(1 << 63)), lists(j[k : k + chunk], (1 << 63) - 1)
+        both = (a[:, :, None] == b[:, None, :]).any(axis=2)
+        out[k : k + chunk] = a[np.arange(len(a)), both.argmax(axis=1)]
+    return out
+
+
 def admits(percent: int):
     """From rows sorted by token, tile pair and side (0: members of the first tile, 1: of the second): admitted id pairs."""
 
@@ -248,13 +270,14 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     per = lists.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("members", "token")).alias("listed"))
     small = F.array(*(F.lit(least_shared(n, percent)) for n in range(1, SKETCH)))
     need = F.when(F.col("n_shingles") >= SKETCH, QUARTER).otherwise(F.get(small, (F.col("n_shingles") - 1).cast("int")))
-    open_ = park(
+    rarest = F.slice(F.array_sort("listed"), F.lit(1), F.size("listed") - F.col("need") + 1)
+    listed = park(
         per.join(classes.select("id", "doc_id", "n_shingles"), "id")
         .withColumn("need", need)
         .filter("size(listed) >= need")
-        .select("id", "doc_id", "n_shingles", F.explode(F.slice(F.array_sort("listed"), F.lit(1), F.size("listed") - F.col("need") + 1)).alias("t"))
-        .select("t.token", "id", "doc_id", "n_shingles")
+        .select("id", "doc_id", "n_shingles", F.array_sort(F.transform(rarest, lambda t: t["token"])).alias("own"))
     )
+    open_ = listed.select(F.explode("own").alias("token"), "id", "doc_id", "n_shingles")
     # Each list in tiles by size: long lists get a size rank from counts by size, never a sort of the whole list.
     # Members are paired with those of the smallest doc_id: an original comes before its copies, and links with more of them.
     eldest = F.min(F.struct("doc_id", "id"))
@@ -299,9 +322,9 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     sides = met.select("token", "one", "two", F.col("one").alias("tile"), F.lit(0).alias("side")).union(
         met.filter("one < two").select("token", "one", "two", F.col("two").alias("tile"), F.lit(1).alias("side"))
     )
-    signed = mixed.join(classes.select("id", "bitmap"), "id")
-    dealt = sides.join(signed, ["token", "tile"]).select("token", "one", "two", "side", "id", "n_shingles", "component", "bitmap").repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "side")
-    admitted = park(dealt.mapInArrow(admits(percent), "a long, b long").distinct().join(found, ["a", "b"], "left_anti"))
+    signed = mixed.join(classes.select("id", "bitmap"), "id").join(listed.select("id", "own"), "id")
+    dealt = sides.join(signed, ["token", "tile"]).select("token", "one", "two", "side", "id", "n_shingles", "component", "bitmap", "own").repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "side")
+    admitted = park(dealt.mapInArrow(admits(percent), "a long, b long").join(found, ["a", "b"], "left_anti"))
     more = verified(admitted, texts, k, percent)
     final = components(found.union(more)).withColumnRenamed("node", "id")
     own = classes.select("id", "set_id", "doc_id")

@@ -125,6 +125,16 @@ def test_op1_bitmaps_bound_the_overlap_from_above():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(-9, 9), min_size=1, max_size=6), min_size=2, max_size=8))
+def test_op1_gives_a_pair_to_its_smallest_shared_hash(sets):
+    import pyarrow as pa
+
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] & sets[b]]
+    got = op1.first_shared(pa.array([sorted(x) for x in sets], pa.list_(pa.int64())), np.array([a for a, _ in pairs], int), np.array([b for _, b in pairs], int), 3)
+    assert got.tolist() == [min(sets[a] & sets[b]) for a, b in pairs]
+
+
 def test_op2(spark):
     rows = brute.messy()
     bench = [(7, " ".join(rows[5][1].split()[:25])), (8, "one"), (9, None), (10, " ... "), (11, " ".join(rows[4][1].split()[3:20])), (12, "a b c"), (12, "d e f")]
