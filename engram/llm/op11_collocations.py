@@ -30,7 +30,7 @@ LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: The sketch has a cell for every so many bytes of text, 2 ** MOST_BITS at most (a bit each is broadcast: 32 MB).
 BYTES_A_CELL, MOST_BITS = 4, 28
 #: Cells of a block, bytes of a shard, and entries that a task holds before it sends them.
-BLOCK, SHARD, HELD = 1 << 16, 4 << 20, 1 << 21
+BLOCK, SHARD, HELD = 1 << 16, 2 << 20, 1 << 21
 SALTS = 64
 BREAKS = [(0x2E, 0x2E), (0x2C, 0x2C), (0x3B, 0x3B), (0x3A, 0x3A), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D)]
 #: Words of `[^\x20\x09]+` in the pieces between `[.,;:!?\x0A-\x0D]`.
@@ -209,7 +209,7 @@ def scanner(sent, bits: int, longest: int, shard: int = SHARD):
                             scan(lang)
                 while sum(size.values()) > 2 * shard:  # many languages: the largest goes first
                     scan(max(size, key=size.get))
-                if sum(t.num_rows for t in held) > HELD and len(held) > 1:
+                if sum(t.num_rows for t in held) > HELD // 2 and len(held) > 1:
                     table = merged()
                     if table.num_rows > HELD // 2:
                         yield from table.to_batches()
