@@ -3,8 +3,8 @@
 A word is an array of part ids and an array of the ranks of adjacent pairs. The smallest rank is merged (leftmost first),
 its boundary deleted and the two neighbouring ranks refreshed, until no pair has a rank. Words of one length are worked
 as the rows of one matrix: each step merges once in every row that still can. Words beyond `SHORT` bytes go through a
-heap of pairs instead, which takes no time squared in the length. Each Python worker keeps the words it has met, up to
-`KEPT`, and then starts anew.
+heap of pairs instead, which takes no time squared in the length. A task keeps the words it has met, up to `KEPT`, and
+then starts anew; none are kept beyond it, as Spark's Python workers live on and later stages need their memory.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 
 from engram.llm.bytehash import pieces
 
-SHORT, KEPT = 96, 400_000
+SHORT, KEPT = 96, 100_000
+#: Bytes of text that are split and encoded at a time.
+PART = 1 << 18
 NEVER = np.int32(1 << 30)
 
 # The tokenizers library splits words by Unicode 16 and lowers by Unicode 17. These are the ranges that the
@@ -223,37 +225,39 @@ def loaded(vocabulary: str) -> RankBpe:
     return _loaded[key]
 
 
-def encoder(vocabulary, digests: bool, decode: bool):
+def encoder(vocabulary, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary.value)
-        for whole in batches:
-            for batch in pieces(whole):
-                ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
-                decoded = [bpe.decode(i) for i in ids] if digests or decode else []
-                columns = [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64())]
-                if digests:
-                    columns += [
-                        pa.array([hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in ids], pa.string()),
-                        pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
-                    ]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), *([pa.array(decoded, pa.string())] if decode else [])]
-                    names = ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for whole in batches:
+                for batch in pieces(whole, size=PART):
+                    ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+                    decoded = [bpe.decode(i) for i in ids]
+                    columns = [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64())]
+                    if digests:
+                        columns += [
+                            pa.array([hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in ids], pa.string()),
+                            pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
+                        ]
+                        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    else:
+                        columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                        names = ["doc_id", "n_tokens", "ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            bpe.known.clear()
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def bpe_encode(docs: DataFrame, vocabulary_path: str, digests: bool = False, decode: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary_path: str, digests: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded), or with digests (doc_id, n_tokens, ids_sha256, decoded_sha256), for every row.
 
-    Without `decode`, the texts are not made from the ids again and `decoded` is left out.
-
     Null and empty texts have no tokens. Every row is encoded by itself, so repeated rows and null ids need no care.
     Other columns are ignored. The vocabulary (a few MB at most) is read on the driver and broadcast.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>" + ", decoded string" * decode
-    return docs.select("doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(encoder(vocabulary, digests, decode), f"doc_id long, n_tokens long, {rest}")
+    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    return docs.select("doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(encoder(vocabulary, digests), f"doc_id long, n_tokens long, {rest}")

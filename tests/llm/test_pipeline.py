@@ -78,3 +78,24 @@ def test_near_duplicates_of_rows_with_one_id(spark):
     rows = [(5, text("a")), (5, text("b")), (3, text("a") + " end"), (7, text("b") + " end"), (5, text("b"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in CP.near_duplicates(spark, docs, SF).collect()) == [(3, text("a") + " end"), (5, text("b"))]
+
+
+def test_tokens_are_decoded_and_words_let_go(spark):
+    """The stage decodes its ids, and a worker keeps no words beyond its task."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from engram.llm import op06_rank_bpe as B
+
+    docs = spark.createDataFrame([(1, "one two <|endoftext|> two"), (2, ""), (3, None)], "doc_id long, text string")
+    made = CP.tokens(spark, docs, SF)
+    assert "decoded" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: len(r.ids) == r.n_tokens for r in made.collect()} == {1: True, 2: True, 3: True}
+
+    class Sent:
+        with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+            value = f.read()
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two three"])], names=["doc_id", "text"])
+    assert [b.column("n_tokens").to_pylist() for b in B.encoder(Sent, digests=False)(iter([batch]))] == [[3]]
+    assert not B.loaded(Sent.value).known
