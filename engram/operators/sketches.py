@@ -36,6 +36,19 @@ def merged(store: DataFrame, keys: list[str]) -> DataFrame:
     return store.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_union_agg("hll").alias("hll"), F.kll_merge_agg_double("kll").alias("kll"))
 
 
+def bitmaps(rows: DataFrame, period: str, distinct: str) -> DataFrame:
+    """(period, bucket, bits): the distinct values of a whole-number column as bitmaps of 32768 neighbouring numbers each,
+    for exact counts over any range. Dense keys take a bit a value and period."""
+    some = rows.filter(F.col(distinct).isNotNull()).select(period, F.bitmap_bucket_number(distinct).alias("bucket"), F.bitmap_bit_position(distinct).alias("bit"))
+    return some.groupBy(period, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def distinct_count(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, values): how many distinct values the periods that share keys have, exactly."""
+    whole = maps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return whole.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias("values"))
+
+
 def merged_counts(store: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, cell, n): the count-min cells of the periods that share keys."""
     return store.select(*keys, F.explode("counts").alias("c")).groupBy(*keys, "c.row", "c.cell").agg(F.sum("c.n").alias("n"))
