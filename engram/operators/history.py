@@ -10,10 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.sources.tables import checkpointed
+from engram.sources.tables import checkpointed, parked
 
-#: Commits of a path that are folded at a time, and parts in which a path's commits are numbered.
-FOLDED, PARTS = 256, 64
+#: Hunks of a path up to which its commits are folded at once; beyond, commits that are folded at a time, and parts in
+#: which they are numbered.
+WHOLE, FOLDED, PARTS = 4096, 256, 64
 
 
 def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -44,23 +45,19 @@ def before(first: Column, last: Column, hunks: Column) -> tuple[Column, Column,
     return touched, new_first, new_last
 
 
-def line_history(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(id, seq, commit, author, date) of the commits that touched ranges (id, path, first, last) of the newest version.
+COMMIT = ("seq", "commit", "author", "date", "hunks")
 
-    hunks: (path, seq, commit, author, date, old_start, old_count, new_start, new_count), as unified diffs without
-    context have them. Commits are folded from the newest to the oldest, and each moves the range to where its lines were
-    before; the history ends where all of them were added. A path's commits are folded FOLDED at a time, within one
-    array, and only ranges that still have a history go on to the next ones.
-    """
+
+def by_commit(hunks: DataFrame) -> DataFrame:
+    """(path, seq, commit, author, date, hunks), a row a commit and path."""
     hunk = F.struct(*(F.col(c).cast("long").alias(c) for c in ("old_start", "old_count", "new_start", "new_count")))
-    commits = hunks.groupBy("path", "seq", "commit", "author", "date").agg(F.array_sort(F.collect_list(hunk)).alias("hunks"))
-    commits = numbered(commits, "path", "seq").withColumn("_round", F.expr(f"nth div {FOLDED}"))
-    commit = F.struct("seq", "commit", "author", "date", "hunks")
-    rounds = checkpointed(commits.groupBy("path", "_round").agg(F.array_sort(F.collect_list(commit)).alias("commits")))
-    told = [c for c in ("seq", "commit", "author", "date")]
-    kinds = dict(hunks.dtypes)
+    return hunks.groupBy("path", "seq", "commit", "author", "date").agg(F.array_sort(F.collect_list(hunk)).alias("hunks"))
+
+
+def folded(ranges: DataFrame, commits: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(id, path, first, last, hits) from ranges and (path, commits): where each range was before its path's commits, and which touched it."""
+    told = ("seq", "commit", "author", "date")
     hits = F.array().cast("array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in told) + ">>")
-    state, out = ranges.select("id", "path", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")), []
 
     def fold(s: Column, c: Column) -> Column:
         touched, first, last = before(s["first"], s["last"], c["hunks"])
@@ -68,12 +65,46 @@ def line_history(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
         more = F.concat(s["hits"], F.array(F.struct(*(c[x].alias(x) for x in told))))
         return F.struct(F.when(alive, first).otherwise(s["first"]).alias("first"), F.when(alive, last).otherwise(s["last"]).alias("last"), F.when(alive & touched, more).otherwise(s["hits"]).alias("hits"))
 
+    rows = ranges.filter("first <= last").join(commits, "path")
+    return rows.select("id", "path", F.aggregate("commits", F.struct("first", "last", hits.alias("hits")), fold).alias("s")).select("id", "path", "s.first", "s.last", "s.hits")
+
+
+def line_history(hunks: DataFrame, ranges: DataFrame, passes: int = 1) -> DataFrame:
+    """(id, seq, commit, author, date) of the commits that touched ranges (id, path, first, last) of the newest version.
+
+    hunks: (path, seq, commit, author, date, old_start, old_count, new_start, new_count), as unified diffs without
+    context have them. Commits are folded from the newest to the oldest, and each moves the range to where its lines were
+    before; the history ends where all of them were added. Hunks are dealt by path once, and a path's commits are folded
+    within one array. Those of paths with over WHOLE hunks are numbered in parts and folded FOLDED at a time, and only
+    ranges that still have a history go on to the next ones.
+
+    With more passes, each takes a share of the paths, and no more than its hunks lie shuffled on disk at a time; hunks
+    are then read once a pass, so they should come from a parked table.
+    """
+    ranges = ranges.select("id", "path", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    busy = parked(hunks.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE).select("path"))
+    some = not busy.isEmpty()
+    calm = hunks.join(F.broadcast(busy), "path", "left_anti") if some else hunks
+    found = []
+    for k in range(passes):
+        share = calm.filter(F.pmod(F.xxhash64("path"), F.lit(passes)) == k) if passes > 1 else calm
+        commits = by_commit(share.repartition("path")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*COMMIT))).alias("commits"))
+        touched = folded(ranges, commits, dict(hunks.dtypes)).select("id", F.explode("hits").alias("h"))
+        found.append(parked(touched.select("id", "h.*")))
+    if some:
+        found.append(_in_rounds(hunks.join(F.broadcast(busy), "path", "left_semi"), ranges.join(F.broadcast(busy), "path", "left_semi")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _in_rounds(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """`line_history` of paths with any number of commits, FOLDED at a time."""
+    commits = numbered(by_commit(hunks), "path", "seq").withColumn("_round", F.expr(f"nth div {FOLDED}"))
+    rounds = parked(commits.groupBy("path", "_round").agg(F.array_sort(F.collect_list(F.struct(*COMMIT))).alias("commits")))
+    state, out = ranges, []
     for k in range((rounds.agg(F.max("_round")).first()[0] or 0) + 1):
-        some = rounds.filter(F.col("_round") == k).select("path", "commits")
-        folded = state.filter("first <= last").join(some, "path").select("id", "path", F.aggregate("commits", F.struct("first", "last", hits.alias("hits")), fold).alias("s"))
-        folded = checkpointed(folded.select("id", "path", "s.first", "s.last", "s.hits"))
-        out.append(folded.select("id", F.explode("hits").alias("h")).select("id", "h.*"))
-        state = folded.drop("hits")
+        moved = checkpointed(folded(state, rounds.filter(F.col("_round") == k).select("path", "commits"), dict(hunks.dtypes)))
+        out.append(moved.select("id", F.explode("hits").alias("h")).select("id", "h.*"))
+        state = moved.drop("hits")
     return reduce(DataFrame.unionByName, out)
 
 

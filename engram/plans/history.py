@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from engram.operators import history as H
 from engram.operators import insights as I
 from engram.plans.registry import Plans
-from engram.sources.tables import table
+from engram.sources.tables import parked, table
 
 P = Plans()
 
 #: A part is a file and an order a commit of the parts that it has lines of; seq counts from the newest day down. Both
-#: engines run these.
+#: engines run these, but for EACH, for which Spark has PLACES.
 COMMITS = """SELECT CAST(p AS {text}) AS path, p, o, ln, q, s, CAST(o AS {text}) AS commit, o_custkey AS author, CAST(o_orderdate AS DATE) AS date,
   CAST((20000 - {day}) AS BIGINT) * 10000000 + o AS seq
   FROM (SELECT l_partkey AS p, l_orderkey AS o, min(l_linenumber) AS ln, min(l_suppkey) AS s, CAST(min(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY l_partkey, l_orderkey) l JOIN orders ON o_orderkey = o"""
@@ -22,6 +22,15 @@ HUNKS = """SELECT path, seq, commit, author, date, 1 + (ln * 7 + s) % 60 AS a, l
   CASE WHEN (q + 1) % 3 = 0 AND (ln + 1) % 2 = 0 THEN 1 ELSE (ln + 1) % 2 END AS m2, (q + 1) % 3 AS n2 FROM commits"""
 EACH = """SELECT path, seq, commit, author, date, a + CASE WHEN m = 0 THEN -1 WHEN n = 0 THEN 1 ELSE 0 END AS old_start, m AS old_count, a AS new_start, n AS new_count FROM h
   UNION ALL SELECT path, seq, commit, author, date, a + 20 + m + CASE WHEN m2 = 0 THEN -1 WHEN n2 = 0 THEN 1 ELSE 0 END, m2, a + n + 20, n2 FROM h WHERE more = 1"""
+#: Shares of the files whose hunks are shuffled one after another.
+PASSES = 4
+#: The columns of EACH: of a first and of a second hunk.
+PLACES = (
+    ("old_start", "a + CASE WHEN m = 0 THEN -1 WHEN n = 0 THEN 1 ELSE 0 END", "a + 20 + m + CASE WHEN m2 = 0 THEN -1 WHEN n2 = 0 THEN 1 ELSE 0 END"),
+    ("old_count", "m", "m2"),
+    ("new_start", "a", "a + n + 20"),
+    ("new_count", "n", "n2"),
+)
 RANGES = """SELECT p_partkey * 2 + j AS id, CAST(p_partkey AS {text}) AS path, 5 + p_partkey % 50 + 30 * j AS first, 5 + p_partkey % 50 + 30 * j + p_size AS last
   FROM part CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 AS j) x"""
 #: A file's name changes with every third of its commits, and every fifth name is the first one again.
@@ -40,8 +49,10 @@ def rows(spark: SparkSession, sf: str, sql: str, **views: DataFrame) -> DataFram
     return spark.sql(sql, **used)
 
 
-def commits(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, sf, COMMITS.format(**SPARK))
+def commits(spark: SparkSession, sf: str, text: str = SPARK["text"]) -> DataFrame:
+    """Lines are dealt by their orders once, for the grouping and for the join."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return rows(spark, sf, COMMITS.format(**SPARK | {"text": text}), lineitem=lines.repartition("l_orderkey"))
 
 
 def metadata_sql(touches: str, key: str) -> str:
@@ -79,9 +90,12 @@ fold AS (
 )
 def line_range_history(spark: SparkSession, sf: str) -> DataFrame:
     """Commits, authors and latest commits of two line ranges of every file, followed back through all its hunks."""
-    h = rows(spark, sf, HUNKS, commits=commits(spark, sf))
-    hunks = rows(spark, sf, EACH, h=h)
-    return metadata(H.line_history(hunks, rows(spark, sf, RANGES.format(**SPARK))), "id")
+    # Names stay numbers until commits are listed, which is less to shuffle; parked, the commits are made once.
+    h = parked(rows(spark, sf, HUNKS, commits=commits(spark, sf, "BIGINT")))
+    each = h.withColumn("j", F.explode(F.expr("CASE WHEN more = 1 THEN array(0, 1) ELSE array(0) END")))
+    hunks = each.select("path", "seq", "commit", "author", "date", *(F.expr(f"CASE j WHEN 0 THEN {first} ELSE {second} END").alias(c) for c, first, second in PLACES))
+    touches = H.line_history(hunks, rows(spark, sf, RANGES.format(text="BIGINT")), passes=PASSES)
+    return metadata(touches.withColumn("commit", F.col("commit").cast("string")), "id")
 
 
 @P.add(

@@ -83,6 +83,35 @@ def test_line_history(spark, monkeypatch, folded):
     assert H.line_history(hunks.limit(0), table).count() == 0 and H.line_history(hunks, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("whole,passes", [(4096, 1), (4096, 3), (9, 2), (0, 1)])
+def test_line_history_of_common_paths(spark, monkeypatch, whole, passes):
+    """Paths folded at once and paths folded in rounds, in several passes, give the same, and no shuffle files stay."""
+    monkeypatch.setattr(H, "FOLDED", 4)
+    monkeypatch.setattr(H, "WHOLE", whole, raising=False)
+    rnd, rows, ranges, want = random.Random(8), [], [], {}
+    for p in range(9):
+        serial = iter(range(10**6))
+        versions, made = [[next(serial) for _ in range(30)]], []
+        for _ in range(2 + 3 * p):
+            new, hunks = edited(rnd, versions[-1], serial)
+            versions.append(new)
+            made.append(hunks)
+        for k, hunks in enumerate(made):
+            rows += [(p, len(made) - 1 - k, k, p, 20200101 + k, *h) for h in hunks]
+        for first in range(1, len(versions[-1]), 7):
+            ranges.append((len(ranges), p, first, min(first + 9, len(versions[-1]))))
+            want[len(ranges) - 1] = replayed(versions, made, *ranges[-1][2:])
+    hunks = spark.createDataFrame(rows, "path long, seq long, commit long, author long, date long, old_start int, old_count int, new_start int, new_count int")
+    table = spark.createDataFrame(ranges, "id long, path long, first int, last int")
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, got = files(), {}
+    found = H.line_history(hunks, table, **({"passes": passes} if passes > 1 else {}))
+    assert whole < 4096 or files() <= before
+    for r in found.orderBy("id", "seq").collect():
+        got.setdefault(r.id, []).append(r.commit)
+    assert got == {i: w for i, w in want.items() if w} and got
+
+
 def test_an_insertion_above(spark):
     """Lines that come in above a symbol move it; commits to where it stands now aren't its own."""
     rows = [("f", 0, "top", "x", 3, 0, 0, 1, 10), ("f", 1, "body", "y", 2, 5, 1, 5, 1), ("f", 2, "other", "z", 1, 15, 1, 15, 1)]
